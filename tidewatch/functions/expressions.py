@@ -64,6 +64,14 @@ def attach(df: DataFrame, stats: DataFrame, name: str = "_s") -> DataFrame:
     return df.withColumn(name, stats_of(stats))
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Several one-row tables with different columns side by side."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def skew_corrected(column: str) -> Column:
     """Bias-corrected skewness (pandas); Spark's built-in is the population one."""
     n, g = F.count(column), F.skewness(column)

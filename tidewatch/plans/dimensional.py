@@ -129,8 +129,8 @@ def dimension_combinations(spark, d):
 with g as (select DATABASE_NAME, QUERY_TYPE, count(*) as query_count, sum(CREDITS_USED) as s from facts group by 1, 2)
 select DATABASE_NAME, QUERY_TYPE, query_count, round(s,6) as CREDITS_USED_sum,
   round((select stddev_samp(s)/(avg(s)+1e-10) from g),6) as CREDITS_USED_sum_interaction_strength,
-  round((select avg(v) from (select var_samp(s) as v from g group by DATABASE_NAME))/((select var_samp(s) from g)+1e-10),4) as CREDITS_USED_sum_DATABASE_NAME_dominance,
-  round((select avg(v) from (select var_samp(s) as v from g group by QUERY_TYPE))/((select var_samp(s) from g)+1e-10),4) as CREDITS_USED_sum_QUERY_TYPE_dominance
+  round((select avg(v) from (select var_samp(s) as v from g group by DATABASE_NAME))/((select var_samp(s) from g)+1e-10),6) as CREDITS_USED_sum_DATABASE_NAME_dominance,
+  round((select avg(v) from (select var_samp(s) as v from g group by QUERY_TYPE))/((select var_samp(s) from g)+1e-10),6) as CREDITS_USED_sum_QUERY_TYPE_dominance
 from g""")
 def interaction(spark, d):
     agg = D.aggregate_by(cost_facts(spark, d), ["DATABASE_NAME", "QUERY_TYPE"], {"CREDITS_USED": ["sum"]})

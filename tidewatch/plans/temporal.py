@@ -168,10 +168,13 @@ def interpolated_periods(spark, d):
     return T.fill_periods(_sparse_hours(spark, d), "hourly", interpolate=True)
 
 
+WEEKLY_DIGITS = 8  # two-row means of six-digit sums end in a half
+
+
 @query("ta01_weekly_series", f"""
 with week as (select date_trunc('week', START_TIME)::timestamp as time_group, count(*) as c, sum(CREDITS_USED) as s from facts group by 1),
-n as (select *, row_number() over (order by time_group) as i, time_group as t from week)
-select time_group, c as query_count, round(s,6) as CREDITS_USED_sum, year(t) as year, month(t) as month, quarter(t) as quarter,
+n as (select *, row_number() over (order by time_group) as i, time_group as t from week),
+x as (select time_group, c as query_count, round(s,6) as CREDITS_USED_sum, year(t) as year, month(t) as month, quarter(t) as quarter,
   {CALENDAR_COLS[CALENDAR_COLS.index("case month(t)"):]},
   {TREND}, {GROWTH}, {_averages('s', 'CREDITS_USED_sum', [2, 4, 8, 12, 26])},
   round(sin(2*pi()*weekofyear(t)/52),6)+0.0 as woy_sin, round(cos(2*pi()*weekofyear(t)/52),6)+0.0 as woy_cos,
@@ -179,13 +182,10 @@ select time_group, c as query_count, round(s,6) as CREDITS_USED_sum, year(t) as
   round(sin(2*pi()*quarter(t)/4),6)+0.0 as quarter_sin, round(cos(2*pi()*quarter(t)/4),6)+0.0 as quarter_cos
 from n
 window w as (order by time_group), w5 as (order by time_group rows between 4 preceding and current row),
-  w12 as (order by time_group rows between 11 preceding and current row)""")
+  w12 as (order by time_group rows between 11 preceding and current row))
+select time_group, season, coalesce(columns(* exclude (time_group, season)), 0) from x""".replace(", 6)", ", 8)").replace(",6)", ",8)"), digits=WEEKLY_DIGITS)
 def weekly_series(spark, d):
-    series = T.aggregate_series(cost_facts(spark, d), "START_TIME", "weekly", {"CREDITS_USED": ["sum"]})
-    # the first row has no difference; gap fill turns that into 0
-    first = F.col("time_group") == series.agg(F.min("time_group")).scalar()
-    blank = ["CREDITS_USED_sum_trend", "CREDITS_USED_sum_trend_direction", "CREDITS_USED_sum_rolling_trend"]
-    return series.withColumns({c: F.when(first, None).otherwise(F.col(c)) for c in blank})
+    return T.aggregate_series(cost_facts(spark, d), "START_TIME", "weekly", {"CREDITS_USED": ["sum"]})
 
 
 @query("ta11_prepared_log", """

@@ -61,8 +61,8 @@ def materialise(df: DataFrame) -> DataFrame:
 def input_bytes(df: DataFrame) -> float:
     """Bytes in all the files and relations ``df`` reads; infinite when unknown."""
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return float(sum(int(leaves.apply(i).stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return float(sum(int(str(leaves.apply(i).stats().sizeInBytes()))
                          for i in range(leaves.size())))
     except Exception:
         return float("inf")

@@ -7,20 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.functions.expressions import rounded
-from tidewatch.sources.tables import COST_FACTS_SQL, DIRTY_LOG_SQL, METRIC_POINTS_SQL, QUERY_LOG_SQL
+from tidewatch.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
-VIEWS = {"qlog": QUERY_LOG_SQL, "facts": COST_FACTS_SQL, "points": METRIC_POINTS_SQL, "dirty": DIRTY_LOG_SQL}
+VIEWS = {
+    "qlog": tables.QUERY_LOG_SQL, "facts": tables.COST_FACTS_SQL, "points": tables.METRIC_POINTS_SQL,
+    "dirty": tables.DIRTY_LOG_SQL, "qhist": tables.QUERY_HISTORY_SQL, "metering": tables.METERING_SQL,
+    "loads": tables.LOAD_SQL, "logins": tables.LOGIN_SQL, "storage": tables.STORAGE_SQL,
+}
 
 
 def query(name: str, sql: str | None = None, digits: int = 6):
     """Register a query; doubles are rounded so both engines compare equal.
 
-    ``sql`` may use the views ``qlog``, ``facts``, ``points`` and ``dirty``.
+    ``sql`` may use the names in ``VIEWS``.
     """
     def register(fn: Query) -> Query:
         if name in QUERIES:

@@ -71,9 +71,9 @@ def database_patterns(spark, d):
 
 
 @query("ua06_user_patterns", """
-select USER_NAME, QUERY_TYPE, count(*) as QUERY_ID_count, round(sum(CREDITS_USED),8) as CREDITS_USED_sum, round(avg(CREDITS_USED),8) as CREDITS_USED_mean,
-  round(stddev_samp(CREDITS_USED),8) as CREDITS_USED_std, round(avg(EXECUTION_TIME_MS),8) as EXECUTION_TIME_MS_mean, round(stddev_samp(EXECUTION_TIME_MS),8) as EXECUTION_TIME_MS_std,
-  'user_query' as pattern_type from facts group by 1, 2 having count(*) >= 5""", digits=8)
+select USER_NAME, QUERY_TYPE, count(*) as QUERY_ID_count, round(sum(CREDITS_USED),11) as CREDITS_USED_sum, round(avg(CREDITS_USED),11) as CREDITS_USED_mean,
+  round(stddev_samp(CREDITS_USED),11) as CREDITS_USED_std, round(avg(EXECUTION_TIME_MS),11) as EXECUTION_TIME_MS_mean, round(stddev_samp(EXECUTION_TIME_MS),11) as EXECUTION_TIME_MS_std,
+  'user_query' as pattern_type from facts group by 1, 2 having count(*) >= 5""", digits=11)
 def user_patterns(spark, d):
     return U.user_patterns(cost_facts(spark, d))
 

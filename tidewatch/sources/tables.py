@@ -140,3 +140,127 @@ select event_id as row_id, ts, concat('U', cast(user_id % 50 as varchar)) as use
   strftime(ts, '%Y-%m-%d %H:%M:%S') as time_text
 from events
 """
+
+
+def query_history(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` as wide query history; every 20th row comes twice."""
+    e = table(spark, folder, "events")
+    e = e.unionByName(e.filter(F.col("event_id") % 20 == 0))
+    i, k = F.col("event_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    kind = (F.when(F.col("event_type").isin("view", "click"), "SELECT").when(F.col("event_type") == "purchase", "INSERT")
+            .when(F.col("event_type") == "signup", "CREATE").when(i % 3 == 0, None).otherwise("CALL"))
+    text = F.concat(F.lit("SELECT * FROM "), F.col("event_type"), F.lit(" WHERE k = "), k.cast("string"))
+    return e.select(
+        i.cast("string").alias("QUERY_ID"), text.alias("QUERY_TEXT"),
+        F.concat(F.lit("DB"), (F.col("user_id") % 3).cast("string")).alias("DATABASE_NAME"),
+        kind.alias("QUERY_TYPE"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("USER_NAME"),
+        F.concat(F.lit("WH"), (F.col("user_id") % 4).cast("string")).alias("WAREHOUSE_NAME"),
+        F.when(i % 4 == 0, "nightly ETL").when(i % 4 == 1, "adhoc").alias("QUERY_TAG"),
+        F.when(F.col("event_type") == "error", "FAIL").when(i % 11 == 0, "CANCELLED").when(i % 13 == 0, "RUNNING")
+        .otherwise("SUCCESS").alias("EXECUTION_STATUS"),
+        F.when(i % 97 == 0, None).otherwise(F.col("ts")).alias("START_TIME"),
+        F.expr("ts + make_dt_interval(0, 0, 0, cast(floor(value) as int))").alias("END_TIME"),
+        F.when(i % 37 == 0, "bad").otherwise(F.floor(F.col("value") * 1000).cast("string")).alias("TOTAL_ELAPSED_TIME"),
+        (k * 1048576 * 20).alias("BYTES_SCANNED"), k.cast("double").alias("PERCENTAGE_SCANNED_FROM_CACHE"),
+        F.when(i % 19 == 0, None).otherwise(k).alias("ROWS_PRODUCED"),
+        F.when(i % 7 == 0, k * 1048576 * 3).otherwise(F.lit(0)).alias("BYTES_SPILLED_TO_LOCAL_STORAGE"),
+        F.when(i % 21 == 0, k * 1048576).otherwise(F.lit(0)).alias("BYTES_SPILLED_TO_REMOTE_STORAGE"),
+        (F.col("value") * 100).alias("QUEUED_OVERLOAD_TIME"), (F.col("value") / 100).alias("CREDITS_USED_CLOUD_SERVICES"))
+
+
+QUERY_HISTORY_SQL = """
+select cast(event_id as varchar) as QUERY_ID, concat('SELECT * FROM ', event_type, ' WHERE k = ', cast(k as varchar)) as QUERY_TEXT,
+  concat('DB', cast(user_id % 3 as varchar)) as DATABASE_NAME,
+  case when event_type in ('view','click') then 'SELECT' when event_type = 'purchase' then 'INSERT' when event_type = 'signup' then 'CREATE' when event_id % 3 = 0 then null else 'CALL' end as QUERY_TYPE,
+  concat('U', cast(user_id as varchar)) as USER_NAME, concat('WH', cast(user_id % 4 as varchar)) as WAREHOUSE_NAME,
+  case event_id % 4 when 0 then 'nightly ETL' when 1 then 'adhoc' end as QUERY_TAG,
+  case when event_type = 'error' then 'FAIL' when event_id % 11 = 0 then 'CANCELLED' when event_id % 13 = 0 then 'RUNNING' else 'SUCCESS' end as EXECUTION_STATUS,
+  case when event_id % 97 = 0 then null else ts end as START_TIME, ts + cast(floor(value) as int) * interval '1' second as END_TIME,
+  case when event_id % 37 = 0 then 'bad' else cast(cast(floor(value*1000) as bigint) as varchar) end as TOTAL_ELAPSED_TIME,
+  k*1048576*20 as BYTES_SCANNED, k::double as PERCENTAGE_SCANNED_FROM_CACHE, case when event_id % 19 = 0 then null else k end as ROWS_PRODUCED,
+  case when event_id % 7 = 0 then k*1048576*3 else 0 end as BYTES_SPILLED_TO_LOCAL_STORAGE, case when event_id % 21 = 0 then k*1048576 else 0 end as BYTES_SPILLED_TO_REMOTE_STORAGE,
+  value*100 as QUEUED_OVERLOAD_TIME, value/100 as CREDITS_USED_CLOUD_SERVICES
+from (select *, cast(regexp_extract(props,'([0-9]+)',1) as bigint) as k from (select * from events union all select * from events where event_id % 20 = 0))
+"""
+
+
+def _hourly_rows(spark: SparkSession, folder: str):
+    e = table(spark, folder, "events")
+    start = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    e = e.withColumns({"k": F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"), "START_TIME": start})
+    return e.withColumn("END_TIME", F.when(F.col("event_id") % 31 == 0, F.col("START_TIME"))
+                        .otherwise(F.expr("START_TIME + interval 1 hour")))
+
+
+def metering_history(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` as hourly metering rows; (START_TIME, WAREHOUSE_ID) repeats."""
+    e = _hourly_rows(spark, folder)
+    share = F.when(F.col("event_id") % 3 == 0, 0.4).otherwise(0.9)
+    return e.select(
+        F.col("event_id").alias("SEQ"), "START_TIME", "END_TIME", (F.col("user_id") % 4).alias("WAREHOUSE_ID"),
+        F.concat(F.lit("WH"), (F.col("user_id") % 4).cast("string")).alias("WAREHOUSE_NAME"),
+        F.when(F.col("user_id") % 5 == 0, "PIPE").otherwise("WAREHOUSE_METERING").alias("SERVICE_TYPE"),
+        (F.col("value") / 100).alias("CREDITS_USED"), (F.col("value") / 100 * share).alias("CREDITS_USED_COMPUTE"),
+        (F.col("value") / 1000).alias("CREDITS_USED_CLOUD_SERVICES"),
+        (F.col("k") * 1073741824).alias("BYTES_SCANNED"), (F.col("k") * 1048576).alias("BYTES_WRITTEN"))
+
+
+METERING_SQL = """
+select event_id as SEQ, START_TIME, case when event_id % 31 = 0 then START_TIME else START_TIME + interval 1 hour end as END_TIME, user_id % 4 as WAREHOUSE_ID,
+  concat('WH', cast(user_id % 4 as varchar)) as WAREHOUSE_NAME, case when user_id % 5 = 0 then 'PIPE' else 'WAREHOUSE_METERING' end as SERVICE_TYPE,
+  value/100 as CREDITS_USED, value/100 * case when event_id % 3 = 0 then 0.4::double else 0.9::double end as CREDITS_USED_COMPUTE, value/1000 as CREDITS_USED_CLOUD_SERVICES,
+  k*1073741824 as BYTES_SCANNED, k*1048576 as BYTES_WRITTEN
+from (select *, date_trunc('hour', ts)::timestamp as START_TIME, cast(regexp_extract(props,'([0-9]+)',1) as bigint) as k from events)
+"""
+
+
+def load_history(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` as hourly load rows."""
+    e = _hourly_rows(spark, folder)
+    k = F.col("k")
+    return e.select(
+        F.col("event_id").alias("SEQ"), "START_TIME", "END_TIME", (F.col("user_id") % 4).alias("WAREHOUSE_ID"),
+        F.concat(F.lit("WH"), (F.col("user_id") % 4).cast("string")).alias("WAREHOUSE_NAME"),
+        (F.col("value") / 200).alias("AVG_RUNNING"), (k / 200.0).alias("AVG_QUEUED_LOAD"),
+        ((k % 10) / 100.0).alias("AVG_QUEUED_PROVISIONING"), ((k % 7) / 50.0).alias("AVG_BLOCKED"))
+
+
+LOAD_SQL = """
+select event_id as SEQ, START_TIME, case when event_id % 31 = 0 then START_TIME else START_TIME + interval 1 hour end as END_TIME, user_id % 4 as WAREHOUSE_ID,
+  concat('WH', cast(user_id % 4 as varchar)) as WAREHOUSE_NAME, value/200 as AVG_RUNNING, k/200.0::double as AVG_QUEUED_LOAD, (k%10)/100.0::double as AVG_QUEUED_PROVISIONING, (k%7)/50.0::double as AVG_BLOCKED
+from (select *, date_trunc('hour', ts)::timestamp as START_TIME, cast(regexp_extract(props,'([0-9]+)',1) as bigint) as k from events)
+"""
+
+# Client types by user number, for the login view.
+LOGIN_CLIENTS = ["JDBC_DRIVER", "ODBC_DRIVER", "PYTHON_CONNECTOR", "WEB_UI", "SQL_CLI", "OTHER_CLIENT"]
+
+
+def login_history(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` as login rows."""
+    e = table(spark, folder, "events")
+    client = F.element_at(F.array(*[F.lit(c) for c in LOGIN_CLIENTS]), (F.col("user_id") % 6 + 1).cast("int"))
+    return e.select(
+        F.col("event_id").cast("string").alias("EVENT_ID"), F.col("ts").alias("EVENT_TIMESTAMP"),
+        F.lit("LOGIN").alias("EVENT_TYPE"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("USER_NAME"),
+        client.alias("REPORTED_CLIENT_TYPE"),
+        F.when(F.col("event_type") == "error", "NO").otherwise("YES").alias("IS_SUCCESS"))
+
+
+LOGIN_SQL = """
+select cast(event_id as varchar) as EVENT_ID, ts as EVENT_TIMESTAMP, 'LOGIN' as EVENT_TYPE, concat('U', cast(user_id as varchar)) as USER_NAME,
+  ['JDBC_DRIVER','ODBC_DRIVER','PYTHON_CONNECTOR','WEB_UI','SQL_CLI','OTHER_CLIENT'][user_id % 6 + 1] as REPORTED_CLIENT_TYPE,
+  case when event_type = 'error' then 'NO' else 'YES' end as IS_SUCCESS from events
+"""
+
+
+def storage_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """``orders`` as daily storage rows per database."""
+    o = table(spark, folder, "orders")
+    return o.select(
+        F.col("o_orderdate").alias("USAGE_DATE"), F.concat(F.lit("DB"), F.substring("o_orderpriority", 1, 1)).alias("DATABASE_NAME"),
+        (F.col("o_totalprice") * 1e7).alias("AVERAGE_DATABASE_BYTES"), (F.col("o_totalprice") * 1e6).alias("AVERAGE_FAILSAFE_BYTES"))
+
+
+STORAGE_SQL = """
+select o_orderdate as USAGE_DATE, concat('DB', substr(o_orderpriority,1,1)) as DATABASE_NAME, o_totalprice*1e7 as AVERAGE_DATABASE_BYTES, o_totalprice*1e6 as AVERAGE_FAILSAFE_BYTES from orders
+"""

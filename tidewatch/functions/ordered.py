@@ -114,6 +114,26 @@ class Slices:
         out = {n: F.coalesce(out[n], F.col(f"_off_{n}")) for n in columns}
         return df.withColumns(out).drop(*inputs, *offsets)
 
+    def filled_back(self, df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+        """First non-null value at or after each row: ``{new name: value}``."""
+        inputs = {f"_in_{name}": value for name, value in columns.items()}
+        df = df.withColumns(inputs)
+        # Walk the range backwards: a frame that only grows is linear, one that shrinks is not.
+        back = Window.partitionBy(SLICE, *self.keys).orderBy(*[F.desc(c) for c in self.order])
+        frame = back.rowsBetween(Window.unboundedPreceding, 0)
+        out = {n: F.last(f"_in_{n}", ignorenulls=True).over(frame) for n in columns}
+        if not self.cut:
+            return df.withColumns(out).drop(*inputs)
+        at = F.struct(*self.order)
+        first = self._crossing(df).groupBy(SLICE, *self.keys).agg(*[
+            F.min_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), at)).alias(f"_in_{n}") for n in columns])
+        later = Window.partitionBy(*self.keys).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        carry = first.withColumns({f"_off_{n}": F.last(f"_in_{n}", ignorenulls=True).over(later) for n in columns})
+        offsets = [f"_off_{n}" for n in columns]
+        df = self._with_carry(df, carry, offsets)
+        out = {n: F.coalesce(out[n], F.col(f"_off_{n}")) for n in columns}
+        return df.withColumns(out).drop(*inputs, *offsets)
+
     def done(self, df: DataFrame) -> DataFrame:
         return df.drop(SLICE)
 

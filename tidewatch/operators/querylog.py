@@ -81,7 +81,8 @@ def executions_of(df: DataFrame, table: str, since: str, text: str = "QUERY_TEXT
 
 def _columns_in(role: str, pattern: str) -> Column:
     names = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(pattern), 1), F.lower))
-    return F.transform(names, lambda c: F.struct(F.lit(role).alias("role"), c.alias("column_name")))
+    pairs = F.transform(names, lambda c: F.struct(F.lit(role).alias("role"), c.alias("column_name")))
+    return pairs.cast("array<struct<role:string,column_name:string>>")
 
 
 def column_usage(df: DataFrame, text: str = "QUERY_TEXT") -> DataFrame:

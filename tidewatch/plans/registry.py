@@ -47,6 +47,8 @@ def with_views(sql: str) -> str:
     if not used:
         return text
     views = ",\n".join(f"{v} as ({VIEWS[v].strip()})" for v in used)
+    if text.lower().startswith("with recursive "):
+        return f"with recursive {views},\n{text[15:]}"
     if text.lower().startswith("with "):
         return f"with {views},\n{text[5:]}"
     return f"with {views}\n{text}"

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 from pyspark.sql.window import Window
 
 from tidewatch.functions.expressions import attach, flag, one_row, stats_of
@@ -78,7 +79,7 @@ def _shingles(text: str) -> np.ndarray:
     return np.unique(pd.util.hash_array(np.array(runs, dtype=object)))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ArrayType(LongType()))
 def band_hashes(texts: pd.Series) -> pd.Series:
     """One hash per band of min-hashes."""
     rng = np.random.default_rng(42)
@@ -95,7 +96,7 @@ def band_hashes(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def shingle_jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
     def one(a: str, b: str) -> float:
         x, y = _shingles(a), _shingles(b)

@@ -17,7 +17,7 @@ CHECKS: dict[str, str] = {}
 VIEWS = {
     "qlog": tables.QUERY_LOG_SQL, "facts": tables.COST_FACTS_SQL, "points": tables.METRIC_POINTS_SQL,
     "dirty": tables.DIRTY_LOG_SQL, "qhist": tables.QUERY_HISTORY_SQL, "metering": tables.METERING_SQL,
-    "loads": tables.LOAD_SQL, "logins": tables.LOGIN_SQL, "storage": tables.STORAGE_SQL,
+    "loads": tables.LOAD_SQL, "wlog": tables.WIDE_LOG_SQL, "logins": tables.LOGIN_SQL, "storage": tables.STORAGE_SQL,
 }
 
 

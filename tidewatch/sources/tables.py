@@ -264,3 +264,29 @@ def storage_usage(spark: SparkSession, folder: str) -> DataFrame:
 STORAGE_SQL = """
 select o_orderdate as USAGE_DATE, concat('DB', substr(o_orderpriority,1,1)) as DATABASE_NAME, o_totalprice*1e7 as AVERAGE_DATABASE_BYTES, o_totalprice*1e6 as AVERAGE_FAILSAFE_BYTES from orders
 """
+
+
+# Warehouse sizes by user number, for the wide log view.
+LOG_SIZES = ["X-SMALL", "SMALL", "MEDIUM", "LARGE", "X-LARGE"]
+
+
+def wide_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The query log with queue, compile, partition, write and session columns."""
+    log = query_log(spark, folder)
+    k, user = F.col("ROWS_PRODUCED"), F.substring("USER_NAME", 2, 20).cast("bigint")
+    size = F.element_at(F.array(*[F.lit(s) for s in LOG_SIZES]), (user % 5 + 1).cast("int"))
+    return log.withColumns({
+        "QUEUE_TIME_MS": ((k % 20) * 600).cast("double"), "COMPILATION_TIME_MS": (k * 3).cast("double"), "PARTITIONS_SCANNED": k * 2,
+        "BYTES_WRITTEN": k * 1000, "ROWS_INSERTED": k % 5, "ROWS_UPDATED": k % 3, "ROWS_DELETED": k % 2, "WAREHOUSE_SIZE": size,
+        "SESSION_ID": F.concat("USER_NAME", F.lit("-"), F.date_format("START_TIME", "yyyyMMdd")),
+        "STATEMENT_TYPE": F.when(F.col("QUERY_TYPE").isin("view", "click"), "SELECT").when(F.col("QUERY_TYPE") == "purchase", "INSERT")
+        .when(F.col("QUERY_TYPE") == "signup", "CREATE_TABLE").otherwise("UPDATE")})
+
+
+WIDE_LOG_SQL = f"""
+select *, ((ROWS_PRODUCED % 20) * 600)::double as QUEUE_TIME_MS, (ROWS_PRODUCED * 3)::double as COMPILATION_TIME_MS, ROWS_PRODUCED * 2 as PARTITIONS_SCANNED, ROWS_PRODUCED * 1000 as BYTES_WRITTEN,
+  ROWS_PRODUCED % 5 as ROWS_INSERTED, ROWS_PRODUCED % 3 as ROWS_UPDATED, ROWS_PRODUCED % 2 as ROWS_DELETED,
+  ['X-SMALL','SMALL','MEDIUM','LARGE','X-LARGE'][cast(substr(USER_NAME,2) as bigint) % 5 + 1] as WAREHOUSE_SIZE, USER_NAME || '-' || strftime(START_TIME, '%Y%m%d') as SESSION_ID,
+  case when QUERY_TYPE in ('view','click') then 'SELECT' when QUERY_TYPE = 'purchase' then 'INSERT' when QUERY_TYPE = 'signup' then 'CREATE_TABLE' else 'UPDATE' end as STATEMENT_TYPE
+from ({QUERY_LOG_SQL})
+"""

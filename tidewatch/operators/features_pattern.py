@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.expressions import attach, clip, cut, flag, one_row, ratio, seconds_between
+from tidewatch.functions.expressions import attach, clip, correlation, cut, flag, one_row, ratio, seconds_between
 from tidewatch.functions.globals import TableStats, with_group
 from tidewatch.functions.ordered import RowFrames, Slices, same_keys_join
 from tidewatch.functions.quantiles import quantile_row
@@ -131,7 +131,7 @@ def advanced_patterns(df: DataFrame, keys: Sequence[str] = (), ts: str = TS, tie
     trend = F.when(F.count(F.lit(1)).over(five) == 5, F.when(slope > step, 1).when(slope < -step, -1).otherwise(0)).otherwise(0)
     a, b = "CREDITS_USED", "BYTES_SCANNED"
     flat = (F.stddev_pop(a).over(ten) <= 0) | (F.stddev_pop(b).over(ten) <= 0)
-    corr = F.when((F.count(F.lit(1)).over(ten) == 10) & ~flat, F.corr(a, b).over(ten))
+    corr = F.when((F.count(F.lit(1)).over(ten) == 10) & ~flat, correlation(a, b, ten))
     rows = frames.done(frames.df.withColumns({"recent_execution_trend": trend, f"rolling_correlation_{a}_{b}": F.coalesce(corr, F.lit(0.0)),
                                               "has_strong_correlation": flag(F.abs(corr) > 0.7)}))
     stats = TableStats(rows, SIGNATURE)
@@ -176,7 +176,7 @@ def drop_correlated(df: DataFrame, columns: Sequence[str] | None = None, limit:
     """Of each strongly correlated pair drop the column with more nulls, else the later one."""
     columns = list(columns or numeric_columns(df))
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
+    row = df.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
                  *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}") for c in columns]).first()
     gone = {a if row[f"n_{a}"] > row[f"n_{b}"] else b for i, (a, b) in enumerate(pairs) if row[f"r{i}"] is not None and abs(row[f"r{i}"]) > limit}
     return df.drop(*gone)
@@ -215,7 +215,7 @@ def feature_summary(df: DataFrame) -> DataFrame:
 def feature_importance(df: DataFrame, target: str) -> DataFrame:
     """(feature, importance): absolute correlation with ``target``."""
     columns = [c for c in numeric_columns(df) if c != target]
-    row = df.agg(*[F.abs(F.corr(c, target)).alias(f"r{i}") for i, c in enumerate(columns)])
+    row = df.agg(*[F.abs(correlation(c, target)).alias(f"r{i}") for i, c in enumerate(columns)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("importance"))
                                           for i, c in enumerate(columns)])).alias("e")).select("e.*")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.expressions import flag, ratio
+from tidewatch.functions.expressions import correlation, flag, ratio
 from tidewatch.functions.ordered import RowFrames, Slices, TimeFrames, same_keys_join
 from tidewatch.functions.quantiles import label
 
@@ -170,7 +170,7 @@ def rolling_pairs(df: DataFrame, keys: Sequence[str], windows: Sequence[int] = (
         over = lambda a, b: zero(full(F.when(b != 0, a / b), f, n))
         for a, b in PAIRS:
             flat = (F.stddev_pop(a).over(f) <= 0) | (F.stddev_pop(b).over(f) <= 0)
-            new[f"{a}_{b}_corr_{n}d"] = zero(full(F.when(~flat, F.corr(a, b).over(f)), f, n))
+            new[f"{a}_{b}_corr_{n}d"] = zero(full(F.when(~flat, correlation(a, b, f)), f, n))
             new[f"{a}_{b}_ratio_{n}d"] = over(mean(a), mean(b))
             if a == "CREDITS_USED" and b in ("BYTES_SCANNED", "ROWS_PRODUCED"):
                 new[f"{b}_per_credit_{n}d"] = over(mean(b), mean(a))

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.expressions import attach, flag, kurtosis_corrected, one_row, seconds_between, skew_corrected
+from tidewatch.functions.expressions import attach, correlation, flag, kurtosis_corrected, one_row, seconds_between, skew_corrected
 from tidewatch.functions.ordered import Slices, same_keys_join
 from tidewatch.functions.quantiles import quantile_row
 from tidewatch.operators.clean import numeric_columns, parse_number, parse_time, text_columns, time_columns
@@ -126,7 +126,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """(feature1, feature2, correlation) over all column pairs in one pass."""
     columns = list(columns or numeric_columns(df))
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return unpivot(row, [entry(feature1=a, feature2=b, correlation=F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)])
 
 

@@ -326,7 +326,7 @@ def clusters(spark, d):
 
 @query("fe01_generated_features")
 def generated_features(spark, d):
-    out = FP.generate(_cost(spark, d).drop("CREDITS_USED_COMPUTE", "CREDITS_USED_CLOUD_SERVICES", "TOTAL_ELAPSED_TIME"), ("time", "usage", "rolling", "pattern"), most=60)
+    out = FP.generate(_cost(spark, d).drop("CREDITS_USED_COMPUTE", "CREDITS_USED_CLOUD_SERVICES", "TOTAL_ELAPSED_TIME"), ("time", "rolling"), most=40)
     return out.select([c for c in out.columns if c != "QUERY_TEXT"])
 
 

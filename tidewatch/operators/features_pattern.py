@@ -175,13 +175,30 @@ def clustering_patterns(df: DataFrame, columns: Sequence[str], k: int = 5, seed:
 def drop_correlated(df: DataFrame, columns: Sequence[str] | None = None, limit: float = 0.95) -> DataFrame:
     """Of each strongly correlated pair drop the column with more nulls, else the later one."""
     columns = list(columns or numeric_columns(df))
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-                 *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}") for c in columns]).first()
-    gone = {a if row[f"n_{a}"] > row[f"n_{b}"] else b for i, (a, b) in enumerate(pairs) if row[f"r{i}"] is not None and abs(row[f"r{i}"]) > limit}
+    row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    varying = [c for c in columns if (row[f"s_{c}"] or 0) > 0]
+    dense = [c for c in varying if row[f"n_{c}"] == 0]
+    strong = _dense_correlations(df, dense, limit)
+    gappy = [(a, b) for a, b in combinations(varying, 2) if row[f"n_{a}"] or row[f"n_{b}"]]
+    if gappy:
+        values = df.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(gappy)]).first()
+        strong += [pair for i, pair in enumerate(gappy) if values[i] is not None and abs(values[i]) > limit]
+    gone = {a if row[f"n_{a}"] > row[f"n_{b}"] else b for a, b in strong}
     return df.drop(*gone)
 
 
+def _dense_correlations(df: DataFrame, columns: Sequence[str], limit: float) -> list[tuple[str, str]]:
+    """Strongly correlated pairs of columns without nulls, from one matrix pass."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    if len(columns) < 2:
+        return []
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df.select(*columns))
+    matrix = Correlation.corr(rows, "_x").first()[0].toArray()
+    return [(a, b) for (i, a), (j, b) in combinations(list(enumerate(columns)), 2) if abs(matrix[i, j]) > limit]
+
+
 def keep_by_variance(df: DataFrame, most: int) -> DataFrame:
     """All non-numeric columns and the numeric ones with the largest variance, ``most`` columns in total."""
     numbers = numeric_columns(df)

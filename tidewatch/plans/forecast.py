@@ -9,7 +9,10 @@ from tidewatch.plans.registry import query
 from tidewatch.sources.tables import cost_facts, metric_points, query_log
 
 START = "2024-02-01 00:00:00"
-SECONDS = F.col("EXECUTION_TIME_MS") / 100
+
+
+def _seconds():
+    return F.col("EXECUTION_TIME_MS") / 100
 
 
 def _daily(spark, d):
@@ -109,17 +112,17 @@ def volume_patterns(spark, d):
 
 @query("fc10_class_shares", f"select {CLASS} as complexity, count(*) as n, round(count(*)/(select count(*) from qlog),6) as share from qlog group by 1")
 def class_shares(spark, d):
-    return C.class_shares(query_log(spark, d), SECONDS)
+    return C.class_shares(query_log(spark, d), _seconds())
 
 
 @query("fc11_weighted_load", f"""select date_trunc('hour', START_TIME)::timestamp as hour, count(*) as n, round(count(*)*avg(case {CLASS} when 'simple' then 1.0 when 'medium' then 2.5 when 'complex' then 5.0 else 10.0 end::double),6) as weighted_load from qlog group by 1""")
 def weighted_load(spark, d):
-    return C.weighted_load(query_log(spark, d), SECONDS)
+    return C.weighted_load(query_log(spark, d), _seconds())
 
 
 @query("fc12_class_entropy", f"with s as (select count(*)/(select count(*) from qlog) as p from qlog group by {CLASS}) select round(-sum(p*log2(p)),6) as entropy_bits from s")
 def class_entropy(spark, d):
-    return C.class_entropy(C.class_shares(query_log(spark, d), SECONDS))
+    return C.class_entropy(C.class_shares(query_log(spark, d), _seconds()))
 
 
 @query("fc13_power_users", """with u as (select USER_NAME, count(*) as n, avg(CREDITS_USED) as m from facts group by 1) select USER_NAME, n as total_queries, round(m,6) as mean_credits, case when n > 2*(select avg(n) from u) then 1 else 0 end as is_power_user from u""")

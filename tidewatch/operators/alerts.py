@@ -371,16 +371,14 @@ def fired(hits: DataFrame, cooldown_seconds: float, max_per_hour: int) -> DataFr
     """
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("minute")
-        keep, done = [], []
+        keep, done, last = [], [], -np.inf
         for t in pdf["minute"].to_numpy().astype("datetime64[s]").astype(np.int64):
             done = [x for x in done if x > t - HOUR]
-            ok = (not keep or t - last >= cooldown_seconds) and len(done) < max_per_hour
+            ok = t - last >= cooldown_seconds and len(done) < max_per_hour
             keep.append(ok)
             if ok:
                 last = t
                 done.append(t)
-            elif len(keep) == 1:
-                last = -np.inf
         return pdf[np.asarray(keep, dtype=bool)]
 
     return hits.groupBy("rule_id").applyInPandas(fold, hits.schema)

@@ -72,8 +72,8 @@ def adaptive_limits(spark, d):
     return L.adaptive_limits(metric_points(spark, d), 80.0, 2.0, 4)
 
 
-@query("al06_percentile_limits", f"""with x as (select *, list_sort(list(value) over w) as v from points window w as ({rng(3600)})), y as (select *, len(v) as n, least(greatest((len(v)+1)*0.75::double,1),len(v)) as at from x)
-select metric, ts, value, point_id, round(case when n >= 4 then v[floor(at)::int] + (v[ceil(at)::int]-v[floor(at)::int])*(at-floor(at)) else 5 end,6) as percentile_limit from y""")
+@query("al06_percentile_limits", f"""with x as (select *, list_sort(list(value) over w) as v from points window w as ({rng(3600)})), y as (select *, len(v) as n, least(greatest((len(v)+1)*0.75::double,1),len(v)) as q from x)
+select metric, ts, value, point_id, round(case when n >= 4 then v[floor(q)::int] + (v[ceil(q)::int]-v[floor(q)::int])*(q-floor(q)) else 5 end,6) as percentile_limit from y""")
 def percentile_limits(spark, d):
     return L.percentile_limits(metric_points(spark, d), 0.75, 5.0, 4)
 
@@ -281,10 +281,10 @@ def _audit(spark, d):
     return log.withColumn("hash", F.when(F.col("sequence") % 500 == 1, "tampered").otherwise(L.record_hash()))
 
 
-AUDIT = """au as (select event_id as sequence, ts as at, event_type, 'U' || (user_id % 20) as user_id, case when event_type='error' then 'high' else 'low' end as severity, '/r' || (user_id % 7) as resource, case when event_type='error' and user_id % 3 = 0 then 'failure' else 'success' end as outcome from events where event_id % 61 <> 0)"""
+AUDIT = """au as (select event_id as sequence, ts as "at", event_type, 'U' || (user_id % 20) as user_id, case when event_type='error' then 'high' else 'low' end as severity, '/r' || (user_id % 7) as resource, case when event_type='error' and user_id % 3 = 0 then 'failure' else 'success' end as outcome from events where event_id % 61 <> 0)"""
 
 
-@query("al35_audit_search", f"with {AUDIT} select sequence, at, event_type, user_id, severity, resource, outcome from au where at >= timestamp '2024-01-05 00:00:00' and at <= timestamp '2024-01-20 00:00:00' and event_type in ('error','click') and user_id = 'U3' order by at desc, sequence limit 50")
+@query("al35_audit_search", f"""with {AUDIT} select sequence, "at", event_type, user_id, severity, resource, outcome from au where "at" >= timestamp '2024-01-05 00:00:00' and "at" <= timestamp '2024-01-20 00:00:00' and event_type in ('error','click') and user_id = 'U3' order by "at" desc, sequence limit 50""")
 def audit_search(spark, d):
     return L.search_events(_audit(spark, d), "2024-01-05 00:00:00", "2024-01-20 00:00:00", ["error", "click"], "U3", limit=50).drop("hash")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatch.functions.ordered import SLICE, Slices, same_keys_join
 
 NEVER = np.iinfo(np.int64).min // 4
+SMALL_BATCHES = 32
 
 
 def _kept(times: np.ndarray, entry: int, gap: int) -> np.ndarray:
@@ -70,12 +71,20 @@ def spaced(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: float) ->
     else:
         rows = rows.withColumn("_entry", F.lit(None).cast("bigint"))
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", tie], kind="stable")
-        entry = pdf["_entry"].iloc[0]
-        return pdf.iloc[_kept(pdf["_us"].to_numpy(), NEVER if pd.isna(entry) else int(entry), gap)]
+    # Many small keys share one call; a range is bounded, and so is a small input.
+    rows = rows.withColumn("_batch", F.lit(0) if slices.cut else F.pmod(F.xxhash64(*keys), F.lit(SMALL_BATCHES)).cast("int"))
 
-    out = rows.groupBy(SLICE, *keys).applyInPandas(keep, rows.schema)
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_key=pdf.groupby(keys, sort=False).ngroup()).sort_values(["_key", "_us", tie], kind="stable")
+        key, times, entries = (pdf[c].to_numpy() for c in ("_key", "_us", "_entry"))
+        bounds = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        chosen = []
+        for start, end in zip(bounds, np.append(bounds[1:], len(key))):
+            entry = entries[start]
+            chosen.append(start + _kept(times[start:end], NEVER if pd.isna(entry) else int(entry), gap))
+        return pdf.iloc[np.concatenate(chosen)].drop(columns="_key")
+
+    out = rows.groupBy(SLICE, "_batch").applyInPandas(keep, rows.schema).drop("_batch")
     return out.drop(SLICE, "_us", "_entry")
 
 

@@ -15,6 +15,7 @@ from tidewatch.functions.quantiles import quantile_row
 from tidewatch.operators import features_cost, features_rolling, features_time, features_usage
 from tidewatch.operators.clean import numeric_columns
 from tidewatch.operators.usage import distincts, modes
+from tidewatch.session import materialise
 
 INF = float("inf")
 TS, TIE = "START_TIME", "QUERY_ID"
@@ -249,6 +250,7 @@ def generate(df: DataFrame, families: Sequence[str] = ("time", "usage", "cost",
     for name in FAMILIES:
         if name in families:
             df = FAMILIES[name](df)
-    made = [c for c in numeric_columns(df) if c not in base]
-    df = drop_correlated(df, made)
+    # selection passes over the features several times: compute them once
+    df = materialise(df)
+    df = drop_correlated(df, [c for c in numeric_columns(df) if c not in base])
     return keep_by_variance(df, most) if len(df.columns) > most else df

@@ -210,3 +210,13 @@ def test_pushdown_reaches_the_scan(spark):
     plan = usage.volume_segments(query_log(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     schema = plan[plan.index("ReadSchema"):]
     assert "props" not in schema and "user_id" in schema
+
+
+def test_pair_correlations_match_pandas(spark):
+    from tidewatch.operators.features_pattern import drop_correlated, pair_correlations
+    df = spark.range(200).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2 + F.when(F.col("id") % 5 == 0, None).otherwise(0)).cast("double").alias("b"),
+                                 ((F.col("id") * 37) % 101).cast("double").alias("c"), F.lit(1.0).alias("flat"))
+    got = pair_correlations(df, df.columns)
+    want = df.toPandas().corr().to_numpy()
+    assert got[0, 1] == pytest.approx(1.0) and got[0, 2] == pytest.approx(want[0, 2]) and got[1, 2] == pytest.approx(want[1, 2]) and math.isnan(got[0, 3])
+    assert drop_correlated(df).columns == ["a", "c", "flat"]

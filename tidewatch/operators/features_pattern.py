@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -176,28 +178,42 @@ def clustering_patterns(df: DataFrame, columns: Sequence[str], k: int = 5, seed:
 def drop_correlated(df: DataFrame, columns: Sequence[str] | None = None, limit: float = 0.95) -> DataFrame:
     """Of each strongly correlated pair drop the column with more nulls, else the later one."""
     columns = list(columns or numeric_columns(df))
-    row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    varying = [c for c in columns if (row[f"s_{c}"] or 0) > 0]
-    dense = [c for c in varying if row[f"n_{c}"] == 0]
-    strong = _dense_correlations(df, dense, limit)
-    gappy = [(a, b) for a, b in combinations(varying, 2) if row[f"n_{a}"] or row[f"n_{b}"]]
-    if gappy:
-        values = df.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(gappy)]).first()
-        strong += [pair for i, pair in enumerate(gappy) if values[i] is not None and abs(values[i]) > limit]
-    gone = {a if row[f"n_{a}"] > row[f"n_{b}"] else b for a, b in strong}
+    if len(columns) < 2:
+        return df
+    nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
+    matrix = pair_correlations(df, columns)
+    strong = [(a, b) for (i, a), (j, b) in combinations(list(enumerate(columns)), 2) if abs(matrix[i, j]) > limit]
+    gone = {a if nulls[a] > nulls[b] else b for a, b in strong}
     return df.drop(*gone)
 
 
-def _dense_correlations(df: DataFrame, columns: Sequence[str], limit: float) -> list[tuple[str, str]]:
-    """Strongly correlated pairs of columns without nulls, from one matrix pass."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    if len(columns) < 2:
-        return []
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df.select(*columns))
-    matrix = Correlation.corr(rows, "_x").first()[0].toArray()
-    return [(a, b) for (i, a), (j, b) in combinations(list(enumerate(columns)), 2) if abs(matrix[i, j]) > limit]
+def pair_correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Correlation matrix over the rows where both columns are known; NaN where one does not vary.
+
+    Every batch adds its products of known, centred values; only the sums of those
+    column-by-column matrices leave the tasks.
+    """
+    columns, k = list(columns), len(columns)
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centre = np.array([float(means[c] or 0.0) for c in columns])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - centre
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        yield pd.DataFrame({"at": np.arange(4 * k * k), "v": total.ravel()})
+
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sums = numbers.mapInPandas(products, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    n, s, q, xy = sums.sort_values("at")["v"].to_numpy().reshape(4, k, k)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = xy / n - (s / n) * (s.T / n)
+        var = q / n - (s / n) ** 2
+        spread = np.sqrt(np.maximum(var, 0) * np.maximum(var.T, 0))
+        return np.where(spread > 1e-12, cov / spread, np.nan)
 
 
 def keep_by_variance(df: DataFrame, most: int) -> DataFrame:

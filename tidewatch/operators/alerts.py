@@ -494,3 +494,17 @@ def verify_integrity(log: DataFrame) -> DataFrame:
     slices = Slices(log.select("sequence"), [], ["sequence"])
     gaps = slices.done(slices.previous(slices.df, {"_before": "sequence"})).filter(F.col("sequence") > F.col("_before") + 1)
     return bad.unionByName(gaps.select(F.lit("missing_sequence").alias("issue"), (F.col("_before") + 1).alias("sequence")))
+
+
+def condition_details(points: DataFrame, conditions: Sequence[Condition], as_of: str, last: int = 10) -> DataFrame:
+    """Evaluated conditions with the statistics of their window and its last points, newest first."""
+    rows = evaluate_conditions(points, conditions, as_of)
+    windows = [(c.metric, c.seconds) for c in conditions]
+    stats = window_aggregates(points, windows, as_of).select(KEY, "seconds", "count", "avg", "min", "max", "std")
+    end = F.lit(as_of).cast("timestamp_ntz")
+    recent = points.filter((F.col(TS) <= end) & F.col(KEY).isin(*{m for m, _ in windows}))
+    n = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(TS), F.desc(TIE)))
+    recent = recent.withColumn("_n", n).filter(F.col("_n") <= last)  # limited per task before the shuffle
+    shown = recent.groupBy(KEY).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda p: p["value"].cast("string"))).alias("last_points"))
+    rows = same_keys_join(rows, stats, [KEY, "seconds"], "left")
+    return same_keys_join(rows, shown, [KEY], "left")

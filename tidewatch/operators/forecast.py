@@ -334,3 +334,16 @@ def peak_forecast(shares: DataFrame, start: str, hours: int, avg_intensity: floa
     p = F.least((F.coalesce("_hs", F.lit(0.0)) + F.coalesce("_ds", F.lit(0.0))) / 2 * season, F.lit(1.0))
     return rows.select("hour", p.alias("probability"), flag(p > 0.5).alias("is_peak"),
                        F.when(p * avg_intensity > 0.5, "high").when(p * avg_intensity > 0.2, "medium").otherwise("low").alias("risk"))
+
+
+def combined_recommendations(need: DataFrame, scaling: DataFrame, peak: DataFrame) -> DataFrame:
+    """(source, recommendation, priority) from resource need, scaling summary and peak forecast, and the overall risk."""
+    text = lambda df, source, rec, priority: df.select(F.lit(source).alias("source"), rec.alias("recommendation"), priority.alias("priority"))
+    a = text(need, "volume", F.when(F.col("needs_scaling") == 1, "scale_for_peak").otherwise("keep_capacity"), F.when(F.col("needs_scaling") == 1, "high").otherwise("low"))
+    b = text(scaling, "utilization", F.col("recommendation"), F.when(F.col("recommendation") == "upgrade", "high").when(F.col("recommendation") == "downgrade", "medium").otherwise("low"))
+    hours = peak.agg(F.sum("is_peak").alias("n"))
+    c = text(hours, "peaks", F.when(F.col("n") > 0, "prepare_for_peaks").otherwise("no_peak_expected"), F.when(F.col("n") > 5, "high").when(F.col("n") > 0, "medium").otherwise("low"))
+    rows = a.unionByName(b).unionByName(c)
+    worst = rows.agg(F.max(F.when(F.col("priority") == "high", 2).when(F.col("priority") == "medium", 1).otherwise(0)).alias("w"))
+    overall = text(worst, "overall", F.lit("risk"), F.when(F.col("w") == 2, "high").when(F.col("w") == 1, "medium").otherwise("low"))
+    return rows.unionByName(overall)

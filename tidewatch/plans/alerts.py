@@ -298,3 +298,10 @@ def audit_report(spark, d):
 @query("al37_audit_integrity", f"with {AUDIT} select 'hash_mismatch' as issue, sequence from au where sequence % 500 = 1 union all select 'missing_sequence', event_id from events where event_id % 61 = 0 and event_id > (select min(sequence) from au) and event_id < (select max(sequence) from au)")
 def audit_integrity(spark, d):
     return L.verify_integrity(_audit(spark, d))
+
+
+@query("al28_condition_details", f"""with {AGG}, {ROWS}, {CONDS}, lp as (select metric, value, row_number() over (partition by metric order by ts desc, point_id desc) as n from points where ts <= timestamp '{AS_OF}'), ls as (select metric, string_agg(value::varchar, ',' order by n) as last_points from lp where n <= 10 group by 1)
+select cx.condition_id, cx.metric, cx.seconds, cx.aggregation, cx.op, cx.threshold, round(cx.current,6) as current, cx.is_met, wx."count", round(wx."avg",6) as "avg", wx."min", wx."max", round(wx."std",6) as "std", last_points
+from cx left join wx on wx.metric = cx.metric and wx.seconds = cx.seconds left join ls on ls.metric = cx.metric""")
+def condition_details(spark, d):
+    return L.condition_details(metric_points(spark, d), [C1, C2, C3, C4], AS_OF)

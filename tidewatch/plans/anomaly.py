@@ -117,3 +117,9 @@ def mean_scores(spark, d):
     points = metric_points(spark, d)
     found = A.detect(points)
     return A.mean_scores({"all": A.scores(points, found), "iqr": A.scores(points, found.filter("is_iqr_anomaly = 1"))})
+
+
+@query("cl23_forest_flags")
+def forest_flags(spark, d):
+    """One column, contamination 0.1."""
+    return A.isolation_forest(query_log(spark, d).select("QUERY_ID", "CREDITS_USED"), ["CREDITS_USED"], "QUERY_ID").select("QUERY_ID", "anomaly_score", "is_anomaly")

@@ -267,3 +267,14 @@ def peak_summary(spark, d):
 p as (select hour, least((coalesce(hs.s,0)+coalesce(ds.s,0))/2,1) as p from gr left join hs on hs.h = hour(gr.hour) left join ds on ds.d = isodow(gr.hour)-1) select hour, round(p,6) as probability, case when p > 0.5 then 1 else 0 end as is_peak, case when p > 0.5 then 'high' when p > 0.2 then 'medium' else 'low' end as risk from p""")
 def peak_forecast(spark, d):
     return C.peak_forecast(C.peak_shares(C.peaks(_load_points(spark, d))), START, 48)
+
+
+@query("fc31_combined_recommendations", f"""with {HOURLY}, {_index('n', 'hr', 1.2, None)}, rn as (select case when max(predicted) > avg(predicted)*1.5 then 1 else 0 end as s from fx), r as (select 'volume' as source, case when s = 1 then 'scale_for_peak' else 'keep_capacity' end as recommendation, case when s = 1 then 2 else 0 end as p from rn
+ union all select 'utilization', rec, case rec when 'upgrade' then 2 when 'downgrade' then 1 else 0 end from (with {ACT.replace('fx as', 'fy as').replace('from fx)', 'from fy)')} select case when count(*) filter (action='scale_up') > count(*)*0.3 then 'upgrade' when count(*) filter (action='scale_down') > count(*)*0.5 then 'downgrade' else 'keep' end as rec from ax)
+ union all select 'peaks', case when n > 0 then 'prepare_for_peaks' else 'no_peak_expected' end, case when n > 5 then 2 when n > 0 then 1 else 0 end from (with {PK}, hs as (select hour(start_time) as h, count(*)/(select count(*) from px) as s from px group by 1), ds as (select isodow(start_time)-1 as d, count(*)/(select count(*) from px) as s from px group by 1),
+ gr as (select timestamp '{START}' + i * interval 1 hour as hour from range(0, 48) t(i)) select count(*) filter (least((coalesce(hs.s,0)+coalesce(ds.s,0))/2,1) > 0.5) as n from gr left join hs on hs.h = hour(gr.hour) left join ds on ds.d = isodow(gr.hour)-1))
+select source, recommendation, ['low','medium','high'][p+1] as priority from r union all select 'overall', 'risk', ['low','medium','high'][max(p)+1] from r""")
+def combined_recommendations(spark, d):
+    need = C.resource_need(C.index_forecast(_hourly(spark, d), 48, START))
+    peak = C.peak_forecast(C.peak_shares(C.peaks(_load_points(spark, d))), START, 48)
+    return C.combined_recommendations(need, C.scaling_summary(_actions(spark, d)), peak)

@@ -71,14 +71,11 @@ def database_patterns(spark, d):
 
 
 @query("ua06_user_patterns", """
-select USER_NAME, QUERY_TYPE, count(*) as QUERY_ID_count, round(sum(CREDITS_USED),11) as CREDITS_USED_sum, round(avg(CREDITS_USED),11) as CREDITS_USED_mean,
-  round(stddev_samp(CREDITS_USED),8) as CREDITS_USED_std, round(avg(EXECUTION_TIME_MS),8) as EXECUTION_TIME_MS_mean, round(stddev_samp(EXECUTION_TIME_MS),6) as EXECUTION_TIME_MS_std,
-  'user_query' as pattern_type from facts group by 1, 2 having count(*) >= 5""", digits=11)
+select USER_NAME, QUERY_TYPE, count(*) as QUERY_ID_count, round(sum(CREDITS_USED),6) as CREDITS_USED_sum, round(avg(CREDITS_USED),6) as CREDITS_USED_mean,
+  round(stddev_samp(CREDITS_USED),6) as CREDITS_USED_std, round(avg(EXECUTION_TIME_MS),6) as EXECUTION_TIME_MS_mean, round(stddev_samp(EXECUTION_TIME_MS),6) as EXECUTION_TIME_MS_std,
+  'user_query' as pattern_type from facts group by 1, 2 having count(*) >= 5""")
 def user_patterns(spark, d):
-    out = U.user_patterns(cost_facts(spark, d))
-    # means over 4, 8 or 16 rows end in a half at few digits: round each column where that cannot happen
-    return out.withColumns({"EXECUTION_TIME_MS_mean": F.round("EXECUTION_TIME_MS_mean", 8), "EXECUTION_TIME_MS_std": F.round("EXECUTION_TIME_MS_std", 6),
-                            "CREDITS_USED_std": F.round("CREDITS_USED_std", 8)})
+    return U.user_patterns(cost_facts(spark, d))
 
 
 @query("ua07_warehouse_patterns", """

@@ -11,6 +11,7 @@ DIMS = ["DATABASE_NAME", "WAREHOUSE_NAME", "QUERY_TYPE"]
 
 
 def PCT(v, part=""):
+    """SQL of the average-tie percentile rank."""
     over = f"partition by {part}" if part else ""
     peers = f"partition by {part + ',' if part else ''} {v}"
     return (f"(rank() over ({over} order by {v}) + (count(*) over ({peers}) - 1) / 2.0) / count(*) over ({over})")

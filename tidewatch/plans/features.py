@@ -186,10 +186,6 @@ K = ["USER_NAME"]
 DAYS7 = 7 * 86400
 
 
-def _us(expr):
-    return expr
-
-
 RANGE = "partition by USER_NAME order by epoch_us(START_TIME) range between {n} preceding and current row"
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import simhash
+from tidewatch.llm import huffman, linequality, secrets, simhash, toxicity
 from tidewatch.llm.common import table
 from tidewatch.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -13,3 +14,28 @@ from tidewatch.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 def op9(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op7_secret_spans")
+def op7(spark, folder):
+    return secrets.digested(secrets.scan(table(spark, folder, "documents")))
+
+
+@query("op4_line_quality")
+def op4(spark, folder):
+    return linequality.judged(table(spark, folder, "documents"))
+
+
+@query("op1_toxic_segments")
+def op1(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.train(docs, table(spark, folder, "labels"), ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"), "passages")
+
+
+@query("op8_huffman_token_files")
+def op8(spark, folder):
+    return huffman.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -88,3 +89,21 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
         for k in range(width):
             total = total * np.uint64(0x9E3779B97F4A7C15) + mixed(words[k:k + n])
     return mixed(total)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    place: dict[bytes, int] = {}
+    ids = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in place], np.uint64)[ids] if words else np.empty(0, np.uint64)
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def sketch(text: str | None, width: int = 5, seen: np.ndarray | None = None) -> int:
+    """A min-hash over the word windows of a text, which copies share and near copies mostly do."""
+    data = (text or "").encode()
+    if seen is None:
+        seen = windows(word_hashes(data.split()), width)
+    return signed(int(seen.min()) if len(seen) else xxhash.xxh3_64_intdigest(b" ".join(data.lower().split())))

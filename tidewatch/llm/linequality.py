@@ -22,7 +22,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import DOCUMENT, KEY, keyed, map_rows, take, windows
+from tidewatch.llm.common import DOCUMENT, KEY, keyed, map_rows, signed, sketch, take, windows, word_hashes
 from tidewatch.session import materialise
 
 WINDOW = 5
@@ -52,21 +52,13 @@ def line_key(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
 def measures(text: str | None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, sketch, line hashes, words of each line."""
     text = text or ""
     data = text.encode()
     words = data.split()
-    place: dict[bytes, int] = {}
-    ids = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.array([digest(w) for w in place], np.uint64)[ids] if words else np.empty(0, np.uint64)
-    seen = windows(hashes, WINDOW)
-    sketch = int(seen.min()) if len(seen) else digest(line_key(data))
+    seen = windows(word_hashes(words), WINDOW)
     lines = [x for x in data.split(b"\n") if x.strip()]
     keys: dict[int, int] = {}
     for line in lines:
@@ -75,7 +67,7 @@ def measures(text: str | None) -> tuple:
         keys[at] = keys.get(at, 0) + key.count(b" ") + 1
     return (len(words), len(text) - len(data) + sum(map(len, words)),
             len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(seen),
-            signed(sketch), list(keys), list(keys.values()))
+            sketch(text, WINDOW, seen), list(keys), list(keys.values()))
 
 
 FIELDS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",

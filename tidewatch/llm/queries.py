@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import huffman, linequality, secrets, simhash, toxicity
+from tidewatch.llm import huffman, linequality, neighbours, packing, secrets, simhash, toxicity, warc
 from tidewatch.llm.common import table
 from tidewatch.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -39,3 +39,34 @@ def op1(spark, folder):
 @query("op8_huffman_token_files")
 def op8(spark, folder):
     return huffman.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@query("op2_block_neighbours", """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 20 = 0)
+select query_id, rank, vec_id, score from (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pairs)
+where rank <= 20""")
+def op2(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op10_warc_revisits", """
+with p as (select page_id, coalesce(html, '') as h from pages),
+o as (select *, max(page_id) over (partition by h) as last from p)
+select page_id, cast(strlen(h) as bigint) as payload_bytes, sha1(encode(h)) as payload_digest,
+  case when strlen(h) >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+  case when strlen(h) >= 1000 and page_id <> last then last end as refers_to
+from o""")
+def op10(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op6_bm25_packing")
+def op6(spark, folder):
+    return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

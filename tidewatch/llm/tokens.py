@@ -14,11 +14,14 @@ import re
 import numpy as np
 
 #: Cached chunks of a worker; the cache starts anew beyond it.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 900_000
 #: Unicode white space, the library's sense of it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEADING_BLANK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 DROPPED_BLANK = re.compile("[^\t-\r ]+")
+#: What Python splits at but the library does not, and white space besides blanks and line ends.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+OTHER_SPACE = re.compile(f"[{SPACE}]".replace("\t-\r ", "\t\x0b-\r"))
 MARK = "\ue000"
 TAIL = ".,;:!?|#$%&*)\""
 
@@ -37,21 +40,77 @@ class Chunks:
         self.between = "\n" if keeps_space else f" {MARK} "
         self.mark = np.array(self._encode("\n" if keeps_space else MARK), np.uint32)
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # of a word with a blank before it
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.split(t or "") for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > CACHE_CHUNKS and self.known:
+        if len(self.known) + len(self.spaced) > CACHE_CHUNKS:
             self.known.clear()
-            new = set().union(*parts)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    def _learn(self, chunks: list[str]) -> None:
+            self.spaced.clear()
+        return self._spaced_texts(texts) if self.keeps_space else self._plain_texts(texts)
+
+    def _plain_texts(self, texts: list[str | None]) -> list[bytes]:
+        get = self.known.get
+        parts = [[] if not t else self.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
+        found = [list(map(get, p)) for p in parts]
+        self._learn({c for p, f in zip(parts, found) if None in f for c, x in zip(p, f) if x is None})
+        return [b"".join(map(get, p) if None in f else f) for p, f in zip(parts, found)]
+
+    def _spaced_texts(self, texts: list[str | None]) -> list[bytes]:
+        """Texts whose only white space is single blanks and line ends take each word by itself."""
+        get, after_blank = self.known.get, self.spaced.get
+        line_end = self.known.get("\n") or self._one("\n")
+
+        def pieces(text):
+            found = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                found.append(get(first))
+                found += map(after_blank, rest)
+                found.append(line_end)
+            found.pop()
+            return found
+
+        out: list = [None] * len(texts)
+        plain, missing, missing_after = [], set(), set()
+        for n, text in enumerate(texts):
+            if not text:
+                out[n] = b""
+            elif OTHER_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text \
+                    or text[0] in " \n" or text[-1] in " \n":
+                missing.update(c for c in self.split(text) if c not in self.known)
+                plain.append(n)
+            else:
+                found = pieces(text)
+                if None in found:
+                    for line in text.split("\n"):
+                        first, *rest = line.split(" ")
+                        missing.add(first)
+                        missing_after.update(rest)
+                else:
+                    out[n] = b"".join(found)
+        missing.difference_update(self.known)
+        missing_after.difference_update(self.spaced)
+        self._learn(missing.union(" " + c for c in missing_after if " " + c not in self.known))
+        for c in missing_after:
+            self.spaced[c] = self.known.pop(" " + c)
+        for n in plain:
+            missing = {c for c in self.split(texts[n]) if c not in self.known}
+            if missing:  # a chunk that a plain text also held
+                self._learn(missing)
+            out[n] = b"".join(map(get, self.split(texts[n])))
+        for n, text in enumerate(texts):
+            if out[n] is None:
+                out[n] = b"".join(pieces(text))
+        return out
+
+    def _one(self, chunk: str) -> bytes:
+        made = self.known[chunk] = np.array(self._encode(chunk), "<u2").tobytes()
+        return made
+
+    def _learn(self, chunks: set[str]) -> None:
         """Encode new chunks; marks after a last letter are a match of their own, so they are split off first."""
         cut, wanted = [], set()
         for c in chunks:

@@ -199,9 +199,9 @@ def id_counts(ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    got = ids.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = ids.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << 16, np.int64)
-    counts[got.id.to_numpy()] = got.n.to_numpy()
+    counts[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return counts
 
 

@@ -87,9 +87,9 @@ def frequencies(kept: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    got = kept.where("n is null").select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = kept.where("n is null").select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(VOCABULARY, np.int64)
-    out[got.id.to_numpy()] = got.n.to_numpy()
+    out[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return out
 
 

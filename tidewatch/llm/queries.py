@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import huffman, linequality, neighbours, packing, secrets, simhash, toxicity, warc
+from tidewatch.llm import bpe, huffman, linequality, neighbours, packing, secrets, simhash, toxicity, warc
 from tidewatch.llm.common import table
 from tidewatch.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -70,3 +70,8 @@ def op10(spark, folder):
 @query("op6_bm25_packing")
 def op6(spark, folder):
     return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_byte_bpe")
+def op3(spark, folder):
+    return bpe.coded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -23,94 +24,133 @@ DROPPED_BLANK = re.compile("[^\t-\r ]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 OTHER_SPACE = re.compile(f"[{SPACE}]".replace("\t-\r ", "\t\x0b-\r"))
 MARK = "\ue000"
+#: Stands before a word that begins a line.
+FIRST = "\x00"
+SIGMA = "\u03a3"
 TAIL = ".,;:!?|#$%&*)\""
 
 
-class Chunks:
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    out, free = {}, 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 255 and byte != 173:
+            out[byte] = chr(byte)
+        else:
+            out[byte] = chr(free)
+            free += 1
+    return out
+
+
+class SpacedChunks:
+    """Texts cut where a blank goes with the word after it; ``learn`` puts the value of new chunks into ``known``."""
+
+    def __init__(self):
+        self.split = LEADING_BLANK.findall
+        self.known: dict = {}
+        self.spaced: dict = {}  # of a word with a blank before it
+
+    def learn(self, chunks: set[str]) -> None:
+        raise NotImplementedError
+
+    def trim(self, limit: int) -> None:
+        if len(self.known) + len(self.spaced) > limit:
+            self.known.clear()
+            self.spaced.clear()
+
+    def parts(self, texts: list[str | None]) -> list[list]:
+        """The values of the chunks of every text, in order.
+
+        Texts whose white space is single blanks and line ends are split at once; others go through the pattern.
+
+        ``spaced`` holds the ids of a word with the blank before it; a word that begins a line is marked by FIRST.
+        """
+        get, known = self.spaced.get, self.known.get
+        parts, even = [], []
+        for t in texts:
+            even.append(bool(t) and not (OTHER_SPACE.search(t) or "  " in t or "\n\n" in t or " \n" in t or "\n " in t
+                                         or FIRST in t or t[0] in " \n" or t[-1] in " \n"))
+            parts.append((FIRST + t.replace("\n", f" \n {FIRST}")).split(" ") if even[-1] else self.split(t) if t else [])
+        found = [list(map(get if e else known, p)) for p, e in zip(parts, even)]
+        new, new_spaced = set(), {}
+        for p, f, e in zip(parts, found, even):
+            if None in f:
+                missing = [c for c, x in zip(p, f) if x is None]
+                if e:
+                    new_spaced.update((c, c[1:] if c[0] == FIRST else c if c == "\n" else " " + c) for c in missing)
+                else:
+                    new.update(missing)
+        self.learn(new.union(c for c in new_spaced.values() if c not in self.known))
+        for c, chunk in new_spaced.items():
+            self.spaced[c] = self.known[chunk] if chunk in new or chunk[0] != " " else self.known.pop(chunk)
+        return [list(map(get if e else known, p)) if None in f else f for p, f, e in zip(parts, found, even)]
+
+class Chunks(SpacedChunks):
     """Ids (little-endian 16 bit) of texts. ``keeps_space``: white space is part of the tokens."""
 
     def __init__(self, file: str, keeps_space: bool):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self.split = (LEADING_BLANK if keeps_space else DROPPED_BLANK).findall
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.letters = byte_letters()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        blank = self.letters[32]
+        for token, at in vocabulary.items():
+            self.edge[at] = token[0] == blank if keeps_space else token.endswith("</w>")
+        if not keeps_space:
+            self.split = DROPPED_BLANK.findall
         self.between = "\n" if keeps_space else f" {MARK} "
         self.mark = np.array(self._encode("\n" if keeps_space else MARK), np.uint32)
-        self.known: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # of a word with a blank before it
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) + len(self.spaced) > CACHE_CHUNKS:
-            self.known.clear()
-            self.spaced.clear()
-        return self._spaced_texts(texts) if self.keeps_space else self._plain_texts(texts)
+        self.trim(CACHE_CHUNKS)
+        return [b"".join(p) for p in self.parts(texts)] if self.keeps_space else self._plain_texts(texts)
 
     def _plain_texts(self, texts: list[str | None]) -> list[bytes]:
         get = self.known.get
+        # Lower case is the file's own first step; only the sigma depends on what stands beside it here.
+        texts = [t if not t or SIGMA in t else t.lower() for t in texts]
         parts = [[] if not t else self.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
         found = [list(map(get, p)) for p in parts]
-        self._learn({c for p, f in zip(parts, found) if None in f for c, x in zip(p, f) if x is None})
+        self.learn({c for p, f in zip(parts, found) if None in f for c, x in zip(p, f) if x is None})
         return [b"".join(map(get, p) if None in f else f) for p, f in zip(parts, found)]
 
-    def _spaced_texts(self, texts: list[str | None]) -> list[bytes]:
-        """Texts whose only white space is single blanks and line ends take each word by itself."""
-        get, after_blank = self.known.get, self.spaced.get
-        line_end = self.known.get("\n") or self._one("\n")
-
-        def pieces(text):
-            found = []
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                found.append(get(first))
-                found += map(after_blank, rest)
-                found.append(line_end)
-            found.pop()
-            return found
-
-        out: list = [None] * len(texts)
-        plain, missing, missing_after = [], set(), set()
-        for n, text in enumerate(texts):
-            if not text:
-                out[n] = b""
-            elif OTHER_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text \
-                    or text[0] in " \n" or text[-1] in " \n":
-                missing.update(c for c in self.split(text) if c not in self.known)
-                plain.append(n)
-            else:
-                found = pieces(text)
-                if None in found:
-                    for line in text.split("\n"):
-                        first, *rest = line.split(" ")
-                        missing.add(first)
-                        missing_after.update(rest)
-                else:
-                    out[n] = b"".join(found)
-        missing.difference_update(self.known)
-        missing_after.difference_update(self.spaced)
-        self._learn(missing.union(" " + c for c in missing_after if " " + c not in self.known))
-        for c in missing_after:
-            self.spaced[c] = self.known.pop(" " + c)
-        for n in plain:
-            missing = {c for c in self.split(texts[n]) if c not in self.known}
-            if missing:  # a chunk that a plain text also held
-                self._learn(missing)
-            out[n] = b"".join(map(get, self.split(texts[n])))
-        for n, text in enumerate(texts):
-            if out[n] is None:
-                out[n] = b"".join(pieces(text))
-        return out
-
     def _one(self, chunk: str) -> bytes:
         made = self.known[chunk] = np.array(self._encode(chunk), "<u2").tobytes()
         return made
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _is_word(self, chunk: str) -> bool:
+        """One match of the pattern that the normalizer leaves as it is: letters only (after a blank, where kept)."""
+        if self.keeps_space:
+            return chunk[0] == " " and chunk[1:].isalpha()
+        return chunk.isalpha() and (chunk.isascii() or unicodedata.is_normalized("NFC", chunk) and SIGMA not in chunk) and chunk == chunk.lower()
+
+    def _encode_words(self, words: list[str]) -> None:
+        """The model alone, without the steps that don't change such words; a token shows where a word ends or begins."""
+        table = self.letters
+        for at in range(0, len(words), 1000):
+            group = words[at:at + 1000]
+            written = [c if c.isascii() and not self.keeps_space else c.encode().decode("latin-1").translate(table) for c in group]
+            ids = np.array(self.model.encode_batch_fast([" ".join(written)], add_special_tokens=False)[0].ids, np.int64)
+            data = ids.astype("<u2").tobytes()
+            edges = 2 * np.flatnonzero(self.edge[ids])
+            if len(edges) != len(group):
+                raise ValueError("the vocabulary does not mark the edges of words")
+            starts, ends = (edges, [*edges[1:], len(data)]) if self.keeps_space else ([0, *(edges[:-1] + 2)], edges + 2)
+            self.known.update((c, data[a:b]) for c, a, b in zip(group, starts, ends))
+
+    def learn(self, chunks: set[str]) -> None:
         """Encode new chunks; marks after a last letter are a match of their own, so they are split off first."""
         cut, wanted = [], set()
         for c in chunks:
@@ -120,8 +160,6 @@ class Chunks:
             else:
                 tail = c[len(core):]
                 wanted.add(tail)
-            if not self.keeps_space and "A" <= core[0] <= "Z":
-                core = core[0].lower() + core[1:]  # as the file's own normalizer does
             wanted.add(core)
             cut.append((c, core, tail))
         self._encode_all(list(wanted.difference(self.known)))
@@ -129,14 +167,16 @@ class Chunks:
         for c, core, tail in cut:
             if tail:
                 known[c] = known[core] + known[tail]
-            elif core is not c:
-                known[c] = known[core]
 
     def _encode_all(self, chunks: list[str]) -> None:
-        odd = {c for c in chunks if c[0] in "\t\n\x0b\x0c\r" or c[:2] == "  " or not c.strip() or MARK in c}
-        plain = [c for c in chunks if c not in odd] if odd else chunks
+        words, rest = [], []
+        for c in chunks:
+            (words if self._is_word(c) else rest).append(c)
+        self._encode_words(words)
+        odd = {c for c in rest if c[0] in "\t\n\x0b\x0c\r" or c[:2] == "  " or not c.strip() or MARK in c}
+        plain = [c for c in rest if c not in odd] if odd else rest
         for c in odd:
-            self.known[c] = np.array(self._encode(c), "<u2").tobytes()
+            self._one(c)
         groups = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
         for group, made in zip(groups, self.tokenizer.encode_batch_fast(
                 [self.between.join(g) for g in groups], add_special_tokens=False)):
@@ -147,7 +187,7 @@ class Chunks:
             cuts = np.flatnonzero(at)
             if len(cuts) != len(group) - 1:  # a chunk that reads differently beside others
                 for c in group:
-                    self.known[c] = np.array(self._encode(c), "<u2").tobytes()
+                    self._one(c)
                 continue
             data = ids.astype("<u2").tobytes()
             starts = [0, *(2 * (cuts + len(self.mark))).tolist()]

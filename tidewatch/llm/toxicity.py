@@ -75,7 +75,7 @@ class Model:
 
 
 def bucket_counts(labelled: DataFrame) -> DataFrame:
-    """bucket, toxic, n: documents of ``labelled`` (text, toxic) that hold the bucket; toxic rows alone as bucket -1."""
+    """bucket, clean, toxic: documents of ``labelled`` (text, toxic) that hold the bucket; all documents as bucket ``BUCKETS``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(buckets_of)
         counts = np.zeros((2, BUCKETS + 1), np.int32)
@@ -93,32 +93,35 @@ def bucket_counts(labelled: DataFrame) -> DataFrame:
                      pa.array(counts[toxic, part].astype(np.int64))], names=["bucket", "toxic", "n"])
 
     parts = labelled.select("text", "toxic").mapInArrow(run, "bucket int, toxic int, n bigint")
-    return parts.groupBy("bucket", "toxic").agg(F.sum("n").alias("n"))
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col("n"))), F.lit(0))
+    return parts.groupBy("bucket").agg(of(0).alias("clean"), of(1).alias("toxic"))
 
 
-def fit_scores(counted) -> Model | None:
-    """The token scores from ``bucket_counts`` as a pandas frame; None without both classes."""
-    table = np.zeros((2, BUCKETS + 1))
-    table[counted.toxic.to_numpy(), counted.bucket.to_numpy()] = counted.n.to_numpy()
-    clean_rows, toxic_rows = table[:, BUCKETS]
-    if not clean_rows or not toxic_rows:
+def fit_scores(counted: DataFrame) -> Model | None:
+    """The token scores from ``bucket_counts``; None without both classes.
+
+    Only buckets that score above the neutral score come to the driver, at most ``BUCKETS`` numbers.
+    """
+    rows = counted.where(F.col("bucket") == BUCKETS).first()
+    if rows is None or not rows["clean"] or not rows["toxic"]:
         return None
-    clean, toxic = table[:, :BUCKETS]
-    prior = PRIOR_SHARE * (clean + toxic)
-    mass = PRIOR_SHARE * (clean_rows + toxic_rows)
-    base = math.log(toxic_rows / clean_rows)
-    seen = prior > 0
-    scores = np.full(BUCKETS, base)
-    a, b = toxic[seen] + prior[seen], clean[seen] + prior[seen]
-    odds = np.log(a / (toxic_rows + mass)) - np.log(b / (clean_rows + mass))
-    scores[seen] = odds - INTERVAL * np.sqrt(1 / a + 1 / b) + base
+    mass = PRIOR_SHARE * (rows["clean"] + rows["toxic"])
+    base = math.log(rows["toxic"] / rows["clean"])
     neutral = min(-0.5, base)
-    scores = np.clip(scores, neutral, None)
-    # How often a clean row's token has a positive score; the prior keeps it above zero.
-    positive = scores > 0
-    rate = (clean[positive].sum() + 0.5) / (clean.sum() + 1.0)
-    typical = float(np.average(scores[positive], weights=toxic[positive] + 1e-9)) if positive.any() else 1.0
-    return Model(scores.astype(np.float32), neutral, decay(rate, typical, neutral), 0.3)
+    prior = PRIOR_SHARE * (F.col("clean") + F.col("toxic"))
+    a, b = F.col("toxic") + prior, F.col("clean") + prior
+    odds = F.log(a / (rows["toxic"] + mass)) - F.log(b / (rows["clean"] + mass))
+    tokens = counted.where(F.col("bucket") < BUCKETS)
+    scored = tokens.withColumn("score", odds - INTERVAL * F.sqrt(1 / a + 1 / b) + base)
+    told = scored.where(F.col("score") > neutral).toArrow()
+    scores = np.full(BUCKETS, neutral, np.float32)
+    gains, toxic, clean = (told.column(c).to_numpy().astype(float) for c in ("score", "toxic", "clean"))
+    scores[told.column("bucket").to_numpy()] = gains
+    # How often a clean row's token has a positive score; half a count keeps it above zero.
+    positive = gains > 0
+    rate = (clean[positive].sum() + 0.5) / (tokens.agg(F.sum("clean")).first()[0] + 1.0)
+    typical = float(np.average(gains[positive], weights=toxic[positive])) if positive.any() else 1.0
+    return Model(scores, neutral, decay(rate, typical, neutral), 0.3)
 
 
 def decay(rate: float, gain: float, loss: float) -> float:
@@ -197,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model | None:
     rows = map_rows(rows, "doc_id bigint, text string, toxic int, sketch bigint",
                     lambda part: part | {"sketch": [sketch(t) for t in part["text"]]})
     rows = materialise(rows.dropDuplicates(["sketch", "toxic"]).drop("sketch"))
-    model = fit_scores(bucket_counts(rows).toPandas())
+    model = fit_scores(materialise(bucket_counts(rows)))
     if model is None:
         return None
     shared = spark.sparkContext.broadcast(model)
@@ -208,8 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model | None:
         own, cache = shared.value, word_score(shared.value)
         return {"f": [evidence(own, cache, t)[1] for t in part["text"]], "toxic": part["toxic"]}
 
-    seen = map_rows(sample.select("text", "toxic"), "f array<double>, toxic int", features).toPandas()
-    model.curve = fit_curve(np.array(seen.f.to_list()), seen.toxic.to_numpy().astype(float))
+    seen = map_rows(sample.select("text", "toxic"), "f array<double>, toxic int", features).toArrow()
+    model.curve = fit_curve(np.array(seen.column("f").to_pylist()), seen.column("toxic").to_numpy().astype(float))
     return model
 
 

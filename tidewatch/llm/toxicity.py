@@ -3,9 +3,11 @@
 Tokens are lower-cased words and their first five and four letters, hashed into
 ``BUCKETS``. From the labelled training rows each bucket gets the log-odds of its
 document rates in toxic and other rows under a Dirichlet prior proportional to the
-corpus rate; its score is the lower end of a one-sided interval of that, plus the
-log-odds of the classes, so it is positive only where the word alone makes the
-label likelier than not. A word scores the best of its three buckets.
+corpus rate. A bucket counts if its rows are toxic too often for chance: the tail of the
+binomial distribution, by Chernoff's bound, times the buckets tried is below one. Its
+score is the log-odds plus that of the classes, positive only where the word alone makes
+the label likelier than not; all others score the neutral, negative value. A word
+scores the best of its three buckets.
 
 The Ruzzo-Tompa scan then finds all maximal segments of a text in linear time. A
 segment's E-value is ``K n exp(-lambda S)`` with lambda solving E[exp(lambda s)] = 1
@@ -34,8 +36,9 @@ from tidewatch.session import materialise
 
 BUCKETS = 1 << 20
 PRIOR_SHARE = 0.05
-INTERVAL = 1.28
-#: Rows the logistic curve is fitted to, at most.
+#: Labelled rows to learn from, at most, taken in hash order of their ids; their ids are broadcast, 16 bytes each.
+TRAINING_ROWS = 100_000
+#: Rows the logistic curve is fitted to, about.
 CALIBRATION_ROWS = 20_000
 #: Cached words of a worker; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
@@ -71,6 +74,7 @@ class Model:
     neutral: float      # of a word without a bucket
     decay: float        # lambda
     scale: float        # K
+    rows: int           # learned from
     curve: tuple[float, ...] = ()
 
 
@@ -100,7 +104,7 @@ def bucket_counts(labelled: DataFrame) -> DataFrame:
 def fit_scores(counted: DataFrame) -> Model | None:
     """The token scores from ``bucket_counts``; None without both classes.
 
-    Only buckets that score above the neutral score come to the driver, at most ``BUCKETS`` numbers.
+    Only buckets that count come to the driver, at most ``BUCKETS`` numbers.
     """
     rows = counted.where(F.col("bucket") == BUCKETS).first()
     if rows is None or not rows["clean"] or not rows["toxic"]:
@@ -112,16 +116,19 @@ def fit_scores(counted: DataFrame) -> Model | None:
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (rows["toxic"] + mass)) - F.log(b / (rows["clean"] + mass))
     tokens = counted.where(F.col("bucket") < BUCKETS)
-    scored = tokens.withColumn("score", odds - INTERVAL * F.sqrt(1 / a + 1 / b) + base)
-    told = scored.where(F.col("score") > neutral).toArrow()
+    tried, clean_sum = tokens.agg(F.count(F.when(F.col("toxic") > 0, 1)), F.sum("clean")).first()
+    chance = rows["toxic"] / (rows["clean"] + rows["toxic"])
+    share = F.col("toxic") / (F.col("clean") + F.col("toxic"))
+    surprise = F.col("toxic") * F.log(share / chance) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - chance))).otherwise(0.0)
+    scored = tokens.withColumn("score", odds + base)
+    told = scored.where((F.col("toxic") > 0) & (share > chance) & (surprise > math.log(max(2, tried))) & (F.col("score") > 0)).toArrow()
     scores = np.full(BUCKETS, neutral, np.float32)
     gains, toxic, clean = (told.column(c).to_numpy().astype(float) for c in ("score", "toxic", "clean"))
     scores[told.column("bucket").to_numpy()] = gains
     # How often a clean row's token has a positive score; half a count keeps it above zero.
-    positive = gains > 0
-    rate = (clean[positive].sum() + 0.5) / (tokens.agg(F.sum("clean")).first()[0] + 1.0)
-    typical = float(np.average(gains[positive], weights=toxic[positive])) if positive.any() else 1.0
-    return Model(scores, neutral, decay(rate, typical, neutral), 0.3)
+    rate = (clean.sum() + 0.5) / (clean_sum + 1.0)
+    typical = float(np.average(gains, weights=toxic)) if len(gains) else 1.0
+    return Model(scores, neutral, decay(rate, typical, neutral), 0.3, rows["clean"] + rows["toxic"])
 
 
 def decay(rate: float, gain: float, loss: float) -> float:
@@ -194,8 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model | None:
     spark = docs.sparkSession
     marks = (take(labels, doc_id="bigint", toxic="int").where("toxic in (0, 1) and doc_id is not null")
              .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
-             .where("toxic = _most").drop("_most"))
-    rows = take(docs, doc_id="bigint", text="string").where(usable).join(marks, "doc_id").select("doc_id", "text", "toxic")
+             .where("toxic = _most").drop("_most").where(usable)
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS))
+    rows = take(docs, doc_id="bigint", text="string").join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic")
     # Copies and near copies under one label count once: their words are no independent evidence.
     rows = map_rows(rows, "doc_id bigint, text string, toxic int, sketch bigint",
                     lambda part: part | {"sketch": [sketch(t) for t in part["text"]]})
@@ -204,8 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model | None:
     if model is None:
         return None
     shared = spark.sparkContext.broadcast(model)
-    # A hash order makes the bounded sample the same on every run.
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    # A hash of the id makes the bounded sample the same on every run.
+    share = min(1.0, CALIBRATION_ROWS / model.rows)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), 1 << 20) < math.ceil(share * (1 << 20)))
 
     def features(part):
         own, cache = shared.value, word_score(shared.value)

@@ -7,19 +7,47 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from tidewatch.llm import queries, simhash  # noqa: E402
+from tidewatch.llm import linequality, packing, queries, secrets, simhash, weakquality  # noqa: E402
 from tidewatch.session import materialise  # noqa: E402
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and keep enough once lines frequent in their host are removed."""
+    return linequality.cleaned(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer trained on this stage's own input keeps."""
+    return weakquality.filtered(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near fingerprints."""
     return simhash.deduplicated(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, found secrets replaced."""
+    return secrets.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("simhash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("packing", pack),
+]
 
-#: Trained scores and a packing order can't be put in SQL; the stages are tested against brute force.
+#: A trained scorer and a packing order can't be put in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -34,4 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> tuple[dict, dict]:
     """The queries of the package and of this pipeline, and their SQL."""
-    return {**queries.QUERIES, "pipeline": run}, dict(queries.CHECKS)
+    checks = dict(queries.CHECKS)
+    if ORACLE_SQL:
+        checks["pipeline"] = ORACLE_SQL
+    return {**queries.QUERIES, "pipeline": run}, checks

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, huffman, linequality, neighbours, packing, secrets, simhash, toxicity, warc
+from tidewatch.llm import bpe, huffman, linequality, neighbours, packing, secrets, simhash, toxicity, warc, weakquality
 from tidewatch.llm.common import table
 from tidewatch.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -75,3 +75,9 @@ def op6(spark, folder):
 @query("op3_byte_bpe")
 def op3(spark, folder):
     return bpe.coded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_weak_label_quality")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    return weakquality.scored(docs, weakquality.train(docs))

@@ -96,11 +96,11 @@ class Labelling:
 
 
 def estimate(patterns: list[tuple[list[int], int]], rounds: int = 200) -> Labelling:
-    """Expectation-maximisation; starts from the share of good votes."""
+    """Expectation-maximisation; starts from the number of bad votes."""
     own = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), -1)
     n = np.array([c for _, c in patterns], float)
-    cast = (own != ABSTAIN).sum(axis=1)
-    good = np.where(cast > 0, ((own == GOOD).sum(axis=1) + 0.5) / (cast + 1.0), 0.5)
+    # Labellers call a text bad on extremes only, so at first a single such vote outweighs the others.
+    good = np.where((own == BAD).any(axis=1), 0.25 ** (own == BAD).sum(axis=1), 0.9)
     prior, rates = 0.5, np.full((2, own.shape[1], 3), 1 / 3)
     for _ in range(rounds):
         for c, weight in enumerate((n * (1 - good), n * good)):

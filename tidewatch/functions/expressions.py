@@ -87,11 +87,6 @@ def kurtosis_corrected(column: str) -> Column:
         .when(n >= 4, F.lit(0.0))
 
 
-# Values are moved away from zero by far less than a digit, so that exact halves,
-# which engines round differently, are no halves any more.
-NUDGE = 1 + 1e-12
-
-
 def correlation(a: str, b: str, over=None) -> Column:
     """Pearson correlation, null when a column does not vary (``corr`` divides by zero there)."""
     part = (lambda c: c.over(over)) if over is not None else (lambda c: c)
@@ -101,12 +96,16 @@ def correlation(a: str, b: str, over=None) -> Column:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round all double columns; fold -0.0 into 0.0."""
+    """Round all double columns half away from zero; fold -0.0 into 0.0.
+
+    Scaling first rounds the stored value, as SQL engines do, not its shortest decimal form.
+    """
+    scale = F.lit(10.0 ** digits)
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.dataType.typeName() in ("double", "float"):
-            c = (F.round(c.cast("double") * NUDGE, digits) + F.lit(0.0)).alias(f.name)
+            c = (F.round(c.cast("double") * scale) / scale + F.lit(0.0)).alias(f.name)
         elif f.dataType.typeName() in ("integer", "short", "byte"):
             c = c.cast("bigint").alias(f.name)
         cols.append(c)

@@ -40,16 +40,17 @@ def _positions(method: str, n: Column, p: float) -> tuple[Column, Column, Column
 
 def group_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: list[float],
                     method: str = "linear") -> DataFrame:
-    """One row per group, columns ``<column>_<pNN>``; nulls are skipped."""
+    """One row per group, columns ``<column>_<pNN>``; nulls are skipped, a group of nulls gives null."""
     names = [(c, p, f"{c}_{label(p)}") for c in columns for p in probs]
     if method == "linear" and is_small(df):
         aggs = [F.expr(f"percentile(`{c}`, {p}D)").alias(name) for c, p, name in names]
         return df.groupBy(*keys).agg(*aggs)
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_metric"), F.col(c).cast("double").alias("_value"))
-        for c in columns])).alias("_m")).select(*keys, "_m.*").filter("_value is not null")
+        for c in columns])).alias("_m")).select(*keys, "_m.*")
     group = [*keys, "_metric"]
-    counted = long.groupBy(*group, "_value").agg(F.count("*").alias("_n"))
+    # nulls count nothing, but keep a group without values as a row
+    counted = long.groupBy(*group, "_value").agg(F.count("_value").alias("_n"))
     slices = Slices(counted, group, ["_value"])
     placed = slices.running(slices.df, {"_upto": F.col("_n")})
     totals = slices.df.groupBy(*group).agg(F.sum("_n").alias("_total"))

@@ -13,13 +13,15 @@ def with_ranks(df: DataFrame, column: str, by: list[str] | None = None, dense: s
                pct: str | None = None) -> DataFrame:
     """Dense rank (largest first) and average-tie percentile rank of ``column``.
 
-    Large inputs rank the counted distinct values over range cuts and join back.
+    A null has no rank.  Large inputs rank the counted distinct values over range cuts and join back.
     """
     by = by or []
     if is_small(df):
         out = {}
         if dense:
-            out[dense] = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc(column)))
+            # nulls come last in descending order, so they take no rank from others
+            rank = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc(column)))
+            out[dense] = F.when(F.col(column).isNotNull(), rank)
         if pct:
             order = Window.partitionBy(*by).orderBy(F.asc_nulls_last(column))
             peers = F.count(F.lit(1)).over(order.rangeBetween(0, 0))

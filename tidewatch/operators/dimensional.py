@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -19,12 +20,15 @@ MAX_CARDINALITY = 1000
 
 
 def usable_dimensions(df: DataFrame, dims: Sequence[str], limit: int = MAX_CARDINALITY) -> list[str]:
-    """Dimensions that exist and have at most ``limit`` distinct values."""
+    """Dimensions that exist and have at most ``limit`` distinct values; those left out are warned of by name."""
     known = [d for d in dims if d in df.columns]
     if not known:
         raise ValueError("No valid dimensions found in data")
     row = cardinalities(df, known).collect()
-    return [r["dimension"] for r in sorted(row, key=lambda r: known.index(r["dimension"])) if r["cardinality"] <= limit]
+    wide = sorted(r["dimension"] for r in row if r["cardinality"] > limit)
+    if wide:
+        warnings.warn(f"left out for having over {limit} distinct values: {', '.join(wide)}", stacklevel=2)
+    return [d for d in known if d not in wide]
 
 
 def cardinalities(df: DataFrame, dims: Sequence[str]) -> DataFrame:

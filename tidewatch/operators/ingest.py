@@ -144,8 +144,8 @@ def performance_issues(df: DataFrame, samples: int = 5) -> DataFrame:
 
 
 def optimisation_opportunities(df: DataFrame) -> DataFrame:
-    """(type, count, measure): texts run more than 5 times, and scans over 10 GB."""
-    texts = df.groupBy("QUERY_TEXT_PREVIEW").agg(F.count("*").alias("n")).filter("n > 5")
+    """(type, count, measure): whole texts run more than 5 times, and scans over 10 GB."""
+    texts = df.groupBy(F.xxhash64("QUERY_TEXT"), F.sha1(F.col("QUERY_TEXT").cast("binary"))).agg(F.count("*").alias("n")).filter("n > 5")
     repeated = texts.agg(F.lit("repeated_queries").alias("type"), F.count("*").alias("count"), F.max("n").cast("double").alias("measure"))
     large = df.filter(F.col("BYTES_SCANNED") > 1e10).agg(
         F.lit("large_table_scans").alias("type"), F.count("*").alias("count"), F.avg("BYTES_SCANNED").alias("measure"))
@@ -330,15 +330,14 @@ def login_summary(df: DataFrame) -> DataFrame:
 
 
 def login_patterns(df: DataFrame, top: int = 10) -> DataFrame:
-    """(pattern, name, logins): top users, client use, hours, and failures of the first users by name."""
+    """(pattern, name, logins): top users, client use, hours, and the users with most failures."""
     long = df.select(F.explode(F.array_compact(F.array(
         F.struct(F.lit("top_users").alias("pattern"), F.col("USER_NAME").alias("name")),
         F.struct(F.lit("client_usage").alias("pattern"), F.col("CLIENT_CATEGORY").alias("name")),
         F.struct(F.lit("hourly_pattern").alias("pattern"), F.col("HOUR_OF_DAY").cast("string").alias("name")),
         F.when(F.col("IS_SUCCESS") == "NO", F.struct(F.lit("failed_logins").alias("pattern"), F.col("USER_NAME").alias("name")))))).alias("p"))
     counts = long.groupBy("p.pattern", "p.name").agg(F.count("*").alias("logins"))
-    order = F.when(F.col("pattern") == "failed_logins", F.lit(0)).otherwise(-F.col("logins"))
-    w = Window.partitionBy("pattern").orderBy(order, "name")
+    w = Window.partitionBy("pattern").orderBy(F.desc("logins"), "name")
     capped = F.col("pattern").isin("top_users", "failed_logins")
     return counts.withColumn("_n", F.row_number().over(w)).filter(~capped | (F.col("_n") <= top)).drop("_n")
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.expressions import flag, one_row
 from tidewatch.session import materialise
 
-FAR = 100
+#: Levels after which the found set is written as one table, so plans stay short.
+LEVELS_PER_TABLE = 8
 
 
-def reachable(edges: DataFrame, start: str, direction: str = "downstream", depth: int = FAR) -> DataFrame:
+def reachable(edges: DataFrame, start: str, direction: str = "downstream", depth: int | None = None) -> DataFrame:
     """(node_id, depth): nodes by breadth levels, each at its smallest depth; stops when a level adds nothing.
 
+    ``depth`` limits the levels; without it the whole reach is found, however long the chain.
     Every level is one join of the new nodes with the edges and a distinct; the
     found set is written per level, so plans stay short and cycles end.
     """
@@ -20,18 +24,22 @@ def reachable(edges: DataFrame, start: str, direction: str = "downstream", depth
     step = edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).distinct()
     first = edges.sparkSession.createDataFrame([(start, 0)], "node_id string, depth int")
     found, frontier = first, first
-    for level in range(1, depth + 1):
+    for level in count(1):
+        if depth is not None and level > depth:
+            break
         new = frontier.join(step, "node_id").select(F.col("next").alias("node_id")).distinct().join(found, "node_id", "left_anti")
         new = materialise(new.withColumn("depth", F.lit(level)))
         if new.isEmpty():
             break
         found, frontier = found.unionByName(new), new
+        if level % LEVELS_PER_TABLE == 0:
+            found = materialise(found)
     return found.filter("depth > 0")
 
 
 def dependencies(edges: DataFrame, feature: str, transitive: bool = True) -> DataFrame:
     """What ``feature`` depends on."""
-    return reachable(edges, feature, "upstream", FAR if transitive else 1)
+    return reachable(edges, feature, "upstream", None if transitive else 1)
 
 
 def dependents(edges: DataFrame, feature: str) -> DataFrame:
@@ -58,19 +66,19 @@ def edges_within(edges: DataFrame, found: DataFrame, feature: str) -> DataFrame:
     return out.join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi").select("source", "target", "relation")
 
 
-def impact(edges: DataFrame, nodes: DataFrame, feature: str) -> DataFrame:
+def impact(edges: DataFrame, nodes: DataFrame, feature: str, depth: int | None = 10) -> DataFrame:
     """One row: direct, indirect, pipelines, models affected and the risk (0 low, 5 medium, 20 high)."""
-    found = reachable(edges, feature, "downstream", 10).join(nodes.select("node_id", "node_type"), "node_id", "left")
+    found = reachable(edges, feature, "downstream", depth).join(nodes.select("node_id", "node_type"), "node_id", "left")
     row = found.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"),
                     F.count_if(F.col("node_type") == "pipeline").alias("pipelines"), F.count_if(F.col("node_type") == "model").alias("models"))
     total = F.col("direct") + F.col("indirect")
     return row.withColumn("risk", F.when(total > 20, "high").when(total > 5, "medium").when(total > 0, "low").otherwise("none"))
 
 
-def root_cause(edges: DataFrame, nodes: DataFrame, events: DataFrame, feature: str, since: str) -> DataFrame:
+def root_cause(edges: DataFrame, nodes: DataFrame, events: DataFrame, feature: str, since: str, depth: int | None = 10) -> DataFrame:
     """(node_id, depth, changed_at, recent_events): upstream nodes changed since ``since``."""
     at = F.lit(since).cast("timestamp_ntz")
-    up = reachable(edges, feature, "upstream", 10).join(nodes.filter(F.col("changed_at") >= at), "node_id")
+    up = reachable(edges, feature, "upstream", depth).join(nodes.filter(F.col("changed_at") >= at), "node_id")
     counts = events.filter(F.col("at") >= at).select(F.explode("nodes").alias("node_id")).groupBy("node_id").agg(F.count("*").alias("n"))
     return up.join(counts, "node_id", "left").select("node_id", "depth", "changed_at", F.coalesce("n", F.lit(0)).alias("recent_events"))
 

@@ -310,8 +310,9 @@ def cross_stage(stages: Mapping[str, DataFrame]) -> DataFrame:
 
 def history_metrics(history: DataFrame) -> DataFrame:
     """(stage, mean_score, validations, passed, trend) from (stage, run_at, overall, passed) rows; '*' is all stages."""
-    both = history.select("run_at", "overall", "passed", F.explode(F.array(F.col("stage"), F.lit("*"))).alias("stage"))
-    first, last = F.min_by("overall", "run_at"), F.max_by("overall", "run_at")
+    at = F.struct("run_at", "stage").alias("at")
+    both = history.select(at, "overall", "passed", F.explode(F.array(F.col("stage"), F.lit("*"))).alias("stage"))
+    first, last = F.min_by("overall", "at"), F.max_by("overall", "at")
     return both.groupBy("stage").agg(
         F.avg("overall").alias("mean_score"), F.count("*").alias("validations"), F.count_if(F.col("passed") == 1).alias("passed"),
         F.when((F.count("*") > 1) & (last > first), "improving").otherwise("stable").alias("trend"))

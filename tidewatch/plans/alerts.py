@@ -274,14 +274,15 @@ def templates(spark, d):
 
 
 def _audit(spark, d):
-    e = table(spark, d, "events").filter("event_id % 61 <> 0")
-    log = e.select(F.col("event_id").alias("sequence"), F.col("ts").alias("at"), "event_type", F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("user_id"),
+    # a number is left out after every 60 events
+    e = table(spark, d, "events")
+    log = e.select((F.col("event_id") + F.floor(F.col("event_id") / 60)).alias("sequence"), F.col("ts").alias("at"), "event_type", F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("user_id"),
                    F.when(F.col("event_type") == "error", "high").otherwise("low").alias("severity"), F.concat(F.lit("/r"), (F.col("user_id") % 7).cast("string")).alias("resource"),
                    F.when((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0), "failure").otherwise("success").alias("outcome"))
     return log.withColumn("hash", F.when(F.col("sequence") % 500 == 1, "tampered").otherwise(L.record_hash()))
 
 
-AUDIT = """au as (select event_id as sequence, ts as "at", event_type, 'U' || (user_id % 20) as user_id, case when event_type='error' then 'high' else 'low' end as severity, '/r' || (user_id % 7) as resource, case when event_type='error' and user_id % 3 = 0 then 'failure' else 'success' end as outcome from events where event_id % 61 <> 0)"""
+AUDIT = """au as (select event_id + event_id // 60 as sequence, ts as "at", event_type, 'U' || (user_id % 20) as user_id, case when event_type='error' then 'high' else 'low' end as severity, '/r' || (user_id % 7) as resource, case when event_type='error' and user_id % 3 = 0 then 'failure' else 'success' end as outcome from events)"""
 
 
 @query("al35_audit_search", f"""with {AUDIT} select sequence, "at", event_type, user_id, severity, resource, outcome from au where "at" >= timestamp '2024-01-05 00:00:00' and "at" <= timestamp '2024-01-20 00:00:00' and event_type in ('error','click') and user_id = 'U3' order by "at" desc, sequence limit 50""")
@@ -295,7 +296,7 @@ def audit_report(spark, d):
     return L.audit_report(_audit(spark, d))
 
 
-@query("al37_audit_integrity", f"with {AUDIT} select 'hash_mismatch' as issue, sequence from au where sequence % 500 = 1 union all select 'missing_sequence', event_id from events where event_id % 61 = 0 and event_id > (select min(sequence) from au) and event_id < (select max(sequence) from au)")
+@query("al37_audit_integrity", f"with {AUDIT} select 'hash_mismatch' as issue, sequence from au where sequence % 500 = 1 union all select 'missing_sequence', event_id + event_id // 60 + 1 from events where event_id % 60 = 59 and event_id < (select max(event_id) from events)")
 def audit_integrity(spark, d):
     return L.verify_integrity(_audit(spark, d))
 

@@ -198,8 +198,8 @@ def _sums(w, suffix, c=C):
             f"round(case when count({c}) over ({w}) > 1 then stddev_samp({c}) over ({w}) end,6)+0.0 as {c}_rolling_{suffix}_std")
 
 
-query("rf01_rolling_hours", f"select QUERY_ID, {_sums(rng(24 * 3600), '24h')} from qlog")(added(lambda df: FR.rolling_sums(df, K, [C], 24 * 3600, "24h"), query_log))
-query("rf02_rolling_days", f"select QUERY_ID, {_sums(rng(DAYS7), '7d')} from qlog")(added(lambda df: FR.rolling_sums(df, K, [C], DAYS7, "7d"), query_log))
+query("rf01_rolling_hours", f"select QUERY_ID, {_sums(rng(24 * 3600), '24h')} from qlog", settled=True)(added(lambda df: FR.rolling_sums(df, K, [C], 24 * 3600, "24h"), query_log))
+query("rf02_rolling_days", f"select QUERY_ID, {_sums(rng(DAYS7), '7d')} from qlog", settled=True)(added(lambda df: FR.rolling_sums(df, K, [C], DAYS7, "7d"), query_log))
 W7 = rng(DAYS7)
 query("rf02_rolling_shape", f"""select QUERY_ID, round(min({C}) over w,6)+0.0 as {C}_rolling_7d_min, round(max({C}) over w,6)+0.0 as {C}_rolling_7d_max, round(quantile_cont({C},0.5) over w,6)+0.0 as {C}_rolling_7d_median,
  round(case when count({C}) over w >= 3 then skewness({C}) over w end,6)+0.0 as {C}_rolling_7d_skew, round(case when count({C}) over w >= 4 then kurtosis({C}) over w end,6)+0.0 as {C}_rolling_7d_kurt from qlog window w as ({W7})""")(
@@ -259,7 +259,7 @@ def _sea(cond, name):
     return f"round(avg(case when {cond} then {C} end) over {w},6)+0.0 as {C}_rolling_{name}_mean"
 
 
-query("rf08_seasonal_means", f"""with {NUM} select QUERY_ID, {', '.join([_sea(f'isodow({T})={x + 1}', f'dow_{x}') for x in range(7)] + [_sea(f'hour({T})={h}', f'hour_{h}') for h in (9, 12, 15, 18)] + [_sea(f'month({T})=1', 'month_1'), _sea(f'isodow({T})<6', 'business'), _sea(f'isodow({T})>=6', 'weekend')])} from n""")(
+query("rf08_seasonal_means", f"""with {NUM} select QUERY_ID, {', '.join([_sea(f'isodow({T})={x + 1}', f'dow_{x}') for x in range(7)] + [_sea(f'hour({T})={h}', f'hour_{h}') for h in (9, 12, 15, 18)] + [_sea(f'month({T})=1', 'month_1'), _sea(f'isodow({T})<6', 'business'), _sea(f'isodow({T})>=6', 'weekend')])} from n""", settled=True)(
     added(lambda df: FR.seasonal_means(df, K, [C], months=(1,)), query_log))
 query("rf09_lags", f"with {NUM} select QUERY_ID, " + ", ".join(
     f"round(lag({C},{k}) over ({UW}),6)+0.0 as {C}_lag_{k}, round({C}-lag({C},{k}) over ({UW}),6)+0.0 as {C}_lag_diff_{k}, round(coalesce({C}/lag({C},{k}) over ({UW}),1),6)+0.0 as {C}_lag_ratio_{k}" for k in (1, 2, 3, 7, 14)) + " from n")(
@@ -271,7 +271,7 @@ def _grp(k):
     return f"round(avg({C}) over ({w}),6)+0.0 as {C}_group_WAREHOUSE_NAME_rolling_{k}d, round({C}-avg({C}) over ({w}),6)+0.0 as {C}_vs_group_WAREHOUSE_NAME_{k}d"
 
 
-query("rf10_grouped_means", f"select QUERY_ID, {_grp(7)}, {_grp(14)} from qlog")(added(lambda df: FR.grouped_means(df, "WAREHOUSE_NAME", [C], (7, 14)), query_log))
+query("rf10_grouped_means", f"select QUERY_ID, {_grp(7)}, {_grp(14)} from qlog", settled=True)(added(lambda df: FR.grouped_means(df, "WAREHOUSE_NAME", [C], (7, 14)), query_log))
 
 query("pf01_user_patterns", f"""with b as (select *, hour({T}) as h from wlog), u as (select USER_NAME, count(*) as n, coalesce(stddev_samp({C})/avg({C}),0) as cv, avg(case when h between 9 and 17 then 1.0 else 0 end) as bh, count(distinct SESSION_ID) as s, count(distinct h) as hd, count(distinct QUERY_TYPE) as qt from b group by 1),
 mo as (select USER_NAME, min_by(h, (-n, h)) as mh from (select USER_NAME, h, count(*) as n from b group by 1, 2) group by 1)

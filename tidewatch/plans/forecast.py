@@ -53,14 +53,14 @@ def smoothing_forecast(spark, d):
 
 
 def _models(spark, d):
-    """Three simple model forecasts per day: the shares of three query types, scaled to the day."""
-    log = query_log(spark, d).filter(F.col("QUERY_TYPE").isin("view", "click", "error"))
+    """Simple model forecasts per day: the share of each query type, scaled to the day."""
+    log = query_log(spark, d)
     y = F.sum("CREDITS_USED") * 5
     return log.groupBy(F.col("QUERY_TYPE").alias("model"), period(F.col("START_TIME"), "day").alias("date")).agg(
         y.alias("predicted"), (y * 0.85).alias("lower"), (y * 1.15).alias("upper"))
 
 
-MODELS = """ms as (select QUERY_TYPE as model, date_trunc('day', START_TIME)::timestamp as date, sum(CREDITS_USED)*5 as predicted, sum(CREDITS_USED)*5*0.85 as lower, sum(CREDITS_USED)*5*1.15 as upper from qlog where QUERY_TYPE in ('view','click','error') group by 1, 2),
+MODELS = """ms as (select QUERY_TYPE as model, date_trunc('day', START_TIME)::timestamp as date, sum(CREDITS_USED)*5 as predicted, sum(CREDITS_USED)*5*0.85 as lower, sum(CREDITS_USED)*5*1.15 as upper from qlog group by 1, 2),
 ac as (select date_trunc('day', START_TIME)::timestamp as date, sum(CREDITS_USED) as actual from qlog group by 1),
 er as (select model, avg(abs(actual-predicted)) as mae, avg(pow(actual-predicted,2)) as mse, sqrt(avg(pow(actual-predicted,2))) as rmse, avg(case when actual <> 0 then abs((actual-predicted)/actual) else 0 end)*100 as mape from ms join ac using (date) group by 1)"""
 

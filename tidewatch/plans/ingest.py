@@ -134,8 +134,7 @@ select 'repeated_queries' as type, count(*) as count, max(n)::double as measure
 union all select 'large_table_scans', count(*), round(avg(b),6) from (select BYTES_SCANNED*10 as b from dq) where b > 1e10 having count(*) > 0""")
 def optimisation_opportunities(spark, d):
     metrics = I.query_metrics(S.query_history(spark, d))
-    return I.optimisation_opportunities(metrics.withColumn("QUERY_TEXT_PREVIEW", F.col("QUERY_TEXT"))
-                                        .withColumn("BYTES_SCANNED", F.col("BYTES_SCANNED") * 10))
+    return I.optimisation_opportunities(metrics.withColumn("BYTES_SCANNED", F.col("BYTES_SCANNED") * 10))
 
 
 @query("in16_resource_patterns", f"""with {DERIVED}, l as (select 'by_warehouse' as pattern, WAREHOUSE_NAME as value, ms, BYTES_SCANNED from dq union all select 'by_user', USER_NAME, ms, BYTES_SCANNED from dq
@@ -296,7 +295,7 @@ def login_summary(spark, d):
 
 @query("in28_login_patterns", f"""with {LOGIN} (select 'top_users' as pattern, USER_NAME as name, count(*) as logins from lg group by 2 order by 3 desc, 2 limit 10)
 union all select 'client_usage', CLIENT_CATEGORY, count(*) from lg group by 2 union all select 'hourly_pattern', cast(HOUR_OF_DAY as varchar), count(*) from lg group by 2
-union all (select 'failed_logins', USER_NAME, count(*) from lg where IS_SUCCESS = 'NO' group by 2 order by 2 limit 10)""")
+union all (select 'failed_logins', USER_NAME, count(*) from lg where IS_SUCCESS = 'NO' group by 2 order by 3 desc, 2 limit 10)""")
 def login_patterns(spark, d):
     return I.login_patterns(I.login_features(S.login_history(spark, d)))
 

@@ -95,13 +95,14 @@ def schema_check(spark, d):
     return V.schema_check(_log(spark, d), RULES)
 
 
-@query("va12_temporal_check", f"""with o as (select START_TIME as t, QUERY_ID, (epoch_us(START_TIME)-epoch_us(lag(START_TIME) over (order by START_TIME, QUERY_ID)))/3.6e9 as g, lag(START_TIME) over (order by QUERY_ID) as b from qlog where ROWS_PRODUCED > 97)
+@query("va12_temporal_check", f"""with moved as (select * replace (START_TIME + to_days(case when START_TIME >= timestamp '2024-01-15 00:00:00' then 2 else 0 end) as START_TIME) from qlog), o as (select START_TIME as t, QUERY_ID, (epoch_us(START_TIME)-epoch_us(lag(START_TIME) over (order by START_TIME, QUERY_ID)))/3.6e9 as g, lag(START_TIME) over (order by QUERY_ID) as b from moved)
 select count(*) filter (g > 24) as large_gaps_count, round(max(g),6) as max_gap_hours, round(avg(g),6) as avg_gap_hours, round(1-count(*) filter (g > 24)/count(*),6) as continuity_score, count(*) filter (b > t) as out_of_order,
  case when count(*) filter (b > t) = 0 then 1 else 0 end as is_chronological, count(*) filter (t > timestamp '{AS_OF}') as future_count, round(count(*) filter (t > timestamp '{AS_OF}')*100.0/count(*),6) as future_percentage,
  round(1-count(*) filter (t > timestamp '{AS_OF}')/count(*),6) as timeliness_score from o""")
 def temporal_check(spark, d):
-    # the sparse kinds of rows only: gaps appear
-    return V.temporal_check(S.query_log(spark, d).filter("ROWS_PRODUCED > 97"), "START_TIME", "QUERY_ID", AS_OF)
+    # the second half two days later: a gap appears
+    later = F.expr("START_TIME + make_dt_interval(case when START_TIME >= timestamp_ntz'2024-01-15 00:00:00' then 2 else 0 end)")
+    return V.temporal_check(S.query_log(spark, d).withColumn("START_TIME", later), "START_TIME", "QUERY_ID", AS_OF)
 
 
 READY = """select count(*) as actual_samples, greatest(0, avg((value is null)::int), avg((sparse is null)::int)) as max_missing_rate, 1-(avg((value is null)::int)+avg((sparse is null)::int))/3 as missing_score,
@@ -131,10 +132,10 @@ def comparison(spark, d):
     return V.compare_with(_log(spark, d), S.query_log(spark, d).select(*NUMS))
 
 
-@query("va15_shape_comparison", "select (select count(*) from qlog) as current_rows, (select count(*) from qlog where ROWS_PRODUCED > 50) as reference_rows, 'EXECUTION_TIME_MS,ROWS_PRODUCED' as columns_added, 'QUERY_TEXT' as columns_removed, 0 as shape_consistent")
+@query("va15_shape_comparison", "select (select count(*) from qlog) as current_rows, (select count(*) from qlog) as reference_rows, 'EXECUTION_TIME_MS,ROWS_PRODUCED' as columns_added, 'QUERY_TEXT' as columns_removed, 0 as shape_consistent")
 def shape_comparison(spark, d):
     log = S.query_log(spark, d)
-    return V.compare_shape(log.select("QUERY_ID", "EXECUTION_TIME_MS", "ROWS_PRODUCED"), log.filter("ROWS_PRODUCED > 50").select("QUERY_ID", "QUERY_TEXT"))
+    return V.compare_shape(log.select("QUERY_ID", "EXECUTION_TIME_MS", "ROWS_PRODUCED"), log.select("QUERY_ID", "QUERY_TEXT"))
 
 
 SCORES = f"""{LOG}, acc as (select case when violations = 0 then 1.0 else 0.0 end as s from ({CONSTRAINTS}) union all select 1-least(abs(skewness)/3,1)-least(outlier_count/n,0.1) from ({DISTR})),
@@ -169,22 +170,22 @@ def recommendations(spark, d):
     return V.recommendations(V.stage_scores(_dirty(spark, d), "dirty").filter("dimension <> 'overall'"))
 
 
-@query("va17_cross_stage", """select 'raw_data_validation' as from_stage, 'cleaned_data_validation' as to_stage, (select count(*) from qlog) as rows, (select count(*) from qlog where ROWS_PRODUCED > 80) as next_rows, 0 as is_consistent, 'BYTES_SCANNED' as removed_columns, 0 as lacks_new_features
-union all select 'cleaned_data_validation', 'feature_validation', (select count(*) from qlog where ROWS_PRODUCED > 80), (select count(*) from qlog where ROWS_PRODUCED > 80), 1, '', 1""")
+@query("va17_cross_stage", """select 'raw_data_validation' as from_stage, 'cleaned_data_validation' as to_stage, (select count(*) from qlog) as rows, (select count(*) from qlog) as next_rows, 1 as is_consistent, 'BYTES_SCANNED' as removed_columns, 0 as lacks_new_features
+union all select 'cleaned_data_validation', 'feature_validation', (select count(*) from qlog), (select count(*) from qlog), 1, '', 1""")
 def cross_stage(spark, d):
     log = S.query_log(spark, d).select("QUERY_ID", "ROWS_PRODUCED", "BYTES_SCANNED")
-    clean = log.filter("ROWS_PRODUCED > 80").drop("BYTES_SCANNED")
+    clean = log.drop("BYTES_SCANNED")
     return V.cross_stage({"raw_data_validation": log, "cleaned_data_validation": clean, "feature_validation": clean})
 
 
 HISTORY = "hs as (select DATABASE_NAME as stage, date_trunc('day', START_TIME)::timestamp as run_at, avg(CREDITS_USED) as overall, case when avg(CREDITS_USED) > 0.5 then 1 else 0 end as passed from qlog group by 1, 2)"
 
 
-@query("va19_history_metrics", f"""with {HISTORY.replace("group by 1, 2", "where DATABASE_NAME is not null group by 1, 2")}, b as (select * from hs union all select '*', run_at, avg(overall), max(passed) from hs where stage = 'DB0' group by run_at),
-a as (select stage, avg(overall) as m, count(*) as n, count(*) filter (passed=1) as p, min_by(overall, run_at) as f, max_by(overall, run_at) as l from b where stage <> '*' group by 1 union all select '*', avg(overall), count(*), count(*) filter (passed=1), min_by(overall, run_at), max_by(overall, run_at) from hs where stage = 'DB0')
-select stage, round(m,6) as mean_score, n as validations, p as passed, case when n > 1 and l > f then 'improving' else 'stable' end as trend from a where stage in ('DB0','*')""")
+@query("va19_history_metrics", f"""with {HISTORY.replace("group by 1, 2", "where DATABASE_NAME is not null group by 1, 2")}, b as (select * from hs union all select '*', run_at, avg(overall), max(passed) from hs group by run_at),
+a as (select stage, avg(overall) as m, count(*) as n, count(*) filter (passed=1) as p, min_by(overall, run_at) as f, max_by(overall, run_at) as l from b where stage <> '*' group by 1 union all select '*', avg(overall), count(*), count(*) filter (passed=1), min_by(overall, run_at::varchar || stage), max_by(overall, run_at::varchar || stage) from hs)
+select stage, round(m,6) as mean_score, n as validations, p as passed, case when n > 1 and l > f then 'improving' else 'stable' end as trend from a""")
 def history_metrics(spark, d):
-    log = S.query_log(spark, d).filter("DATABASE_NAME = 'DB0'")
+    log = S.query_log(spark, d).filter("DATABASE_NAME is not null")
     hist = log.groupBy(F.col("DATABASE_NAME").alias("stage"), F.date_trunc("day", "START_TIME").alias("run_at")).agg(F.avg("CREDITS_USED").alias("overall"))
     return V.history_metrics(hist.withColumn("passed", (F.col("overall") > 0.5).cast("int")))
 
@@ -253,15 +254,16 @@ def field_limits(spark, d):
     return V.field_checks(S.dirty_log(spark, d), schema)
 
 
-@query("sv04_key_violations", """select 'user_name,kind' as field, 'primary_key' as "check", count(*)-count(distinct (user_name, kind)) as violations from dirty where kind is not null""")
+@query("sv04_key_violations", """select 'user_name,kind' as field, 'primary_key' as "check", count(*)-count(distinct (user_name, kind)) as violations from dirty""")
 def key_violations(spark, d):
-    return V.key_violations(S.dirty_log(spark, d).filter("kind is not null"), ["user_name", "kind"])
+    return V.key_violations(S.dirty_log(spark, d), ["user_name", "kind"])
 
 
-@query("sv04_orphans", """select 'o_custkey' as field, 'foreign_key' as "check", count(*) as violations from orders where o_custkey not in (select c_custkey from customer where c_mktsegment <> 'BUILDING')""")
+@query("sv04_orphans", """select 'o_custkey' as field, 'foreign_key' as "check", count(*) as violations from orders where case when o_orderstatus = 'P' then -o_custkey else o_custkey end not in (select c_custkey from customer)""")
 def orphans(spark, d):
-    parents = S.table(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'")
-    return V.orphans(S.table(spark, d, "orders"), "o_custkey", parents, "c_custkey")
+    # pending orders get keys that no customer has
+    key = F.when(F.col("o_orderstatus") == "P", -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    return V.orphans(S.table(spark, d, "orders").withColumn("o_custkey", key), "o_custkey", S.table(spark, d, "customer"), "c_custkey")
 
 
 @query("sv05_conformed", """select QUERY_ID, START_TIME, END_TIME, USER_NAME, WAREHOUSE_NAME, EXECUTION_STATUS, try_cast(TOTAL_ELAPSED_TIME as bigint) as TOTAL_ELAPSED_TIME, BYTES_SCANNED, ROWS_PRODUCED from qhist""")

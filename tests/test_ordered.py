@@ -83,6 +83,20 @@ def test_group_quantiles(rows, mode, method, exact):
             assert got[k][f"x_p{int(p * 100)}"] == pytest.approx(want)
 
 
+def test_both_forms_agree_on_all_rows(spark, rows):
+    """Null values, groups of nulls and null keys included."""
+    data = rows.unionByName(rows.sparkSession.sql("select 9000L as id, 'none' as k, timestamp_ntz'2024-01-01' as ts, cast(null as double) as x"))
+    found = {}
+    for limit in ("0", str(2 ** 26)):
+        spark.conf.set(SMALL_BYTES_KEY, limit)
+        ranks = {(r["id"], r["d"], r["p"]) for r in with_ranks(data, "x", dense="d", pct="p").collect()}
+        by_key = {(r["id"], r["d"], r["p"]) for r in with_ranks(data.filter("k is not null"), "x", ["k"], dense="d", pct="p").collect()}
+        quantiles = {tuple(r) for r in group_quantiles(data, ["k"], ["x"], [0.25, 0.5]).select("k", F.round("x_p25", 9), F.round("x_p50", 9)).collect()}
+        found[limit] = (ranks, by_key, quantiles)
+    assert found["0"] == found[str(2 ** 26)]
+    assert ("none", None, None) in found["0"][2] and (9000, None, None) in found["0"][0]
+
+
 def test_ranks_shares_gini(rows, mode):
     pdf = rows.toPandas()
     got = with_ranks(rows, "x", dense="d", pct="p").toPandas().set_index("id").sort_index()

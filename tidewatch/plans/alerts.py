@@ -1,12 +1,10 @@
 """Queries over alerting."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts as L
 from tidewatch.plans.registry import query
-from tidewatch.session import scratch_root
+from tidewatch.session import scratch_path
 from tidewatch.sources.tables import metering_history, metric_points, query_log, table
 from tidewatch.streaming import monitors as M
 
@@ -29,6 +27,22 @@ def _limits(spark, d):
         F.struct(F.lit("under").alias("threshold_id"), F.lit("<=").alias("op"), F.lit(1.0).alias("limit")))).alias("t")).select("metric", "t.*")
 
 
+DISORDER = "1 hour"
+
+
+def _closed_points(spark, d):
+    return M.closed(M.event_points(spark, d), d, scratch_path(spark))
+
+
+def _emitted(stream, *times):
+    """What a bounded stream has appended, without its closing row."""
+    spark, out = stream.sparkSession, scratch_path(stream.sparkSession)
+    M.run_to_end(stream, f"{out}/rows", f"{out}/state")
+    rows = spark.read.schema(stream.schema).parquet(f"{out}/rows").filter(F.col("metric") != M.CLOSING)
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+EXCEEDED = """vx as (select p.*, threshold_id, op, "limit" from points p join tl using (metric) where (op = '>' and value > "limit") or (op = '<=' and value <= "limit"))"""
 LIMITS = """tl as (select metric, 'over' as threshold_id, '>' as op, round(avg(value)*2,3) as "limit" from points group by 1 union all select distinct metric, 'under', '<=', 1.0 from points)"""
 
 
@@ -40,11 +54,28 @@ def window_statistics(spark, d):
 @query("al01_stream_windows", """with w as (select metric, ts, point_id, value, date_trunc('hour', ts)::timestamp - i * interval 1 hour as window_start from points, range(0, 3) t(i))
 select metric, window_start, count(*) as points, round(avg(value),6) as mean, min(value) as min, max(value) as max, arg_max(value, (ts, point_id)) as latest from w group by 1, 2""")
 def stream_windows(spark, d):
-    name = f"w{uuid.uuid4().hex}"
-    stream = M.sliding_statistics(M.event_points(spark, d), "3 hours", "1 hour")
-    run = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    windows = M.sliding_statistics(_closed_points(spark, d), "3 hours", "1 hour", DISORDER)
+    return _emitted(windows, "window_start")
+
+
+@query("al01_stream_sessions", """with p as (select *, ts - lag(ts) over (partition by metric order by ts, point_id) >= interval 20 minutes as far from points),
+s as (select *, count(*) filter (far) over (partition by metric order by ts, point_id) as n from p)
+select metric, min(ts) as session_start, max(ts) + interval 20 minutes as session_end, count(*) as points, round(sum(value),6) as total from s group by metric, n""")
+def stream_sessions(spark, d):
+    return _emitted(M.sessions(_closed_points(spark, d), gap="20 minutes", late=DISORDER), "session_start", "session_end")
+
+
+@query("al03_stream_violations", f"""with {LIMITS}, {EXCEEDED} select metric, ts, value, point_id, threshold_id, op, "limit" from vx""")
+def stream_violations(spark, d):
+    hits = M.threshold_violations(M.event_points(spark, d), _limits(spark, d))
+    return _emitted(hits.select("metric", "ts", "value", "point_id", "threshold_id", "op", "limit"), "ts")
+
+
+@query("al08_stream_distinct", "select metric, ts, value, point_id from points")
+def stream_distinct(spark, d):
+    """Every event arrives twice and leaves once."""
+    twice = M.event_points(spark, d).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    return _emitted(M.deduplicated(twice, ["point_id"], DISORDER), "ts")
 
 
 @query("al02_window_anomalies", f"""with x as (select *, count(value) over w as n, avg(value) over w as m, stddev_pop(value) over w as s from points window w as ({rng(14400)})) select metric, ts, value, point_id, round(m,6) as window_mean, round(s,6) as window_std, round(abs(value-m)/s,6) as deviation,
@@ -242,12 +273,12 @@ def fired(spark, d):
     return L.fired(_hits(spark, d), 7200, 10)
 
 
-@query("al30_stream_cooldown")
+@query("al30_stream_cooldown", """with recursive h as (select *, row_number() over (partition by metric order by ts, value) as n from points where value > 50),
+f as (select metric, ts, value, n, ts as last, true as ok from h where n = 1 union all
+ select h.metric, h.ts, h.value, h.n, case when h.ts - f.last >= interval 2 hours then h.ts else f.last end, h.ts - f.last >= interval 2 hours from f join h on h.metric = f.metric and h.n = f.n + 1)
+select metric, ts, value from f where ok""")
 def stream_cooldown(spark, d):
-    root = f"{scratch_root(spark)}/tidewatch/{uuid.uuid4().hex}"
-    hits = M.event_points(spark, d).filter("value > 50")
-    M.run_to_end(M.cooled_alerts(hits, 7200), f"{root}/alerts", f"{root}/state")
-    return spark.read.schema("metric string, ts timestamp, value double").parquet(f"{root}/alerts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _emitted(M.cooled_alerts(_closed_points(spark, d).filter("value > 50"), 7200, DISORDER), "ts")
 
 
 @query("al31_rule_statistics", FIRED + " select rule_id, count(*) as evaluations_met, count(*) filter (ok) as fired, max(minute) filter (ok) as last_fired, round(count(*) filter (ok)/count(*),6) as fire_rate from f group by 1")

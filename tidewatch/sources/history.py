@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.expressions import one_row
+from tidewatch.functions.ordered import same_keys_join
 
 
 @dataclass(frozen=True)
@@ -77,31 +79,47 @@ def history_with_status(df: DataFrame, since: str, statuses=("SUCCESS", "FAIL",
     return df.withColumn("QUERY_TEXT_PREVIEW", F.left(F.col("QUERY_TEXT"), F.lit(preview))).drop("QUERY_TEXT")
 
 
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet; any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def read_marks(spark: SparkSession, root: str) -> DataFrame:
     """(source_name, last_collected): the newest mark of each source."""
-    try:
-        marks = spark.read.schema(MARK_SCHEMA).parquet(f"{root}/collection_marks")
-    except Exception:
+    marks = existing(spark, f"{root}/collection_marks")
+    if marks is None:
         marks = spark.createDataFrame([], MARK_SCHEMA)
     return marks.groupBy("source_name").agg(F.max("last_collected").alias("last_collected"))
 
 
 def pull_increment(df: DataFrame, name: str, root: str, as_of: str, full: bool = False) -> DataFrame:
-    """Append rows newer than the source's mark (or the look-back) and then move the mark.
+    """Store rows from the source's mark (or the look-back) on and then move the mark.
 
-    The mark is written after the rows, so a failed pull is repeated, not lost.
+    Each pull has a partition, and rows from the mark on that are stored already are left out by
+    the source's keys. So late rows at the time of the mark are taken, and a pull that failed
+    before its mark was written can be repeated, at the same time or later, without loss or doubles.
     """
     spark, source = df.sparkSession, SOURCES[name]
     mark = None if full else next((r["last_collected"] for r in read_marks(spark, root)
                                    .filter(F.col("source_name") == name).collect()), None)
     time = F.col(source.time)
     now = F.lit(as_of).cast("timestamp_ntz")
-    newer = time > F.lit(mark) if mark is not None else time >= now - F.expr(f"interval {LOOKBACK_DAYS} days")
+    since = F.lit(mark) if mark is not None else now - F.expr(f"interval {LOOKBACK_DAYS} days")
     batch = f"{source.table}_{as_of}".replace(" ", "_").replace(":", "").replace("-", "")
-    rows = with_collection(df.filter(newer & (time <= now)), as_of, batch)
-    rows.write.mode("append").parquet(f"{root}/{source.table}")
-    stored = spark.read.parquet(f"{root}/{source.table}")
-    moved = stored.filter(F.col("_collection_batch") == batch).agg(F.max(source.time).alias("last_collected"))
+    rows = df.filter((time >= since) & (time <= now))
+    path, keys = f"{root}/{source.table}", [k for k in source.keys if k in df.columns]
+    before = None if full else existing(spark, path)
+    if before is not None and keys:
+        rows = same_keys_join(rows, before.filter(time >= since).select(*keys).distinct(), keys, "left_anti")
+    own = f"{path}/_collection_batch={batch}"
+    with_collection(rows, as_of, batch).drop("_collection_batch").write.mode("append").parquet(own)
+    stored = spark.read.parquet(path)
+    moved = spark.read.parquet(own).agg(F.max(source.time).alias("last_collected"))
     moved = moved.filter("last_collected is not null").select(F.lit(name).alias("source_name"), "last_collected")
     moved.write.mode("append").parquet(f"{root}/collection_marks")
     return stored

@@ -27,6 +27,23 @@ def event_points(spark: SparkSession, folder: str, files_per_trigger: int | None
     return e.select(F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_id").alias("point_id"))
 
 
+#: Metric of the row that closes a bounded stream.
+CLOSING = "__closing__"
+
+
+def closed(points: DataFrame, folder: str, path: str) -> DataFrame:
+    """The bounded stream ``points`` and one late row after all of ``folder``'s events.
+
+    Its time moves the watermark past every event, so that windows, sessions and waiting rows are
+    all emitted; consumers drop the metric ``CLOSING``. ``path`` is a fresh scratch path.
+    """
+    spark = points.sparkSession
+    last = spark.read.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").parquet(folder).agg(F.max("ts").cast("timestamp").alias("ts"))
+    row = last.select(F.lit(CLOSING).alias("metric"), (F.col("ts") + F.expr("interval 2 days")).alias("ts"), F.lit(1e300).alias("value"), F.lit(-1).cast("bigint").alias("point_id"))
+    row.where("ts is not null").write.parquet(path)
+    return points.unionByName(spark.readStream.schema(row.schema).parquet(path))
+
+
 def sliding_statistics(points: DataFrame, length: str = "5 minutes", slide: str = "1 minute", late: str = LATE) -> DataFrame:
     """Count, mean, extremes and latest value per metric and sliding window."""
     return points.withWatermark("ts", late).groupBy("metric", F.window("ts", length, slide)).agg(
@@ -54,24 +71,24 @@ def cooled_alerts(hits: DataFrame, cooldown_seconds: float, late: str = LATE) ->
 
     Rows wait for the watermark, so an alert does not depend on the order of arrival within it.
     """
-    gap = int(cooldown_seconds * 1000)
+    gap = int(cooldown_seconds * 1_000_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, waiting = state.get if state.exists else (None, [])
         waiting = list(waiting)
         for pdf in batches:
-            waiting += [(int(t.timestamp() * 1000), float(v)) for t, v in zip(pdf["ts"], pdf["value"])]
-        mark = state.getCurrentWatermarkMs()
+            waiting += [(t.value // 1000, float(v)) for t, v in zip(pdf["ts"], pdf["value"])]
+        mark = state.getCurrentWatermarkMs() * 1000
         ready = sorted(w for w in waiting if tuple(w)[0] <= mark)
         waiting = [tuple(w) for w in waiting if tuple(w)[0] > mark]
         out = []
         for at, value in ready:
             if last is None or at - last >= gap:
-                out.append((key[0], pd.Timestamp(at, unit="ms"), value))
+                out.append((key[0], pd.Timestamp(at, unit="us"), value))
                 last = at
         state.update((last, waiting))
         if waiting:
-            state.setTimeoutTimestamp(max(mark + 1, min(w[0] for w in waiting)))
+            state.setTimeoutTimestamp(max(mark // 1000 + 1, -(-min(w[0] for w in waiting) // 1000)))
         yield pd.DataFrame(out, columns=["metric", "ts", "value"])
 
     return hits.withWatermark("ts", late).groupBy("metric").applyInPandasWithState(

@@ -32,12 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewatch.llm.common import as_batch, keyed, map_rows, take, to_arrow_schema, _schema
+from tidewatch.llm.common import SLICE_ROWS, _schema, as_batch, keyed, take, to_arrow_schema
 from tidewatch.llm.tokens import chunks
 from tidewatch.session import drop_path, materialise, scratch_path
 
 MAGIC = b"TWHUF001"
 LONGEST = 18
+IDS = 1 << 16
 BLOCK = 256
 #: Ids of a file, about; bounds what one task holds.
 FILE_IDS = 4_000_000
@@ -178,29 +179,37 @@ def opened(payload: memoryview, table: np.ndarray) -> tuple[list[int | None], np
 
 
 def encoded(docs: DataFrame, file: str, end_id: int) -> DataFrame:
-    """doc_id, _k, n, ids of every row; written once."""
+    """doc_id, _k, n, ids of every row; a row without ``n`` carries how often a task met each id."""
     rows = keyed(take(docs, doc_id="bigint", text="string")).select("doc_id", "_k", "text")
+    schema = "doc_id bigint, _k bigint, n bigint, ids binary"
+    arrow = to_arrow_schema(_schema(schema))
     closing = np.array([end_id], "<u2").tobytes()
 
-    def work(part):
-        made = [b + closing for b in chunks(file, False).texts(part["text"])]
-        return {"doc_id": part["doc_id"], "_k": part["_k"], "n": [len(b) // 2 for b in made], "ids": made}
+    def run(batches):
+        total = np.zeros(IDS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                made = [b + closing for b in chunks(file, False).texts(part.column(2).to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(made), "<u2"), minlength=IDS)
+                yield as_batch({"doc_id": part.column(0), "_k": part.column(1), "n": [len(b) // 2 for b in made], "ids": made}, arrow)
+        yield as_batch({"doc_id": [None], "_k": [0], "n": [None], "ids": [total.astype("<i8").tobytes()]}, arrow)
 
-    return map_rows(rows, "doc_id bigint, _k bigint, n bigint, ids binary", work)
+    return rows.mapInArrow(run, schema)
 
 
-def id_counts(ids: DataFrame) -> np.ndarray:
+def id_counts(kept: DataFrame) -> np.ndarray:
     """How often each id occurs in the corpus (at most 65,536 rows from Spark)."""
     def run(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(IDS, np.int64)
         for batch in batches:
-            got = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2")
-            total += np.bincount(got, minlength=1 << 16)
+            for one in batch.column(0).to_pylist():
+                total += np.frombuffer(one, "<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    got = ids.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << 16, np.int64)
+    got = kept.where("n is null").select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(IDS, np.int64)
     counts[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return counts
 
@@ -210,8 +219,8 @@ def write(docs: DataFrame, file: str, end_id: int, folder: str) -> None:
     spark = docs.sparkSession
     kept = scratch_path(spark)
     encoded(docs, file, end_id).write.option("compression", "zstd").parquet(kept)
-    ids = spark.read.parquet(kept)
-    lengths = code_lengths(id_counts(ids))
+    ids = spark.read.parquet(kept).where("n is not null")
+    lengths = code_lengths(id_counts(spark.read.parquet(kept)))
     total = ids.agg(F.sum("n")).first()[0] or 0
     files = max(1, -(-total // FILE_IDS))
     shared = spark.sparkContext.broadcast(lengths)

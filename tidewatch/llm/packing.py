@@ -58,7 +58,8 @@ def encoded(docs: DataFrame, file: str, end_id: int) -> DataFrame:
     closing = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency, seen = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, bool)
+        frequency, few = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.uint8)  # of up to 255 documents
+        seen, counted = np.zeros(VOCABULARY, np.uint8), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
@@ -67,11 +68,16 @@ def encoded(docs: DataFrame, file: str, end_id: int) -> DataFrame:
                 sizes = np.array([len(b) // 2 for b in made], np.int64)
                 ends = np.cumsum(sizes).tolist()
                 for a, b in zip([0, *ends], ends):
-                    seen[ids[a:b]] = True
-                    frequency += seen
-                    seen[ids[a:b]] = False
+                    seen[ids[a:b]] = 1
+                    few += seen
+                    seen[ids[a:b]] = 0
+                    counted += 1
+                    if counted == 255:
+                        frequency += few
+                        few[:], counted = 0, 0
                 yield as_batch({"doc_id": part.column(0).to_pylist(), "_k": part.column(1).to_pylist(), "place": places(ids, sizes),
                                 "n": sizes, "ids": made}, arrow)
+        frequency += few
         yield as_batch({"doc_id": [None], "_k": [0], "place": [0], "n": [None], "ids": [frequency.astype("<i8").tobytes()]}, arrow)
 
     return rows.mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-"""Tokenizer files applied fast: each distinct white-space chunk of a worker is encoded once.
+"""Tokenizer files applied fast: each distinct word of a worker is encoded once.
 
 Both vocabularies split a text by a pattern before merging, and no match of either
 pattern spans the borders cut here (a blank goes with the word after it, or is dropped),
@@ -14,14 +14,14 @@ import unicodedata
 
 import numpy as np
 
+from tidewatch.llm.wordtable import BLANK, LINE_END, START, WordTable, split
+
 #: Cached chunks of a worker; the cache starts anew beyond it.
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 400_000
 #: Unicode white space, the library's sense of it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEADING_BLANK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-DROPPED_BLANK = re.compile("[^\t-\r ]+")
-#: What Python splits at but the library does not, and white space besides blanks and line ends.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: White space besides blanks and line ends.
 OTHER_SPACE = re.compile(f"[{SPACE}]".replace("\t-\r ", "\t\x0b-\r"))
 MARK = "\ue000"
 #: Stands before a word that begins a line.
@@ -42,10 +42,19 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+def even(text: str) -> bool:
+    """White space is single blanks and line ends between words only."""
+    return not (OTHER_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+                or FIRST in text or text[0] in " \n" or text[-1] in " \n")
+
+
 class SpacedChunks:
-    """Texts cut where a blank goes with the word after it; ``learn`` puts the value of new chunks into ``known``."""
+    """Texts cut where a blank goes with the word after it; ``learn`` puts the ids of new chunks into ``known``."""
+
+    keeps_space = True
 
     def __init__(self):
+        self.table = WordTable(self._new_words)
         self.split = LEADING_BLANK.findall
         self.known: dict = {}
         self.spaced: dict = {}  # of a word with a blank before it
@@ -66,14 +75,13 @@ class SpacedChunks:
         ``spaced`` holds the ids of a word with the blank before it; a word that begins a line is marked by FIRST.
         """
         get, known = self.spaced.get, self.known.get
-        parts, even = [], []
+        parts, plain = [], []
         for t in texts:
-            even.append(bool(t) and not (OTHER_SPACE.search(t) or "  " in t or "\n\n" in t or " \n" in t or "\n " in t
-                                         or FIRST in t or t[0] in " \n" or t[-1] in " \n"))
-            parts.append((FIRST + t.replace("\n", f" \n {FIRST}")).split(" ") if even[-1] else self.split(t) if t else [])
-        found = [list(map(get if e else known, p)) for p, e in zip(parts, even)]
+            plain.append(bool(t) and even(t))
+            parts.append((FIRST + t.replace("\n", f" \n {FIRST}")).split(" ") if plain[-1] else self.split(t) if t else [])
+        found = [list(map(get if e else known, p)) for p, e in zip(parts, plain)]
         new, new_spaced = set(), {}
-        for p, f, e in zip(parts, found, even):
+        for p, f, e in zip(parts, found, plain):
             if None in f:
                 missing = [c for c, x in zip(p, f) if x is None]
                 if e:
@@ -83,7 +91,57 @@ class SpacedChunks:
         self.learn(new.union(c for c in new_spaced.values() if c not in self.known))
         for c, chunk in new_spaced.items():
             self.spaced[c] = self.known[chunk] if chunk in new or chunk[0] != " " else self.known.pop(chunk)
-        return [list(map(get if e else known, p)) if None in f else f for p, f, e in zip(parts, found, even)]
+        return [list(map(get if e else known, p)) if None in f else f for p, f, e in zip(parts, found, plain)]
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        self.trim(CACHE_CHUNKS)
+        out = [b""] * len(texts)
+        fast, slow = [], []
+        for n, t in enumerate(texts):
+            if t:
+                (fast if (even(t) if self.keeps_space else MARK not in t) else slow).append(n)
+        if fast:
+            for n, ids in zip(fast, self._looked_up([self.prepared(texts[n]) for n in fast])):
+                out[n] = ids
+        for n, parts in zip(slow, self.parts([texts[n] for n in slow])):
+            out[n] = b"".join(parts)
+        return out
+
+    def _looked_up(self, texts: list[str]) -> list[bytes]:
+        """The ids of even texts, all words at once."""
+        parts = [t.encode() for t in texts]
+        data = b"\n".join(parts)
+        starts, sizes = split(data, b" \n" if self.keeps_space else b" \t\n\x0b\x0c\r")
+        begins = np.cumsum([0] + [len(p) + 1 for p in parts])
+        if self.keeps_space:
+            kinds = np.where(np.frombuffer(data, np.uint8)[np.maximum(starts - 1, 0)] == 32, BLANK, LINE_END)
+            kinds[np.searchsorted(starts, begins[:-1])] = START
+        else:
+            held = sizes > 0
+            starts, sizes = starts[held], sizes[held]
+            kinds = np.zeros(len(starts), np.int64)
+        ids, ends = self.table.ids(data, starts, sizes, kinds)
+        cuts = np.append(0, ends)[np.searchsorted(starts, begins)].tolist()
+        whole = ids.astype("<u2").tobytes()
+        return [whole[2 * x:2 * y] for x, y in zip(cuts, cuts[1:])]
+
+    def _new_words(self, words: list[tuple[int, str]]) -> list[bytes]:
+        """Ids for the table: of the word with the blank or the line end that stands before it."""
+        chunks = [" " + w if kind == BLANK else w for kind, w in words]
+        self.known.clear()
+        self.learn(set(chunks))
+        line_end = self.line_end() if self.keeps_space else b""
+        return [line_end + self.known[c] if kind == LINE_END else self.known[c] for (kind, _), c in zip(words, chunks)]
+
+    def prepared(self, text: str) -> str:
+        return text
+
+    def line_end(self) -> bytes:
+        if "\n" not in self.known:
+            self.learn({"\n"})
+        return self.known["\n"]
+
 
 class Chunks(SpacedChunks):
     """Ids (little-endian 16 bit) of texts. ``keeps_space``: white space is part of the tokens."""
@@ -105,26 +163,15 @@ class Chunks(SpacedChunks):
         blank = self.letters[32]
         for token, at in vocabulary.items():
             self.edge[at] = token[0] == blank if keeps_space else token.endswith("</w>")
-        if not keeps_space:
-            self.split = DROPPED_BLANK.findall
         self.between = "\n" if keeps_space else f" {MARK} "
         self.mark = np.array(self._encode("\n" if keeps_space else MARK), np.uint32)
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        self.trim(CACHE_CHUNKS)
-        return [b"".join(p) for p in self.parts(texts)] if self.keeps_space else self._plain_texts(texts)
-
-    def _plain_texts(self, texts: list[str | None]) -> list[bytes]:
-        get = self.known.get
-        # Lower case is the file's own first step; only the sigma depends on what stands beside it here.
-        texts = [t if not t or SIGMA in t else t.lower() for t in texts]
-        parts = [[] if not t else self.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        found = [list(map(get, p)) for p in parts]
-        self.learn({c for p, f in zip(parts, found) if None in f for c, x in zip(p, f) if x is None})
-        return [b"".join(map(get, p) if None in f else f) for p, f in zip(parts, found)]
+    def prepared(self, text: str) -> str:
+        # Lower case is the first step of the file that drops blanks; only the sigma depends on what stands beside it.
+        return text if self.keeps_space or SIGMA in text else text.lower()
 
     def _one(self, chunk: str) -> bytes:
         made = self.known[chunk] = np.array(self._encode(chunk), "<u2").tobytes()

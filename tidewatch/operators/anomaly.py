@@ -116,12 +116,18 @@ def train_forest(df: DataFrame, columns: Sequence[str], row_id: str, trees: int
     """Forest table (tree, node, feature, cut, low, high, depth).
 
     Each tree is grown in its own task on the ``sample`` rows with the smallest
-    seeded hash for that tree: the sampling is part of the method, and at most
-    trees * sample rows are shuffled.
+    seeded hash for that tree (``sample`` and ``trees`` are the method's parameters). A row goes to a
+    tree only if its hash is below the value that twice as many rows are expected to
+    stay below, so about 2 * trees * sample rows are ever made, in one pass.
     """
     columns = list(columns)
-    rows = df.select(row_id, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    rows = rows.withColumn("_h", F.xxhash64(F.col(row_id), F.col("tree"), F.lit(seed)))
+    drawn = lambda tree: F.xxhash64(F.col(row_id), tree, F.lit(seed))
+    size = df.agg(F.count("*").cast("double").alias("n")).scalar()
+    share = (2 * sample + 64) / F.greatest(size, F.lit(1.0))
+    below = F.when(share >= 1, F.lit(2 ** 63 - 1)).otherwise((F.lit(-(2.0 ** 63)) + share * 2.0 ** 64).cast("bigint"))
+    rows = df.select(row_id, *columns, below.alias("_below"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: drawn(tree) <= F.col("_below"))
+    rows = rows.withColumn("tree", F.explode(held)).withColumn("_h", drawn(F.col("tree"))).drop("_below")
     first = F.row_number().over(Window.partitionBy("tree").orderBy("_h"))
     rows = rows.withColumn("_n", first).filter(F.col("_n") <= sample)  # limited per task before the shuffle
 

@@ -12,15 +12,25 @@ Inputs that are small by the size check skip the cut and use a plain window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tidewatch.session import is_small, materialise
+from tidewatch.session import input_bytes, is_small, materialise
 
 SLICE = "_slice"
 ROWS_PER_FRAME_BLOCK = 1_000_000
+#: Input bytes of a range, at most, where the size of the input is known.
+BYTES_PER_SLICE = 256 * 1024 * 1024
+
+
+def slice_count(df: DataFrame) -> int:
+    """Ranges to cut: the session's shuffle partitions, or more if the input is large."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(df)
+    return max(least, math.ceil(size / BYTES_PER_SLICE)) if math.isfinite(size) else least
 
 
 class Slices:
@@ -30,7 +40,7 @@ class Slices:
         self.keys, self.order = list(keys), list(order)
         self.cut = not is_small(df)
         if self.cut:
-            count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            count = slices or slice_count(df)
             self.df = materialise(
                 df.repartitionByRange(count, *self.keys, *self.order)
                 .withColumn(SLICE, F.spark_partition_id())

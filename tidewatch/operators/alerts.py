@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tidewatch.functions.expressions import attach, flag, one_row, period, seconds_between
 from tidewatch.functions.ordered import SLICE, RowFrames, Slices, TimeFrames, same_keys_join
 from tidewatch.functions.quantiles import group_quantiles
+from tidewatch.functions.spans import span_count, span_mean, span_std, span_totals
 
 HOUR = 3600
 KEY, TS, TIE = "metric", "ts", "point_id"
@@ -51,9 +52,8 @@ def window_statistics(points: DataFrame, seconds: int = 300) -> DataFrame:
 
 def window_anomalies(points: DataFrame, seconds: int = 300) -> DataFrame:
     """Points over 2 population deviations from the window mean, with more than 5 points in the window."""
-    frames = TimeFrames(points, [KEY], TS, seconds)
-    w = frames.span(seconds, closed=True)
-    rows = frames.done(frames.df.withColumns({"_n": F.count("value").over(w), "window_mean": F.avg("value").over(w), "window_std": F.stddev_pop("value").over(w)}))
+    rows = span_totals(points, [KEY], ["value"], TS, seconds, closed=True)
+    rows = rows.withColumns({"_n": span_count("value"), "window_mean": span_mean("value"), "window_std": span_std("value", sample=False)}).drop("_span_value")
     z = F.when(F.col("window_std") > 0, F.abs(F.col("value") - F.col("window_mean")) / F.col("window_std"))
     rows = rows.withColumn("deviation", z).filter((F.col("_n") > 5) & (F.col("deviation") > 2)).drop("_n")
     return rows.withColumn("severity", severity(F.col("deviation"), 4, 3, 2, strict=True))
@@ -71,21 +71,20 @@ def check_thresholds(points: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def dynamic_limits(points: DataFrame, sensitivity: float = 0.2, low: float | None = None, high: float | None = None) -> DataFrame:
     """Mean of the last hour (point included) times 1 + ``sensitivity``, clamped."""
-    frames = TimeFrames(points, [KEY], TS, HOUR)
-    limit = F.avg("value").over(frames.span(HOUR, closed=True)) * (1 + sensitivity)
+    rows = span_totals(points, [KEY], ["value"], TS, HOUR, closed=True)
+    limit = span_mean("value") * (1 + sensitivity)
     if low is not None:
         limit = F.greatest(limit, F.lit(float(low)))
     if high is not None:
         limit = F.least(limit, F.lit(float(high)))
-    return frames.done(frames.df.withColumn("dynamic_limit", limit))
+    return rows.withColumn("dynamic_limit", limit).drop("_span_value")
 
 
 def adaptive_limits(points: DataFrame, static: float, k: float = 2.0, least_points: int = 10) -> DataFrame:
     """Mean + k sample deviations of the last hour; the static limit below ``least_points`` points."""
-    frames = TimeFrames(points, [KEY], TS, HOUR)
-    w = frames.span(HOUR, closed=True)
-    limit = F.when(F.count("value").over(w) >= least_points, F.avg("value").over(w) + k * F.stddev_samp("value").over(w)).otherwise(F.lit(float(static)))
-    return frames.done(frames.df.withColumn("adaptive_limit", limit))
+    rows = span_totals(points, [KEY], ["value"], TS, HOUR, closed=True)
+    limit = F.when(span_count("value") >= least_points, span_mean("value") + k * span_std("value")).otherwise(F.lit(float(static)))
+    return rows.withColumn("adaptive_limit", limit).drop("_span_value")
 
 
 def exclusive(values: Column, p: float) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from tidewatch.functions.expressions import correlation, flag, ratio
 from tidewatch.functions.ordered import RowFrames, Slices, TimeFrames, same_keys_join
 from tidewatch.functions.quantiles import label
+from tidewatch.functions.spans import span_count, span_mean, span_std, span_sum, span_totals
 
 DAY = 86_400
 TS, TIE = "START_TIME", "QUERY_ID"
@@ -20,35 +21,12 @@ HOURS = (9, 12, 15, 18)
 
 
 def rolling_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seconds: int, suffix: str, ts: str = TS) -> DataFrame:
-    """Count, sum, mean and sample deviation over ``(t - seconds, t]``, rows of the same time included.
-
-    Each value enters at its time and leaves ``seconds`` later; a running total of
-    both gives the window, so cost does not grow with the window length and a hot
-    key is spread over ranges.  Values are centred before squaring.
-    """
-    keys = list(keys)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    centre = df.agg(*[F.avg(c).alias(c) for c in columns])
-    rows = df.withColumns({"_us": us, "_c": centre.select(F.struct("*")).scalar()})
-    parts = {}
-    for c in columns:
-        x = F.col(c).cast("double")
-        off = x - F.col(f"_c.{c}")
-        parts |= {f"n_{c}": F.count(c), f"s_{c}": F.coalesce(F.sum(off), F.lit(0.0)), f"q_{c}": F.coalesce(F.sum(off * off), F.lit(0.0))}
-    steps = rows.groupBy(*keys, "_us").agg(*[v.alias(n) for n, v in parts.items()])
-    enter = steps.withColumn("_enter", F.lit(1))
-    leave = steps.withColumns({"_us": F.col("_us") + seconds * 1_000_000, "_enter": F.lit(0), **{n: -F.col(n) for n in parts}})
-    events = enter.unionByName(leave)
-    slices = Slices(events, keys, ["_us", "_enter"])
-    run = slices.done(slices.running(slices.df, {f"r_{n}": F.col(n) for n in parts}))
-    run = run.filter("_enter = 1").select(*keys, "_us", *[f"r_{n}" for n in parts])
-    out = same_keys_join(rows, run, [*keys, "_us"], "left")
+    """Count, sum, mean and sample deviation over ``(t - seconds, t]``, rows of the same time included."""
     new = {}
     for c in columns:
-        n, s, q, mid = F.col(f"r_n_{c}"), F.col(f"r_s_{c}"), F.col(f"r_q_{c}"), F.col(f"_c.{c}")
-        new |= {f"{c}_rolling_{suffix}_count": n, f"{c}_rolling_{suffix}_sum": F.when(n > 0, s + n * mid), f"{c}_rolling_{suffix}_mean": F.when(n > 0, s / n + mid),
-                f"{c}_rolling_{suffix}_std": F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)))}
-    return out.withColumns(new).drop("_us", "_c", *[f"r_{n}" for n in parts])
+        new |= {f"{c}_rolling_{suffix}_count": span_count(c), f"{c}_rolling_{suffix}_sum": span_sum(c),
+                f"{c}_rolling_{suffix}_mean": span_mean(c), f"{c}_rolling_{suffix}_std": span_std(c)}
+    return span_totals(df, keys, columns, ts, seconds).withColumns(new).drop(*[f"_span_{c}" for c in columns])
 
 
 def rolling_shape(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seconds: int, suffix: str, ts: str = TS) -> DataFrame:

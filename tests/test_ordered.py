@@ -8,6 +8,7 @@ from tidewatch.functions.ordered import RowFrames, Slices, TimeFrames
 from tidewatch.functions.quantiles import group_quantiles
 from tidewatch.functions.ranks import gini, with_ranks, with_running_share
 from tidewatch.functions.spacing import spaced
+from tidewatch.functions.spans import span_count, span_mean, span_std, span_totals
 from tidewatch.session import SMALL_BYTES_KEY
 
 
@@ -83,6 +84,21 @@ def test_group_quantiles(rows, mode, method, exact):
             assert got[k][f"x_p{int(p * 100)}"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_span_totals_equal_range_frames(rows, mode, closed):
+    span = 600
+    start = -span * 1_000_000 + (0 if closed else 1)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("k").orderBy("_t").rangeBetween(start, 0)
+    want = rows.withColumn("_t", us).select("id", F.count("x").over(w).alias("n"), F.avg("x").over(w).alias("m"), F.stddev_samp("x").over(w).alias("s"),
+                                            F.stddev_pop("x").over(w).alias("p")).toPandas().set_index("id").sort_index()
+    got = span_totals(rows, ["k"], ["x"], "ts", span, closed).select(
+        "id", span_count("x").alias("n"), span_mean("x").alias("m"), span_std("x").alias("s"), span_std("x", sample=False).alias("p")).toPandas().set_index("id").sort_index()
+    assert (got["n"] == want["n"]).all()
+    for c in ("m", "s", "p"):
+        assert got[c].to_numpy(float) == pytest.approx(want[c].to_numpy(float), nan_ok=True, abs=1e-9)
+
+
 def test_both_forms_agree_on_all_rows(spark, rows):
     """Null values, groups of nulls and null keys included."""
     data = rows.unionByName(rows.sparkSession.sql("select 9000L as id, 'none' as k, timestamp_ntz'2024-01-01' as ts, cast(null as double) as x"))

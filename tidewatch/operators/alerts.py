@@ -14,6 +14,7 @@ from tidewatch.functions.expressions import attach, flag, one_row, period, secon
 from tidewatch.functions.ordered import SLICE, RowFrames, Slices, TimeFrames, same_keys_join
 from tidewatch.functions.quantiles import group_quantiles
 from tidewatch.functions.spans import span_count, span_mean, span_std, span_totals
+from tidewatch.operators.forecast import smoothing_forecast
 
 HOUR = 3600
 KEY, TS, TIE = "metric", "ts", "point_id"
@@ -315,8 +316,8 @@ def window_aggregates(points: DataFrame, windows: Sequence[tuple[str, int]], as_
     out = same_keys_join(out, q, keys, "left")
     n, span = F.col("count"), seconds_between(F.col("_t0"), F.col("_t1"))
     # mean and sample deviation of the points before the last one
-    m = (F.col("sum") - F.col("latest")) / (n - 1)
-    v = (F.col("_q") - F.col("latest") * F.col("latest") - (n - 1) * m * m) / (n - 2)
+    m = (F.col("sum") - F.col("latest")) / F.nullif(n - 1, F.lit(0.0))
+    v = (F.col("_q") - F.col("latest") * F.col("latest") - (n - 1) * m * m) / F.nullif(n - 2, F.lit(0.0))
     z = F.when((n >= 3) & (v > 1e-12), F.abs(F.col("latest") - m) / F.sqrt(v)).otherwise(0.0)
     return out.withColumns({"rate": F.when((n >= 2) & (span > 0), (F.col("latest") - F.col("first")) / span).otherwise(0.0),
                             "delta": F.when(n >= 2, F.col("latest") - F.col("first")).otherwise(0.0), "anomaly_score": z}).drop("_t0", "_t1", "_q")
@@ -450,6 +451,14 @@ def escalating_rules(rule_id: str, metric: str, limits: dict[str, float]) -> lis
     return [cost_threshold_rule(f"{rule_id}_{level}", metric, limit, level) for level, limit in limits.items()]
 
 
+def predicted_points(points: DataFrame, as_of: str) -> DataFrame:
+    """Points of ``predicted_<metric>`` at ``as_of``, from each metric's hourly means so far; predictive rules read them."""
+    end = F.lit(as_of).cast("timestamp_ntz")
+    hours = points.filter(F.col(TS) <= end).groupBy(KEY, period(F.col(TS), "hour").alias("date")).agg(F.avg("value").alias("value"))
+    found = smoothing_forecast(hours, KEY)
+    return found.select(F.concat(F.lit("predicted_"), F.col(KEY)).alias(KEY), end.alias(TS), F.col("predicted").alias("value"), F.lit(-1).cast("bigint").alias(TIE))
+
+
 def predictive_rule(rule_id: str, metric: str, limit: float) -> Rule:
     return Rule(rule_id, Group("AND", (Condition(f"predicted_{metric}", "latest", ">", limit, 3600),)), "medium")
 

@@ -297,11 +297,27 @@ def severity_distribution(spark, d):
     return dynamic_severity(spark, d).groupBy("level").agg(F.count("*").alias("rules"))
 
 
-@query("al34_templates")
+AGG34 = "wa as (" + " union all ".join(f"select * from {_window(s)}" for s in (300, 900, 3600, 14400)) + ")"
+PREDICTED = f"""hm as (select metric, date_trunc('hour', ts) as date, avg(value) as value from points where ts <= timestamp '{AS_OF}' group by 1, 2),
+hr as (select *, row_number() over (partition by metric order by date desc) as n from hm), pr as (select metric, sum(value*pow(0.8,n-1))/sum(pow(0.8,n-1)) as predicted from hr where n <= 10 group by 1)"""
+
+
+def _met(metric, seconds, test):
+    return f"coalesce((select {test} from wx where metric = '{metric}' and seconds = {seconds}), false)::int"
+
+
+@query("al34_templates", f"""with {AGG34}, {ROWS}, {PREDICTED} select 'cost' as rule_id, 'high' as severity, {_met('purchase', 300, 'latest > 80')} as is_triggered
+union all select 'slow', 'medium', {_met('view', 14400, '"avg" > 20 and p95 > 30')} union all select 'odd', 'high', {_met('click', 14400, 'anomaly_score > 2')}
+union all select 'soon', 'medium', coalesce((select predicted > 10 from pr where metric = 'view'), false)::int union all select 'later', 'medium', coalesce((select predicted > 1000 from pr where metric = 'view'), false)::int
+union all select 'rate', 'medium', {_met('error', 900, 'rate > 0.1 or "std" > 30')} union all select 'spend_medium', 'medium', {_met('signup', 300, 'latest > 20')} union all select 'spend_critical', 'critical', {_met('signup', 300, 'latest > 90')}
+union all select 'both', 'high', {_met('view', 14400, '"avg" > 40')} * {_met('click', 14400, '"max" < 100')}
+union all select 'either', 'high', greatest({_met('view', 14400, '"avg" > 40')}, {_met('error', 3600, '"count" >= 3')})""")
 def templates(spark, d):
-    made = [L.cost_threshold_rule("cost", "purchase", 80.0), L.degradation_rule("slow", "view", 50.0, 14400), L.anomaly_rule("odd", "click", 2.0, 14400),
-            L.predictive_rule("soon", "view", 100.0), L.pattern_rule("rate", "error", 0.1, 30.0), *L.escalating_rules("spend", "signup", {"medium": 20.0, "critical": 90.0})]
-    return L.evaluate_rules(metric_points(spark, d), made, AS_OF)
+    points = metric_points(spark, d)
+    made = [L.cost_threshold_rule("cost", "purchase", 80.0), L.degradation_rule("slow", "view", 20.0, 14400), L.anomaly_rule("odd", "click", 2.0, 14400),
+            L.predictive_rule("soon", "view", 10.0), L.predictive_rule("later", "view", 1000.0), L.pattern_rule("rate", "error", 0.1, 30.0),
+            *L.escalating_rules("spend", "signup", {"medium": 20.0, "critical": 90.0}), L.composite_rule("both", [C1, C2]), L.composite_rule("either", [C1, C3], "OR")]
+    return L.evaluate_rules(points.unionByName(L.predicted_points(points, AS_OF)), made, AS_OF)
 
 
 def _audit(spark, d):

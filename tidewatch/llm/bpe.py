@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.llm.common import map_rows, take
+from tidewatch.llm.common import Shared, map_rows, take, worker_state
 from tidewatch.llm.tokens import OTHER_SPACE, SPACE, SpacedChunks
 
 HEAD_WORDS = 1 << 16
@@ -199,8 +199,27 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:end[i]]] for i in range(n) if alive[i]]
 
 
+class Pieces:
+    """A byte string for each id; ``joined`` concatenates those of many ids."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.sizes = np.array([len(p) for p in pieces], np.int32)
+        self.begins = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes, and where those of each id end."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if not len(ids):
+            return b"", ends
+        place = np.repeat(self.begins[ids] - (ends - sizes), sizes)
+        place += np.arange(ends[-1])
+        return self.bytes[place].tobytes(), ends
+
+
 class RankedChunks(SpacedChunks):
-    """Chunk -> (ids as 16-bit numbers, ids as decimal text with a comma after each)."""
+    """Chunk -> its ids as 16-bit numbers."""
 
     def __init__(self, file: str, pattern: str, head: dict[str, bytes]):
         super().__init__()
@@ -211,51 +230,39 @@ class RankedChunks(SpacedChunks):
         pieces = [b""] * size
         for piece, rank in self.ranks.items():
             pieces[rank] = piece
-        self.decimal = [b"%d," % i for i in range(size)]
-        self.sizes = np.array([len(p) for p in pieces], np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.pieces = Pieces(pieces)
+        self.decimals = Pieces([b"%d," % i for i in range(size)])
 
     def learn(self, chunks: set[str]) -> None:
-        head, ranks, decimal = self.head, self.ranks, self.decimal
+        head, ranks = self.head, self.ranks
         for chunk in chunks:
             ids: list[int] = []
             for word in self.matches(chunk):
                 known = head.get(word)
                 ids += merge(word.encode(), ranks) if known is None else np.frombuffer(known, "<u2").tolist()
-            self.known[chunk] = (np.array(ids, "<u2").tobytes(), b"".join([decimal[i] for i in ids]))
-
-    def decoded(self, ids: np.ndarray) -> bytes:
-        """The binary pieces of the ids, joined."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        if not len(ids):
-            return b""
-        return self.bytes[np.repeat(self.begins[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
-
-
-_HELD: dict = {}
+            self.known[chunk] = np.array(ids, "<u2").tobytes()
 
 
 def coded(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
     spark = docs.sparkSession
     rows = take(docs, doc_id="bigint", text="string")
-    head_rows = frequent_words(rows, pattern).repartition(HEAD_TASKS, "word").select("word", merged_ids(F.col("word"), rank_lookup(read_ranks(file))).alias("ids"))
-    head = {r["word"]: np.array(r["ids"], "<u2").tobytes() for r in head_rows.toLocalIterator()}
-    shared = spark.sparkContext.broadcast(head)
+    head_rows = frequent_words(rows, pattern).coalesce(HEAD_TASKS).select("word", merged_ids(F.col("word"), rank_lookup(read_ranks(file))).alias("ids"))
+    told = head_rows.toArrow()  # at most HEAD_WORDS chunks' words
+    head = {word: np.array(ids, "<u2").tobytes() for word, ids in zip(told.column("word").to_pylist(), told.column("ids").to_pylist())}
+    shared = Shared(spark.sparkContext.broadcast(head))
 
     def work(part):
-        if file not in _HELD or _HELD[file][0] is not shared.value:
-            _HELD[file] = (shared.value, RankedChunks(file, pattern, shared.value))
-        known = _HELD[file][1]
-        known.trim(CACHE_CHUNKS)
-        out = {"doc_id": part["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for found in known.parts(part["text"]):
-            ids, decimal = (b"".join(x) for x in zip(*found)) if found else (b"", b"")
-            out["n_tokens"].append(len(ids) // 2)
-            out["ids_sha256"].append(hashlib.sha256(memoryview(decimal)[:-1]).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(known.decoded(np.frombuffer(ids, "<u2"))).hexdigest())
+        known = worker_state(("ranks", file, shared.id), lambda: RankedChunks(file, pattern, shared.value))
+        made = known.texts(part["text"])
+        counts = np.array([len(m) // 2 for m in made])
+        ids = np.frombuffer(b"".join(made), "<u2")
+        cuts = np.append(0, np.cumsum(counts))
+        out = {"doc_id": part["doc_id"], "n_tokens": counts}
+        for name, pieces, comma in (("ids_sha256", known.decimals, 1), ("decoded_sha256", known.pieces, 0)):
+            data, ends = pieces.joined(ids)
+            places, view = np.append(0, ends)[cuts].tolist(), memoryview(data)
+            out[name] = [hashlib.sha256(view[a:max(a, b - comma)]).hexdigest() for a, b in zip(places, places[1:])]
         return out
 
-    return map_rows(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work)
+    return map_rows(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, stateful=True)

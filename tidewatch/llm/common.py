@@ -7,6 +7,7 @@ Arrow batches: Spark splits, shuffles and retries it, one batch is in memory.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,12 +34,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """Apply ``work`` (columns as lists to columns as lists or arrays) to slices of the rows."""
+class Shared:
+    """A broadcast value and a name for it that workers can tell apart."""
+
+    def __init__(self, broadcast):
+        self.broadcast, self.id = broadcast, uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+#: What the current operator keeps in this worker between batches and tasks.
+_STATE: dict = {}
+
+
+def worker_state(name, make: Callable):
+    """The state ``name`` of this worker, made when first asked for; those of other operators are let go."""
+    if name not in _STATE:
+        _STATE.clear()
+        _STATE[name] = make()
+    return _STATE[name]
+
+
+def release() -> None:
+    """Let go what other operators kept in this worker."""
+    _STATE.clear()
+
+
+def map_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]], stateful: bool = False) -> DataFrame:
+    """Apply ``work`` (columns as lists to columns as lists or arrays) to slices of the rows.
+
+    ``stateful``: it uses ``worker_state``.
+    """
     out = _schema(schema)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not stateful:
+            release()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)

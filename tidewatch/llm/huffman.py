@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewatch.llm.common import SLICE_ROWS, _schema, as_batch, keyed, take, to_arrow_schema
+from tidewatch.llm.common import SLICE_ROWS, _schema, as_batch, keyed, release, take, to_arrow_schema
 from tidewatch.llm.tokens import chunks
 from tidewatch.session import drop_path, materialise, scratch_path
 
@@ -227,6 +227,7 @@ def write(docs: DataFrame, file: str, end_id: int, folder: str) -> None:
     ordered = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "_k")
 
     def run(batches):
+        release()
         codes, number, held, size = canonical(shared.value), None, [], 0
         for batch in batches:
             if number is None and batch.num_rows:
@@ -252,6 +253,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     arrow = to_arrow_schema(_schema(out))
 
     def run(batches):
+        release()
         for batch in batches:
             for content in batch.column(0):
                 parts = records(content.as_py())

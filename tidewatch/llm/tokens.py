@@ -14,6 +14,7 @@ import unicodedata
 
 import numpy as np
 
+from tidewatch.llm.common import worker_state
 from tidewatch.llm.wordtable import BLANK, LINE_END, START, WordTable, split
 
 #: Cached chunks of a worker; the cache starts anew beyond it.
@@ -243,11 +244,6 @@ class Chunks(SpacedChunks):
                 self.known[c] = data[a:b]
 
 
-_HELD: dict[tuple[str, bool], Chunks] = {}
-
-
 def chunks(file: str, keeps_space: bool) -> Chunks:
     """One per worker process and file."""
-    if (file, keeps_space) not in _HELD:
-        _HELD[file, keeps_space] = Chunks(file, keeps_space)
-    return _HELD[file, keeps_space]
+    return worker_state(("chunks", file, keeps_space), lambda: Chunks(file, keeps_space))

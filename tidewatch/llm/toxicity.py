@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import map_rows, sketch, take
+from tidewatch.llm.common import Shared, map_rows, release, sketch, take, worker_state
 from tidewatch.session import materialise
 
 BUCKETS = 1 << 20
@@ -81,6 +81,7 @@ class Model:
 def bucket_counts(labelled: DataFrame) -> DataFrame:
     """bucket, clean, toxic: documents of ``labelled`` (text, toxic) that hold the bucket; all documents as bucket ``BUCKETS``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache = Cache(buckets_of)
         counts = np.zeros((2, BUCKETS + 1), np.int32)
         for batch in batches:
@@ -232,12 +233,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return picked.select("doc_id", F.lit(0.0).alias("score"),
                              F.expr("cast(array() as array<struct<start:int,end:int,total:double>>)").alias("passages"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    held: dict = {}
+    shared = Shared(docs.sparkSession.sparkContext.broadcast(model))
 
     def work(part):
         own = shared.value
-        cache = held.setdefault("cache", None) or held.update(cache=word_score(own)) or held["cache"]
+        cache = worker_state(("toxic words", shared.id), lambda: word_score(own))
         scores, passages = [], []
         for text in part["text"]:
             spans, f = evidence(own, cache, text)
@@ -246,4 +246,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             passages.append([{"start": s, "end": e, "total": t} for s, e, t, log_e in spans if log_e < 0])
         return {"doc_id": part["doc_id"], "score": scores, "passages": passages}
 
-    return map_rows(picked, schema, work)
+    return map_rows(picked, schema, work, stateful=True)

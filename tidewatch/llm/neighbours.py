@@ -13,7 +13,7 @@ rows share costs one product. The result is exact: recall is 1 by construction.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 take no part, nor do rows without an id; a query meets vectors of its own length only;
-rows with a query's id are its own; repeated rows count once; ties go to the smaller id;
+rows with a query's id are its own, and of several such rows the smallest vector asks; repeated rows count once; ties go to the smaller id;
 with fewer candidates than wanted all are returned; empty tables give no rows.
 """
 
@@ -104,7 +104,7 @@ def cell_best(query_ids, queries, ids, vectors, k: int) -> tuple[list, list, lis
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of every row for which ``is_query`` holds."""
     rows = usable(vectors)
-    queries = rows.where(is_query).dropDuplicates(["vec_id", "dim"])
+    queries = rows.where(is_query).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))  # of rows with one id the first vector
     # One row a vector length: how many blocks its rows and queries make.
     sizes = (rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("nq")).where("nq > 0")
              .select("dim", F.ceil(F.col("n") * F.col("dim") / BLOCK_VALUES).cast("int").alias("blocks"),

@@ -29,7 +29,7 @@ def op4(spark, folder):
 @query("op1_toxic_segments")
 def op1(spark, folder):
     docs = table(spark, folder, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = toxicity.train(docs, table(spark, folder, "labels"), ~held_out)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score",

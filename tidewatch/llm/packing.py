@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import SLICE_ROWS, _schema, as_batch, keyed, mixed, take, to_arrow_schema
+from tidewatch.llm.common import SLICE_ROWS, _schema, as_batch, keyed, mixed, release, take, to_arrow_schema
 from tidewatch.llm.tokens import chunks
 from tidewatch.session import scratch_path
 
@@ -103,18 +103,19 @@ class Index:
     """The BM25 inverted index of a shard: for each id, its documents and their weights."""
 
     def __init__(self, docs: list[np.ndarray], weights: np.ndarray, mean: float):
-        terms, owners, counts, self.queries = [], [], [], []
-        for n, ids in enumerate(docs):
-            held, count = distinct(ids)
-            terms.append(held)
-            counts.append(count)
-            owners.append(np.full(len(held), n, np.int32))
-            gain = weights[held] * np.log1p(count)
-            top = np.argpartition(-gain, QUERY_TERMS)[:QUERY_TERMS] if len(held) > QUERY_TERMS else np.arange(len(held))
-            self.queries.append(held[top])
-        term, owner, count = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts)
+        sizes = np.array([len(d) for d in docs], np.int64)
+        # One sort of (document, id) gives each document's distinct ids and their counts.
+        pairs = (np.repeat(np.arange(len(docs), dtype=np.uint64 if len(docs) > 1 << 16 else np.uint32), sizes) << 16) | np.concatenate(docs)
+        pairs.sort()
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        count = np.diff(np.append(first, len(pairs)))
+        owner, term = (pairs[first] >> 16).astype(np.int32), (pairs[first] & 0xFFFF).astype(np.int64)
+        gain = weights[term] * np.log1p(count)
+        cuts = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+        self.queries = [term[a:b][np.argpartition(-gain[a:b], QUERY_TERMS)[:QUERY_TERMS]] if b - a > QUERY_TERMS else term[a:b]
+                        for a, b in zip(cuts, cuts[1:])]
         order = np.argsort(term, kind="stable")
-        size = np.array([len(d) for d in docs])[owner]
+        size = sizes[owner]
         weight = weights[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size / mean))
         self.owners, self.weights = owner[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
@@ -128,12 +129,6 @@ class Index:
         return np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.size)
 
 
-def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ordered = np.sort(ids, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[first].astype(np.int64), np.diff(np.append(first, len(ordered)))
-
-
 class Packer:
     """Deals the documents of one task into windows, shard by shard; the open window goes on from one to the next."""
 
@@ -234,6 +229,7 @@ def packed(docs: DataFrame, file: str, end_id: int = 0) -> DataFrame:
                .sortWithinPartitions("place", "_k").select("doc_id", "ids", F.spark_partition_id().alias("number")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         packer, waiting, size, number = Packer(*shared.value), [], 0, 0
 
         def ready():

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import DOCUMENT, SLICE_ROWS, map_rows, take
+from tidewatch.llm.common import DOCUMENT, SLICE_ROWS, map_rows, release, take, worker_state
 from tidewatch.llm.linequality import measures
 from tidewatch.llm.toxicity import Cache
 
@@ -31,6 +31,8 @@ BUCKETS = 1 << 17
 #: Documents that the scorer is fitted to, about.
 TRAINING_ROWS = 8_000
 THRESHOLD = 0.35
+#: Cached words of a worker.
+CACHE_WORDS = 100_000
 GOOD, BAD, ABSTAIN = 2, 1, 0
 
 #: Frequent function words of the languages at hand.
@@ -74,6 +76,7 @@ def votes(text: str | None) -> list[int]:
 def pattern_counts(docs: DataFrame) -> list[tuple[list[int], int]]:
     """Documents of the corpus by their votes; at most three to the number of labellers."""
     def run(batches):
+        release()
         counts: dict[str, int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -135,8 +138,13 @@ def bucket(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) % BUCKETS
 
 
-def word_buckets(word: str) -> tuple[int, int]:
-    return bucket("w" + word.lower()), bucket("s" + shape(word))
+def word_buckets(word: str) -> int:
+    """The buckets of the word and of its shape in one number, which a cache holds in little room."""
+    return bucket("w" + word.lower()) * BUCKETS + bucket("s" + shape(word))
+
+
+def word_cache() -> Cache:
+    return Cache(word_buckets, CACHE_WORDS)
 
 
 def features(text: str | None, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +156,7 @@ def features(text: str | None, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
         return np.array(indicators), np.ones(1)
     indicators += [bucket("d%d" % int(10 * len(set(words)) / n)), bucket("r%d" % int(10 * sum(a == b for a, b in zip(words, words[1:])) / n))]
     pairs = np.array([cache[w] for w in words])
-    at, counts = np.unique(pairs.ravel(), return_counts=True)
+    at, counts = np.unique(np.concatenate([pairs // BUCKETS, pairs % BUCKETS]), return_counts=True)
     return np.concatenate([at, indicators]), np.concatenate([np.sqrt(counts / n), np.ones(len(indicators))])
 
 
@@ -183,7 +191,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray, float] | None:
     sample = texts.where(F.pmod(F.xxhash64(F.lit("quality"), "text"), 1 << 20) < share).dropDuplicates(["text"])
 
     def work(part):
-        cache = Cache(word_buckets)
+        cache = word_cache()
         made = [features(t, cache) for t in part["text"]]
         return {"at": [a.tolist() for a, _ in made], "value": [v.tolist() for _, v in made], "good": [labelling.good(votes(t)) for t in part["text"]]}
 
@@ -198,11 +206,8 @@ def train(docs: DataFrame) -> tuple[np.ndarray, float] | None:
     return fit(rows, good)
 
 
-_HELD = Cache(word_buckets)
-
-
 def score_of(text: str | None, weights: np.ndarray, intercept: float) -> float:
-    at, values = features(text, _HELD)
+    at, values = features(text, worker_state("word buckets", word_cache))
     z = float(weights[at] @ values) + intercept
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -218,7 +223,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame
         scores = [score_of(t, *shared.value) for t in part["text"]]
         return {"doc_id": part["doc_id"], "score": scores, "kept": [s >= THRESHOLD for s in scores]}
 
-    return map_rows(rows, "doc_id bigint, score double, kept boolean", work)
+    return map_rows(rows, "doc_id bigint, score double, kept boolean", work, stateful=True)
 
 
 def filtered(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from tidewatch.session import materialise
 
 WINDOW = 5
 LINE_LIMIT = 20
-LEAST_SHARE = 0.3
+LEAST_SHARE = 0.2
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"

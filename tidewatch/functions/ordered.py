@@ -24,13 +24,15 @@ SLICE = "_slice"
 ROWS_PER_FRAME_BLOCK = 1_000_000
 #: Input bytes of a range, at most, where the size of the input is known.
 BYTES_PER_SLICE = 256 * 1024 * 1024
+#: Spark reports the largest long for relations whose size it does not know.
+UNKNOWN_BYTES = 2 ** 60
 
 
 def slice_count(df: DataFrame) -> int:
     """Ranges to cut: the session's shuffle partitions, or more if the input is large."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
-    return max(least, math.ceil(size / BYTES_PER_SLICE)) if math.isfinite(size) else least
+    return max(least, math.ceil(size / BYTES_PER_SLICE)) if size < UNKNOWN_BYTES else least
 
 
 class Slices:

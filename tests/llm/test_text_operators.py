@@ -183,6 +183,30 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert left[3] == sentence(1003, 40) and left[51] == rows[31][1] and left[100] == sentence(77, 60)
 
 
+def test_pages_that_share_most_lines_are_distinct_documents(spark):
+    shared = [sentence(500 + k, 12) for k in range(18)]
+    rows = [(i, "\n".join([*shared, sentence(2000 + i, 24)]), "host") for i in range(50)]          # 90% shared lines
+    menu = [sentence(700 + k, 8) for k in range(30)]
+    rows += [(100 + i, "\n".join(menu[(i * k + k * k) % 30] for k in range(10)), "menu") for i in range(150)]  # no words of their own
+    found = {r["doc_id"]: r for r in linequality.judged(documents(spark, rows)).collect()}
+    assert all(found[i]["removed_words"] == 18 * 12 and not found[i]["base_failed"] and not found[i]["kept"] for i in range(50))
+    assert all(found[100 + i]["removed_words"] > 0 for i in range(150))
+
+
+def test_edited_copies_are_no_boilerplate(spark):
+    base = [sentence(900 + k, 40).split() for k in range(6)]
+
+    def edited(i):
+        lines = [list(x) for x in base]
+        lines[i % 6][3 + i % 30] = f"edit{i}"
+        return "\n".join(map(" ".join, lines))
+
+    rows = [(i, edited(i), "host") for i in range(60)] + [(100, "\n".join(map(" ".join, base)), "host")]
+    found = linequality.judged(documents(spark, rows)).collect()
+    assert all(r["kept"] and r["removed_words"] == 0 for r in found if not r["base_failed"])
+    assert sum(r["base_failed"] for r in found) == 0
+
+
 # ---- byte-level BPE
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")

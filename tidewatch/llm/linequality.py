@@ -4,9 +4,15 @@ Lines are normalised (ASCII lower case, runs of white space as one blank) and ha
 For each host (the ``source`` column; null is a host of its own) the distinct
 documents that hold a line are counted; lines in more than ``LINE_LIMIT`` of them are
 removed as boilerplate. A document is depleted, and rejected, if less than
-``LEAST_SHARE`` of its words or fewer than ``LEAST_WORDS`` words remain. Documents
-are told apart by a min-hash over their five-word windows, so a text and its copies
-count as one and copying a page does not make its sentences boilerplate.
+``LEAST_SHARE`` of its words or fewer than ``LEAST_WORDS`` words remain.
+
+Two texts are one document if their normalised words are equal. Lines in more than
+``LINE_LIMIT`` such texts of a host are common; only their texts are looked at again. A
+text with a line that is neither common nor an edited common line has words of its own
+and counts by itself, however much it shares. The others are told apart by the set of
+their common lines, an edited one standing for the line it comes from, so edited copies
+of a text count as one and copying a page does not make its sentences boilerplate. A line
+is an edited one if it shares one of ``MARKS`` min-hashes over three-word windows.
 
 Only line hashes and counts are shuffled, never texts. Base rules (word count, share of
 words in repeated five-word windows) are per document and come before.
@@ -22,7 +28,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import DOCUMENT, KEY, keyed, map_rows, signed, sketch, take, windows, word_hashes
+from tidewatch.llm.common import DOCUMENT, KEY, keyed, map_rows, mixed, signed, take, windows, word_hashes
 from tidewatch.session import materialise
 
 WINDOW = 5
@@ -30,6 +36,8 @@ LINE_LIMIT = 20
 LEAST_SHARE = 0.2
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
+MARKS, MARK_WINDOW = 4, 3
+SALTS = mixed(np.arange(1, MARKS + 1))
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -52,8 +60,28 @@ def line_key(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
+def line_marks(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """``MARKS`` min-hashes of each line over its word windows; ``sizes`` are the words of the lines, one at least."""
+    if not sizes:
+        return np.empty((0, MARKS), np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    last = np.repeat(np.maximum(ends - MARK_WINDOW, starts), sizes)  # where the last window of a word's line begins
+    seen = windows(np.append(hashes, np.zeros(MARK_WINDOW - 1, np.uint64)), MARK_WINDOW)
+    for at, size in zip(starts.tolist(), sizes):
+        if size < MARK_WINDOW:  # a short line is one window
+            seen[at] = windows(hashes[at:at + size], size)[0]
+    beyond = np.arange(len(hashes)) > last
+    out = np.empty((len(sizes), MARKS), np.uint64)
+    for n, salt in enumerate(SALTS):
+        values = mixed(seen ^ salt)
+        values[beyond] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        out[:, n] = np.minimum.reduceat(values, starts)
+    return out.view(np.int64)
+
+
 def measures(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, sketch, line hashes, words of each line."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, copy, line hashes, words and marks of each line."""
     text = text or ""
     data = text.encode()
     words = data.split()
@@ -61,17 +89,22 @@ def measures(text: str | None) -> tuple:
     seen = windows(word_hashes(words), WINDOW)
     lines = [x for x in data.split(b"\n") if x.strip()]
     keys: dict[int, int] = {}
+    held, sizes = [], []  # the words of the distinct lines
     for line in lines:
-        key = line_key(line)
-        at = signed(digest(key))
-        keys[at] = keys.get(at, 0) + key.count(b" ") + 1
+        parts = line.lower().split()
+        at = signed(digest(b" ".join(parts)))
+        if at not in keys:
+            held += parts
+            sizes.append(len(parts))
+        keys[at] = keys.get(at, 0) + len(parts)
     return (len(words), len(text) - len(data) + sum(map(len, words)),
             len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(seen),
-            sketch(text, WINDOW, seen), list(keys), list(keys.values()))
+            signed(digest(line_key(data))), list(keys), list(keys.values()), line_marks(word_hashes(held), sizes).tolist())
 
 
 FIELDS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
-          "n_repeat_words": "bigint", "sketch": "bigint", "lines": "array<bigint>", "line_words": "array<bigint>"}
+          "n_repeat_words": "bigint", "copy": "bigint", "lines": "array<bigint>", "line_words": "array<bigint>",
+          "marks": "array<array<bigint>>"}
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -90,8 +123,31 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(found: DataFrame) -> DataFrame:
     """host, line of the lines in more than ``LINE_LIMIT`` distinct documents of a host."""
-    held = found.select("host", "sketch", F.explode("lines").alias("line")).distinct()
-    return held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LINE_LIMIT).select("host", "line")
+    held = found.select("host", "copy", F.explode("lines").alias("line")).distinct()
+    common = materialise(often(held, "copy"))
+    places = materialise(held.join(common, ["host", "line"], "left_semi"))
+    return often(places.join(told_apart(found, common, places), ["host", "copy"]).select("host", "line", "document").distinct(), "document")
+
+
+def often(held: DataFrame, document: str) -> DataFrame:
+    """host, line of the distinct rows (host, line, document) with more than ``LINE_LIMIT`` documents."""
+    return held.groupBy("host", "line").agg(F.count(document).alias("n")).where(F.col("n") > LINE_LIMIT).select("host", "line")
+
+
+def told_apart(found: DataFrame, common: DataFrame, places: DataFrame) -> DataFrame:
+    """host, copy, document of every text of ``places``: the rows (host, copy, line) of the ``common`` lines."""
+    holders = found.join(places.select("host", "copy").distinct(), ["host", "copy"], "left_semi")
+    lines = (holders.select("host", "copy", F.explode(F.arrays_zip("lines", "marks")).alias("x"))
+             .select("host", "copy", F.col("x.lines").alias("line"), F.col("x.marks").alias("marks")))
+    known = (lines.select("host", "line", "marks").join(common, ["host", "line"], "left_semi").distinct()
+             .select("host", "line", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.min("line").alias("origin")))
+    others = (lines.join(common, ["host", "line"], "left_anti")
+              .select("host", "copy", "line", F.explode("marks").alias("mark")).distinct())
+    edited = others.join(known, ["host", "mark"], "left").groupBy("host", "copy", "line").agg(F.min("origin").alias("origin"))
+    parts = places.select("host", "copy", F.col("line").alias("origin")).unionByName(edited.select("host", "copy", "origin")).distinct()
+    own = parts.groupBy("host", "copy").agg(F.max(F.col("origin").isNull()).alias("own"), F.bit_xor(F.xxhash64("origin")).alias("lines"))
+    document = F.struct("own", F.when(F.col("own"), F.col("copy")).otherwise(F.col("lines")).alias("id"))
+    return own.select("host", "copy", document.alias("document"))
 
 
 def verdicts(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -64,6 +64,17 @@ def test_near_copies_against_brute_force(spark):
     assert {r["id"] for r in clean.drop_near(df, "id", "t").collect()} == want
 
 
+def test_near_copies_behind_an_unlike_leader(spark):
+    base = [f"w{j}" for j in range(400)]
+    texts = [" ".join(f"x{i}" if j % 50 == i else w for j, w in enumerate(base)) for i in range(40)]  # unlike each other
+    texts += [" ".join(base), " ".join(base) + " tail"]
+    sets = [{" ".join(w[i:i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    want = {i for i in range(len(texts)) if not any(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.95 for j in range(i))}
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    assert want == set(range(41))
+    assert {r["id"] for r in clean.drop_near(df, "id", "t").collect()} == want
+
+
 def test_constant_columns_have_no_outliers(spark):
     df = spark.createDataFrame([(5.0,)] * 12 + [(None,)], "x double")
     for method in clean.FENCES:

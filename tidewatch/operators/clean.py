@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -98,8 +99,10 @@ def band_hashes(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def shingle_jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
+    shingles = lru_cache(2048)(_shingles)  # a leader comes with many rows
+
     def one(a: str, b: str) -> float:
-        x, y = _shingles(a), _shingles(b)
+        x, y = shingles(a), shingles(b)
         shared = np.intersect1d(x, y, assume_unique=True).size
         return shared / (x.size + y.size - shared)
 
@@ -109,18 +112,29 @@ def shingle_jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
 def near_copies(df: DataFrame, row_id: str, text: str, similarity: float = 0.95) -> DataFrame:
     """(row_id, leader, similarity): rows whose word-shingle Jaccard with an earlier row is high enough.
 
-    Equal texts are first folded into one.  Rows sharing a band of min-hashes meet
-    the smallest id of that band only, never each other, and the similarity to it
-    is computed on the whole texts.
+    Equal texts are first folded into one.  A row is compared on the whole texts
+    with the earlier rows of its bands of min-hashes, smallest ids first, until one
+    is near: each round takes twice as many leaders of a band as the one before and
+    only rows that found none go on.  Rows that are near copies themselves lead too.
     """
-    texts = df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("_t")).agg(F.min(row_id).alias("_id"))
+    texts = materialise(df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("_t")).agg(F.min(row_id).alias("_id")))
     bands = materialise(texts.select("_id", F.explode(band_hashes("_t")).alias("band")))
-    leaders = bands.groupBy("band").agg(F.min("_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    pairs = bands.join(leaders, "band").filter(F.col("_id") > F.col("leader")).select("_id", "leader").distinct()
-    both = (pairs.join(texts, "_id")
-            .join(texts.select(F.col("_id").alias("leader"), F.col("_t").alias("_other")), "leader"))
-    near = both.select(F.col("_id").alias(row_id), "leader", shingle_jaccard("_t", "_other").alias("similarity"))
-    return near.filter(F.col("similarity") >= similarity)
+    many = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("_id"))
+    ranked = materialise(bands.join(many, "band").withColumn("rank", rank))
+    most = ranked.agg(F.max("n")).first()[0] or 0
+    found, left, start = None, ranked, 1
+    while found is None or start < most:
+        leaders = ranked.filter((F.col("rank") >= start) & (F.col("rank") < 2 * start)).select("band", F.col("_id").alias("leader"))
+        pairs = left.filter(F.col("rank") > start).join(leaders, "band").filter(F.col("_id") > F.col("leader")).select("_id", "leader").distinct()
+        both = (pairs.join(texts, "_id")
+                .join(texts.select(F.col("_id").alias("leader"), F.col("_t").alias("_other")), "leader"))
+        near = both.select(F.col("_id").alias(row_id), "leader", shingle_jaccard("_t", "_other").alias("similarity"))
+        near = materialise(near.filter(F.col("similarity") >= similarity))
+        found = near if found is None else found.unionByName(near)
+        left = left.join(near.select(F.col(row_id).alias("_id")).distinct(), "_id", "left_anti")
+        start *= 2
+    return found
 
 
 def drop_near(df: DataFrame, row_id: str, text: str | None, similarity: float = 0.95) -> DataFrame:

@@ -80,26 +80,30 @@ def line_marks(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def measures(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, copy, line hashes, words and marks of each line."""
+def base_measures(text: str | None) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the lines with a word as lists of lower-case words."""
     text = text or ""
     data = text.encode()
     words = data.split()
-    digest = xxhash.xxh3_64_intdigest
-    seen = windows(word_hashes(words), WINDOW)
     lines = [x for x in data.split(b"\n") if x.strip()]
+    return (len(words), len(text) - len(data) + sum(map(len, words)), len(data) - len(data.translate(None, SYMBOLS)),
+            len(lines) - len(set(lines)), repeated_words(windows(word_hashes(words), WINDOW)), [x.lower().split() for x in lines])
+
+
+def measures(text: str | None) -> tuple:
+    """The five base measures, copy, line hashes, words and marks of each distinct line."""
+    *base, lines = base_measures(text)
+    digest = xxhash.xxh3_64_intdigest
     keys: dict[int, int] = {}
     held, sizes = [], []  # the words of the distinct lines
-    for line in lines:
-        parts = line.lower().split()
+    for parts in lines:
         at = signed(digest(b" ".join(parts)))
         if at not in keys:
             held += parts
             sizes.append(len(parts))
         keys[at] = keys.get(at, 0) + len(parts)
-    return (len(words), len(text) - len(data) + sum(map(len, words)),
-            len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(seen),
-            signed(digest(line_key(data))), list(keys), list(keys.values()), line_marks(word_hashes(held), sizes).tolist())
+    return (*base, signed(digest(b" ".join(w for parts in lines for w in parts))), list(keys), list(keys.values()),
+            line_marks(word_hashes(held), sizes).tolist())
 
 
 FIELDS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.common import DOCUMENT, SLICE_ROWS, map_rows, release, take, worker_state
-from tidewatch.llm.linequality import measures
+from tidewatch.llm.linequality import base_measures
 from tidewatch.llm.toxicity import Cache
 
 BUCKETS = 1 << 17
@@ -54,7 +54,8 @@ def votes(text: str | None) -> list[int]:
     n = len(words)
     if not n:
         return [ABSTAIN] * 7
-    _, chars, symbols, dup_lines, repeated, _, lines, _ = measures(text)
+    _, chars, symbols, dup_lines, repeated, lines = base_measures(text)
+    lines = set(map(tuple, lines))
     symbols, repeated = symbols / n, repeated / n
     shouted = sum(w.isupper() and len(w) > 1 for w in words) / n
     distinct = len(set(words)) / n

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, huffman, linequality, neighbours, packing, secrets, simhash, toxicity, warc, weakquality
+from tidewatch.llm import bpe, huffman, linequality, neighbours, packing, runs, secrets, simhash, toxicity, warc, weakquality
 from tidewatch.llm.common import table
 from tidewatch.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -81,3 +81,15 @@ def op3(spark, folder):
 def op5(spark, folder):
     docs = table(spark, folder, "documents")
     return weakquality.scored(docs, weakquality.train(docs))
+
+
+@query("op13_periodic_runs")
+def op13(spark, folder):
+    found = runs.runs(table(spark, folder, "documents"), planted=True)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, huffman, linequality, neighbours, packing, runs, secrets, simhash, toxicity, warc, weakquality
+from tidewatch.llm import bpe, collocations, huffman, linequality, neighbours, packing, runs, secrets, simhash, toxicity, warc, weakquality
 from tidewatch.llm.common import table
 from tidewatch.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -83,6 +83,37 @@ def op5(spark, folder):
     return weakquality.scored(docs, weakquality.train(docs))
 
 
+@query("op11_phrase_collocations", r"""
+with recursive d as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as words from p),
+n as (select lang, cast(sum(len(words)) as bigint) as n from w group by lang),
+g as (select lang, m, array_to_string(words[i:i + m - 1], ' ') as phrase
+  from (select lang, words, m, unnest(range(1, len(words) - m + 2)) as i from w, unnest(range(1, 6)) as s(m))),
+f as (select lang, m, phrase, count(*) as a from g group by lang, m, phrase having count(*) >= 100),
+s as (select *, string_split(phrase, ' ') as x from f),
+longer as (select lang, m, a, unnest([array_to_string(x[1:m - 1], ' '), array_to_string(x[2:m], ' ')]) as phrase from s where m > 2),
+c as (select * from s where m > 1 and not exists (
+  select 1 from longer where longer.lang = s.lang and longer.phrase = s.phrase and longer.a = s.a)),
+cut as (select c.*, k, array_to_string(x[1:k], ' ') as lp, array_to_string(x[k + 1:m], ' ') as rp from c, unnest(range(1, 5)) as u(k) where k < m),
+sc as (select cut.*, l.a as l, r.a as r, n.n, (1000::hugeint * cut.a * n.n) // (l.a::hugeint * r.a) as score
+  from cut join f l on l.lang = cut.lang and l.phrase = lp join f r on r.lang = cut.lang and r.phrase = rp join n on n.lang = cut.lang),
+worst as (select * from sc qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from worst),
+step as (select e.lang, e.phrase, x.phrase as next, x.x[5] as word
+  from s e join s v on v.lang = e.lang and v.m = 4 and v.a = e.a and v.phrase = array_to_string(e.x[2:5], ' ')
+  join s x on x.lang = e.lang and x.m = 5 and x.a = e.a and array_to_string(x.x[1:4], ' ') = v.phrase where e.m = 5),
+path as (
+  select lang, phrase as head, phrase as last, phrase as path, 1 as size from s where m = 5 and not exists (select 1 from step where step.lang = s.lang and next = s.phrase)
+  union all select path.lang, head, next, path || ' ' || word, size + 1 from path join step on step.lang = path.lang and step.phrase = path.last),
+whole as (select * from path qualify row_number() over (partition by lang, head order by size desc) = 1)
+select ranked.lang, rank, phrase, a, l, r, n, cast(score as bigint) as score, whole.path
+from ranked left join whole on whole.lang = ranked.lang and whole.head = ranked.phrase where rank <= 2000""")
+def op11(spark, folder):
+    return collocations.Collocations(table(spark, folder, "documents")).best()
+
+
 @query("op13_periodic_runs")
 def op13(spark, folder):
     found = runs.runs(table(spark, folder, "documents"), planted=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, collocations, huffman, linequality, neighbours, packing, runs, secrets, simhash, toxicity, warc, weakquality
+from tidewatch.llm import bpe, collocations, huffman, linequality, neighbours, packing, runs, secrets, simhash, suffixes, toxicity, warc, weakquality
 from tidewatch.llm.common import table
 from tidewatch.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -114,6 +114,12 @@ def op11(spark, folder):
     return collocations.Collocations(table(spark, folder, "documents")).best()
 
 
+@query("op12_suffix_array_dedup")
+def op12(spark, folder):
+    kept = suffixes.without_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op13_periodic_runs")
 def op13(spark, folder):
     found = runs.runs(table(spark, folder, "documents"), planted=True)

@@ -207,6 +207,37 @@ def test_edited_copies_are_no_boilerplate(spark):
     assert sum(r["base_failed"] for r in found) == 0
 
 
+def test_lines_that_share_a_short_window_are_no_edits(spark):
+    menu = [sentence(700 + k, 14) for k in range(5)]
+
+    def own(i):  # the end of a common line in the middle of words of its own
+        words = [f"w{i}x{k}" for k in range(13)]
+        words[5:8] = menu[i % 5].split()[-3:]
+        return " ".join(words)
+
+    rows = [(i, "\n".join([*menu, own(i)]), "host") for i in range(40)]
+    found = linequality.judged(documents(spark, rows)).collect()
+    assert all(r["removed_words"] == 5 * 14 for r in found)
+
+
+def test_null_and_empty_host_are_two(spark):
+    line = "Subscribe to our letter and read more of it every day"
+    rows = [(i, f"{sentence(1000 + i, 40)}\n{line}", None if i < 15 else "") for i in range(30)]
+    assert all(r["removed_words"] == 0 for r in linequality.judged(documents(spark, rows)).collect())
+    rows += [(100 + i, f"{sentence(2000 + i, 40)}\n{line}", None) for i in range(6)]
+    found = linequality.judged(documents(spark, rows)).collect()
+    assert {r["doc_id"] for r in found if r["removed_words"]} == {*range(15), *range(100, 106)}
+
+
+def test_rows_equal_in_id_and_text_are_judged_by_host(spark):
+    line = "Subscribe to our letter and read more of it every day"
+    rows = [(i, f"{sentence(1000 + i, 40)}\n{line}", "host") for i in range(30)] + [(3, f"{sentence(1003, 40)}\n{line}", "other")]
+    found = linequality.judged(documents(spark, rows)).where("doc_id = 3").collect()
+    assert sorted(r["removed_words"] for r in found) == [0, 11]
+    left = linequality.cleaned(documents(spark, rows)).where("doc_id = 3").collect()
+    assert {r["source"]: r["text"] for r in left} == {"host": sentence(1003, 40), "other": rows[-1][1]}
+
+
 # ---- byte-level BPE
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.llm import bitmap
-from tidewatch.llm.common import SLICE_ROWS, Shared, as_batch, mixed, release, take, to_arrow_schema, _schema
+from tidewatch.llm.common import SLICE_ROWS, Shared, as_batch, in_parts, mixed, release, take, to_arrow_schema, _schema
 from tidewatch.llm.wordtable import hashes, split
 from tidewatch.session import materialise
 
@@ -48,7 +48,9 @@ PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 #: Bytes of text worked on at a time; a longer text is cut between pieces.
 BLOCK = 2 << 20
 #: Pairs and edges that a task adds up before it hands them on.
-BUFFER = 4_000_000
+BUFFER = 2_000_000
+#: Rows of a batch that a task hands on.
+ROWS = 1 << 15
 GRAM = [f"w{k}" for k in range(1, ORDER + 1)]
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,10 +127,10 @@ def frequent_pairs(texts: DataFrame, least: int) -> Shared:
             held.append(pairs[follows])
             size += len(held[-1])
             if size >= BUFFER:
-                yield added()
+                yield from in_parts(added())
                 held, size = [], 0
         if size:
-            yield added()
+            yield from in_parts(added())
 
     counts = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     return bitmap.shared(F.col("pair"), counts.where(F.col("n") >= least))
@@ -155,8 +157,13 @@ def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
     arrow = to_arrow_schema(_schema(EDGES))
 
     def rows(size, columns, n=None, lang=None, word=None):
+        """In parts, as a reader holds all columns of a batch."""
+        return (made_rows(low, min(size, low + ROWS), columns, n, lang, word) for low in range(0, size, ROWS))
+
+    def made_rows(low, high, columns, n, lang, word):
+        columns, (n, lang, word) = [c[low:high] for c in columns], (x if x is None else x[low:high] for x in (n, lang, word))
         made = dict(zip(GRAM, columns)) | {"n": n, "lang": lang, "word": word}
-        return as_batch({f.name: [None] * size if made.get(f.name) is None else made[f.name] for f in arrow}, arrow)
+        return as_batch({f.name: [None] * (high - low) if made.get(f.name) is None else made[f.name] for f in arrow}, arrow)
 
     def run(batches):
         release()
@@ -170,10 +177,10 @@ def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
             single = np.concatenate([h[0] for h in held])
             alone, n = np.unique(single, return_counts=True)
             zeros = np.zeros(len(alone), np.int64)
-            yield rows(len(alone), [alone.view(np.int64), *[zeros] * (ORDER - 1)], n)
+            yield from rows(len(alone), [alone.view(np.int64), *[zeros] * (ORDER - 1)], n)
             grams, n = added_edges([np.concatenate([h[1][k] for h in held]) for k in range(ORDER)])
-            yield rows(len(n), [g.view(np.int64) for g in grams], n)
-            yield rows(len(words), [np.array(list(words), np.uint64).view(np.int64)], lang=[a for a, _ in words.values()], word=[b for _, b in words.values()])
+            yield from rows(len(n), [g.view(np.int64) for g in grams], n)
+            yield from rows(len(words), [np.array(list(words), np.uint64).view(np.int64)], lang=[a for a, _ in words.values()], word=[b for _, b in words.values()])
 
         for block, names in blocks(batches):
             for number, n in enumerate(np.bincount(block.languages, minlength=0).tolist()):
@@ -200,7 +207,7 @@ def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
                 words.clear()
         if held:
             yield from added()
-        yield rows(len(sizes), [], list(sizes.values()), list(sizes))
+        yield from rows(len(sizes), [], list(sizes.values()), list(sizes))
 
     return texts.mapInArrow(run, EDGES)
 
@@ -210,11 +217,12 @@ def counted(graph: DataFrame, least: int) -> DataFrame:
 
     The count of a run is the sum of the edges that leave it, those into the end of a piece among them.
     """
-    level = graph.where("w1 is not null and word is null").groupBy(*GRAM).agg(F.sum("n").alias("n"))
-    found = None
+    runs = graph.where("w1 is not null and word is null")
+    level, found = runs.where("w2 != 0"), None
     for size in range(ORDER, 0, -1):
-        if size < ORDER:
-            level = level.groupBy(*GRAM[:size]).agg(F.sum("n").alias("n"))
+        if size == 1:  # words that no frequent pair holds here are whole already
+            level = level.unionByName(runs.where("w2 = 0"), allowMissingColumns=True)
+        level = level.groupBy(*GRAM[:size]).agg(F.sum("n").alias("n"))
         held = level.where((F.col(GRAM[size - 1]) != 0) & (F.col("n") >= least)).select(F.array(*GRAM[:size]).alias("words"), F.col("n").alias("f"))
         found = held if found is None else found.unionByName(held)
     return found

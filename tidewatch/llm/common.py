@@ -86,6 +86,12 @@ def as_batch(made: dict, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
 
+def in_parts(batch: pa.RecordBatch, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """A large batch cut up, so that the reader holds little of it at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _schema(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 

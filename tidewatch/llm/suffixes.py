@@ -34,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import bitmap
-from tidewatch.llm.common import KEY, SLICE_ROWS, Shared, _schema, as_batch, keyed, release, take, to_arrow_schema
+from tidewatch.llm.common import KEY, SLICE_ROWS, Shared, _schema, as_batch, in_parts, keyed, release, take, to_arrow_schema
 from tidewatch.session import materialise
 
 LENGTH = 50
@@ -44,7 +44,7 @@ BLOCK = 1 << 18
 #: Strings of a stretch, at most.
 STRETCH = 256
 #: Keys that a task adds up, and stretches that it compares, before it hands them on.
-KEYS, STRETCHES = 3_000_000, 250_000
+KEYS, STRETCHES = 2_000_000, 200_000
 #: Strings of a batch, about; strings read from a level at a time.
 BATCH, SCAN = 1 << 18, 1 << 16
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -134,10 +134,10 @@ def shared_keys(rows: DataFrame) -> Shared:
                     held.append(keys[once])
                     size += len(held[-1])
                 if size >= KEYS:
-                    yield added()
+                    yield from in_parts(added())
                     held, size = [], 0
         if size:
-            yield added()
+            yield from in_parts(added())
 
     counts = rows.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     return bitmap.shared(F.col("key"), counts.where("n > 1"))

@@ -35,6 +35,14 @@ def slice_count(df: DataFrame) -> int:
     return max(least, math.ceil(size / BYTES_PER_SLICE)) if size < UNKNOWN_BYTES else least
 
 
+FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def joined(kind: str, a: Column, b: Column) -> Column:
+    """Two folds in one; either may be null."""
+    return F.coalesce(a + b, a, b) if kind == "sum" else (F.least if kind == "min" else F.greatest)(a, b)
+
+
 class Slices:
     """One sorted, range-cut copy of a table; ``order`` must end in a tie-break."""
 
@@ -69,22 +77,28 @@ class Slices:
         return same_keys_join(df, F.broadcast(carry.select(SLICE, *self.keys, *names)),
                               [SLICE, *self.keys], "left")
 
-    def running(self, df: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
-        """Running sums up to and including each row, exact over all ranges."""
-        inputs = {f"_in_{name}": value for name, value in sums.items()}
+    def folded(self, df: DataFrame, folds: Mapping[str, tuple[Column, str]], back: bool = False) -> DataFrame:
+        """Running sum, min or max (``{name: (value, kind)}``) from the key's first row to each row, or from its last row ``back``
+        to it; exact over all ranges, null before the first value."""
+        inputs = {f"_in_{name}": value for name, (value, _) in folds.items()}
         df = df.withColumns(inputs)
-        frame = self.window.rowsBetween(Window.unboundedPreceding, 0)
-        out = {name: F.coalesce(F.sum(f"_in_{name}").over(frame), F.lit(0)) for name in sums}
+        order = [F.desc(c) for c in self.order] if back else self.order
+        frame = Window.partitionBy(SLICE, *self.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = {name: FOLDS[kind](f"_in_{name}").over(frame) for name, (_, kind) in folds.items()}
         if not self.cut:
             return df.withColumns(out).drop(*inputs)
         totals = self._crossing(df).groupBy(SLICE, *self.keys).agg(
-            *[F.sum(f"_in_{name}").alias(f"_in_{name}") for name in sums])
-        before = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.withColumns({f"_off_{n}": F.sum(f"_in_{n}").over(before) for n in sums})
-        offsets = [f"_off_{n}" for n in sums]
+            *[FOLDS[kind](f"_in_{name}").alias(f"_in_{name}") for name, (_, kind) in folds.items()])
+        before = Window.partitionBy(*self.keys).orderBy(F.desc(SLICE) if back else SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.withColumns({f"_off_{n}": FOLDS[kind](f"_in_{n}").over(before) for n, (_, kind) in folds.items()})
+        offsets = [f"_off_{n}" for n in folds]
         df = self._with_carry(df, carry, offsets)
-        out = {n: out[n] + F.coalesce(F.col(f"_off_{n}"), F.lit(0)) for n in sums}
-        return df.withColumns(out).drop(*inputs, *offsets)
+        return df.withColumns({n: joined(kind, out[n], F.col(f"_off_{n}")) for n, (_, kind) in folds.items()}).drop(*inputs, *offsets)
+
+    def running(self, df: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
+        """Running sums up to and including each row, 0 before the first value."""
+        df = self.folded(df, {name: (value, "sum") for name, value in sums.items()})
+        return df.withColumns({name: F.coalesce(name, F.lit(0)) for name in sums})
 
     def numbered(self, df: DataFrame, name: str = "_pos") -> DataFrame:
         """Row number within the key, from 1."""
@@ -192,7 +206,8 @@ class TimeFrames:
     """Windows over a bounded time span before each row: ``(t - span, t]`` or ``[t - span, t]``.
 
     Time is cut into buckets as long as the longest span and every row is also
-    copied to the bucket after its own, so a task holds at most two spans of one key.
+    copied to the bucket after its own, so a task holds at most two spans of one key: for keys
+    whose spans are known to hold few rows.  ``spans`` and ``order_spans`` have no such limit.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], ts: str, span_seconds: int):

@@ -24,7 +24,7 @@ def label(p: float) -> str:
     return "p" + text.replace(".", "_")
 
 
-def _positions(method: str, n: Column, p: float) -> tuple[Column, Column, Column]:
+def positions(method: str, n: Column, p: float) -> tuple[Column, Column, Column]:
     """0-based low and high ranks, and the share of the high one."""
     if method == "index":
         at = F.least(F.floor(n * F.lit(p)), n - 1)
@@ -58,7 +58,7 @@ def group_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: l
     total = F.col("_total")
     picks = []
     for i, p in enumerate(probs):
-        low, high, _ = _positions(method, total, p)
+        low, high, _ = positions(method, total, p)
         inside = lambda at: (at >= F.col("_upto") - F.col("_n")) & (at < F.col("_upto"))
         picks += [F.when(inside(low), F.col("_value")).alias(f"_lo{i}"),
                   F.when(inside(high), F.col("_value")).alias(f"_hi{i}")]
@@ -67,7 +67,7 @@ def group_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: l
         *[F.max(f"_{side}{i}").alias(f"_{side}{i}") for i in range(len(probs)) for side in ("lo", "hi")])
     values = []
     for i, p in enumerate(probs):
-        share = _positions(method, total, p)[2]
+        share = positions(method, total, p)[2]
         values.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share).alias(f"_q{i}"))
     per_metric = per_metric.select(*group, *values)
     return per_metric.groupBy(*keys).agg(*[

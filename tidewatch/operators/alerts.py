@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions.expressions import attach, flag, one_row, period, seconds_between
-from tidewatch.functions.ordered import SLICE, RowFrames, Slices, TimeFrames, same_keys_join
+from tidewatch.functions.order_spans import span_quantiles
+from tidewatch.functions.ordered import SLICE, RowFrames, Slices, same_keys_join
 from tidewatch.functions.quantiles import group_quantiles
-from tidewatch.functions.spans import span_count, span_mean, span_std, span_totals
+from tidewatch.functions.spans import span_count, span_folds, span_max, span_mean, span_min, span_slope, span_std, span_totals
 from tidewatch.operators.forecast import smoothing_forecast
 
 HOUR = 3600
@@ -44,11 +45,11 @@ def compare_column(left: Column, op: Column, right: Column) -> Column:
 
 def window_statistics(points: DataFrame, seconds: int = 300) -> DataFrame:
     """Per point over the last ``seconds`` of its metric (ends included): count, mean, min, max, latest."""
-    frames = TimeFrames(points, [KEY], TS, seconds)
-    w = frames.span(seconds, closed=True)
-    return frames.done(frames.df.withColumns({
-        "window_count": F.count("value").over(w), "window_mean": F.avg("value").over(w), "window_min": F.min("value").over(w),
-        "window_max": F.max("value").over(w), "window_latest": F.max_by("value", F.struct(TS, TIE)).over(w)}))
+    rows = span_totals(points, [KEY], ["value"], TS, seconds, closed=True)
+    rows = rows.withColumns({"window_count": F.coalesce(span_count("value"), F.lit(0).cast("bigint")), "window_mean": span_mean("value"),
+                             "window_min": span_min("value"), "window_max": span_max("value")}).drop("_span_value")
+    latest = {"_latest": (F.struct(TS, TIE, "value"), "max")}
+    return span_folds(rows, [KEY], latest, TS, seconds, closed=True).withColumn("window_latest", F.col("_latest.value")).drop("_latest")
 
 
 def window_anomalies(points: DataFrame, seconds: int = 300) -> DataFrame:
@@ -88,21 +89,10 @@ def adaptive_limits(points: DataFrame, static: float, k: float = 2.0, least_poin
     return rows.withColumn("adaptive_limit", limit).drop("_span_value")
 
 
-def exclusive(values: Column, p: float) -> Column:
-    """Quantile at p*(n+1) of a sorted array."""
-    n = F.size(values)
-    at = F.least(F.greatest((n + 1) * F.lit(p), F.lit(1.0)), n.cast("double"))
-    low, high = F.element_at(values, F.floor(at).cast("int")), F.element_at(values, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
-
-
 def percentile_limits(points: DataFrame, p: float = 0.95, static: float = 0.0, least_points: int = 10) -> DataFrame:
-    """Exclusive quantile of the metric's last hour: the array holds one hour of one metric."""
-    frames = TimeFrames(points, [KEY], TS, HOUR)
-    w = frames.span(HOUR, closed=True)
-    rows = frames.df.withColumn("_v", F.collect_list("value").over(w))
-    rows = frames.done(rows).withColumn("_v", F.array_sort("_v"))
-    return rows.withColumn("percentile_limit", F.when(F.size("_v") >= least_points, exclusive(F.col("_v"), p)).otherwise(F.lit(float(static)))).drop("_v")
+    """Exclusive quantile of the metric's last hour; the static limit below ``least_points`` points."""
+    rows = span_quantiles(points, [KEY], "value", TS, HOUR, [p], "exclusive", closed=True)
+    return rows.withColumn("percentile_limit", F.when(F.col("_n") >= least_points, F.col("_q")[0]).otherwise(F.lit(float(static)))).drop("_n", "_q")
 
 
 def adapt_limits(thresholds: DataFrame, points: DataFrame, k: float = 2.0, change: float = 0.1) -> DataFrame:
@@ -210,13 +200,15 @@ def usage_patterns(points: DataFrame) -> DataFrame:
     frames = RowFrames(points, [KEY], [TS, TIE], before=5)
     before, five = frames.rows(-5, -1), frames.rows(-4)
     rows = frames.done(frames.df.withColumns({"_before": F.avg("value").over(before), "_low5": F.min("value").over(five), "_n5": F.count("value").over(five)}))
-    hour = TimeFrames(rows, [KEY], TS, HOUR)
-    w = hour.span(HOUR, closed=True)
-    seconds = F.col("_us") / 1e6 - F.lit(1_700_000_000)
-    rows = hour.done(hour.df.withColumns({"_n": F.count("value").over(w), "_mean": F.avg("value").over(w), "_sd": F.stddev_pop("value").over(w),
-                                          "_slope": F.regr_slope("value", seconds).over(w)}))
+    minutes = (F.unix_micros(F.col(TS).cast("timestamp")) / 60e6)
+    rows = rows.withColumns({"_time": F.when(F.col("value").isNotNull(), minutes), "_x": F.col("value").cast("double")})
+    mid = rows.groupBy(KEY).agg(F.avg("_time").alias("_tm"), F.avg("_x").alias("_xm"))
+    rows = same_keys_join(rows, mid, [KEY], "left").withColumn("_xy", (F.col("_time") - F.col("_tm")) * (F.col("_x") - F.col("_xm"))).drop("_tm", "_xm")
+    rows = span_totals(rows, [KEY], ["_time", "_x", "_xy"], TS, HOUR, closed=True)
+    rows = rows.withColumns({"_n": span_count("_x"), "_mean": span_mean("_x"), "_sd": span_std("_x", sample=False), "_slope": span_slope("_time", "_x")}) \
+        .drop("_time", "_x", "_xy", "_span__time", "_span__x", "_span__xy")
     cv = F.when(F.col("_mean") > 0, F.col("_sd") / F.col("_mean"))
-    rise = F.when(F.col("_mean") > 0, F.col("_slope") * 60 / F.col("_mean"))
+    rise = F.when(F.col("_mean") > 0, F.col("_slope") / F.col("_mean"))
     return rows.withColumns({
         "is_spike": flag((F.col("_n") >= 10) & (F.col("value") > 2 * F.col("_before"))), "is_gradual_increase": flag((F.col("_n") >= 2) & (F.col("_slope") > 0) & (rise > 0.1)),
         "is_oscillating": flag((F.col("_n") >= 15) & (cv > 0.5)), "is_exhausted": flag((F.col("_n5") == 5) & (F.col("_low5") > 90))}) \
@@ -237,11 +229,8 @@ def sla_breaches(points: DataFrame, targets: DataFrame, tolerance: float = 0.1)
 
 def index_percentiles(points: DataFrame) -> DataFrame:
     """p95 and p99 of the last hour by index int(p*n), with more than 10 values."""
-    frames = TimeFrames(points, [KEY], TS, HOUR)
-    rows = frames.df.withColumn("_v", F.collect_list("value").over(frames.span(HOUR, closed=True)))
-    rows = frames.done(rows).withColumn("_v", F.array_sort("_v"))
-    at = lambda p: F.when(F.size("_v") > 10, F.element_at("_v", (F.least(F.floor(F.size("_v") * F.lit(p)), F.size("_v") - 1) + 1).cast("int")))
-    return rows.withColumns({"p95": at(0.95), "p99": at(0.99)}).drop("_v")
+    rows = span_quantiles(points, [KEY], "value", TS, HOUR, [0.95, 0.99], "index", closed=True)
+    return rows.withColumns({name: F.when(F.col("_n") > 10, F.col("_q")[i]) for i, name in enumerate(("p95", "p99"))}).drop("_n", "_q")
 
 
 def degradation(points: DataFrame) -> DataFrame:

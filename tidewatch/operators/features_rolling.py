@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions.expressions import correlation, flag, ratio
-from tidewatch.functions.ordered import RowFrames, Slices, TimeFrames, same_keys_join
+from tidewatch.functions.order_spans import span_quantiles
+from tidewatch.functions.ordered import RowFrames, Slices, same_keys_join
 from tidewatch.functions.quantiles import label
-from tidewatch.functions.spans import span_count, span_mean, span_std, span_sum, span_totals
+from tidewatch.functions.spans import span_count, span_kurtosis, span_max, span_mean, span_min, span_skew, span_std, span_sum, span_totals
 
 DAY = 86_400
 TS, TIE = "START_TIME", "QUERY_ID"
@@ -31,25 +32,19 @@ def rolling_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], sec
 
 def rolling_shape(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seconds: int, suffix: str, ts: str = TS) -> DataFrame:
     """Minimum, maximum, median, bias-corrected skew and kurtosis over ``(t - seconds, t]``."""
-    frames = TimeFrames(df, list(keys), ts, seconds)
-    w = frames.span(seconds)
-    new = {}
+    rows = span_totals(df, keys, columns, ts, seconds, powers=4)
     for c in columns:
-        n = F.count(c).over(w)
-        flat = F.stddev_pop(c).over(w) <= 0
-        g, k = F.skewness(c).over(w), F.kurtosis(c).over(w)
-        new |= {f"{c}_rolling_{suffix}_min": F.min(c).over(w), f"{c}_rolling_{suffix}_max": F.max(c).over(w),
-                f"{c}_rolling_{suffix}_median": F.expr(f"percentile(`{c}`, 0.5D)").over(w),
-                f"{c}_rolling_{suffix}_skew": F.when(n >= 3, F.when(flat, 0.0).otherwise(g * F.sqrt(n * (n - 1)) / (n - 2))),
-                f"{c}_rolling_{suffix}_kurt": F.when(n >= 4, F.when(flat, 0.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6)))}
-    return frames.done(frames.df.withColumns(new))
+        rows = rows.withColumns({f"{c}_rolling_{suffix}_min": span_min(c), f"{c}_rolling_{suffix}_max": span_max(c),
+                                 f"{c}_rolling_{suffix}_skew": span_skew(c), f"{c}_rolling_{suffix}_kurt": span_kurtosis(c)}).drop(f"_span_{c}")
+        rows = span_quantiles(rows, keys, c, ts, seconds, [0.5]).withColumn(f"{c}_rolling_{suffix}_median", F.col("_q")[0]).drop("_n", "_q")
+    return rows
 
 
 def rolling_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], days: int, probs: Sequence[float] = (0.25, 0.75, 0.9, 0.95), ts: str = TS) -> DataFrame:
-    frames = TimeFrames(df, list(keys), ts, days * DAY)
-    w = frames.span(days * DAY)
-    new = {f"{c}_rolling_{days}d_{label(p)}": F.expr(f"percentile(`{c}`, {p}D)").over(w) for c in columns for p in probs}
-    return frames.done(frames.df.withColumns(new))
+    for c in columns:
+        rows = span_quantiles(df, keys, c, ts, days * DAY, probs)
+        df = rows.withColumns({f"{c}_rolling_{days}d_{label(p)}": F.col("_q")[i] for i, p in enumerate(probs)}).drop("_n", "_q")
+    return df
 
 
 def full(value: Column, w, rows: int) -> Column:

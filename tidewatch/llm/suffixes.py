@@ -3,8 +3,10 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a
 smaller id. Strings are compared where they can be equal only: each has a key, the smallest
 hash of its ``SAMPLE``-byte parts, and neighbouring strings with one key are one stretch of
-text. A first pass counts the documents of each key; stretches whose key a second document
-has are then dealt by key, so unique text is never shuffled. A stretch that
+text. A first pass counts the documents of each key. Stretches whose key a second document
+has are dealt by key, as hashes: those that stand in a smaller document as a whole go. What is
+left, each distinct stretch once, is dealt with its text if another stretch has its key. So
+unique text is never shuffled, and a copied one as hashes only. A stretch that
 the same task has met in a smaller document is removed there and then, so a passage repeated
 everywhere is sent once a task.
 
@@ -15,8 +17,9 @@ levels; what stands there has started in a smaller document. Its new strings the
 and levels of equal size are merged, so there are few, and each string is moved a logarithmic
 number of times. A level holds texts and positions, not the strings themselves.
 
-Which keys two documents have goes to the tasks as a bitmap of fixed size; what it lets through by
-chance is sent for nothing. Rows are known by 96 hashed bits of id and text.
+Which keys two documents have, and which stretches need their texts, goes to the tasks as bitmaps of
+fixed size; what they let through by chance is sent for nothing. Rows are known by their id and 32
+hashed bits of the text; stretches are equal if key and hash are, 128 bits.
 
 Defined cases: null and empty texts have no bytes; of documents with one id neither is smaller; a
 null doc_id is smaller than none and greater than none, so such a row stays whole; repeated rows
@@ -30,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.llm import bitmap
-from tidewatch.llm.common import KEY, SLICE_ROWS, Shared, _schema, as_batch, in_parts, keyed, release, take, to_arrow_schema
+from tidewatch.llm.common import SLICE_ROWS, Shared, _schema, as_batch, in_parts, mixed, release, signed, take, to_arrow_schema
 from tidewatch.session import materialise
 
 LENGTH = 50
@@ -88,7 +92,7 @@ def stretches(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     within = np.arange(len(least)) - np.repeat(begin, np.diff(np.append(begin, len(least))))
     begin = np.flatnonzero(within % STRETCH == 0)
     owner = np.searchsorted(ends, place[begin], side="right")
-    return least[begin], owner, place[begin] - (ends - sizes)[owner], np.diff(np.append(begin, len(least)))
+    return mixed(least[begin]), owner, place[begin] - (ends - sizes)[owner], np.diff(np.append(begin, len(least)))
 
 
 def cut(text: str | None) -> list[tuple[int, bytes]]:
@@ -143,60 +147,102 @@ def shared_keys(rows: DataFrame) -> Shared:
     return bitmap.shared(F.col("key"), counts.where("n > 1"))
 
 
-DEALT = "key bigint, doc_id bigint, _k bigint, _k2 int, at array<int>, part binary"
+#: Identifies a row.
+ROW = ["doc_id", "_k2"]
 
 
-def dealt(rows: DataFrame, shared: Shared) -> DataFrame:
-    """Stretches to be compared: key, row, their places in it, text. Without text: spans (from, to, ...) that are known to go."""
-    arrow = to_arrow_schema(_schema(DEALT))
+def shared_stretches(part: pa.RecordBatch, texts: list[str | None], keys: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """Key, row, place and bytes of the stretches of some rows that ``keys``, a bitmap, holds."""
+    for owners, offsets, parts in blocks(texts):
+        key, at, begin, size = stretches(parts)
+        kept = bitmap.holds(keys, key)
+        ends = (begin + size + LENGTH - 1)[kept].tolist()
+        for k, n, a, b in zip(key[kept].view(np.int64).tolist(), at[kept].tolist(), begin[kept].tolist(), ends):
+            yield k, owners[n], offsets[n] + a, parts[n][a:b]
+
+
+def string_hash(text: bytes) -> int:
+    return signed(xxhash.xxh3_64_intdigest(text))
+
+
+NAMED = "key bigint, hash bigint, doc_id bigint, _k2 int, at int, size int, known boolean"
+
+
+def named(rows: DataFrame, shared: Shared) -> DataFrame:
+    """Key, hash, row, place and size of stretches that may stand elsewhere; some are known to go."""
+    arrow = to_arrow_schema(_schema(NAMED))
 
     def run(batches):
         release()
-        met: dict[bytes, list] = {}   # stretch to key and (row, place, ...) of the rows that hold it
+        met: dict[bytes, list] = {}   # stretch to key and (row, place) of the rows that hold it
         names: list[tuple] = []
         known: set[tuple] = set()
         count = 0
 
         def ready():
-            sent, gone = [], {}
+            out = []
             for text, (key, *places) in met.items():
-                least = min(names[row][0] for row, _ in places)
-                own: dict[int, list] = {}
+                least, hashed = min(names[row][0] for row, _ in places), string_hash(text)
                 for row, at in places:
-                    if names[row][0] > least:
-                        gone.setdefault(row, []).append((at, at + len(text)))
-                    else:
-                        own.setdefault(row, []).append(at)
-                sent += [(key, *names[row], at, text) for row, at in own.items()]
-            for row, spans in gone.items():
-                doc_id, k, k2 = names[row]
-                sent.append((k, doc_id, k, k2, [x for s in merged(spans) for x in s], None))
-            for low in range(0, len(sent), 20_000):
-                yield as_batch(dict(zip(arrow.names, zip(*sent[low:low + 20_000]))), arrow)
+                    doc_id, k2 = names[row]
+                    out.append((key, hashed, doc_id, k2, at, len(text), doc_id > least))
+            for low in range(0, len(out), 1 << 15):
+                yield as_batch(dict(zip(arrow.names, zip(*out[low:low + (1 << 15)]))), arrow)
 
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(low, SLICE_ROWS)
-                own = list(zip(*(part.column(k).to_pylist() for k in range(3))))
+                own = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
                 texts, first = [], len(names)
-                for name, text in zip(own, part.column(3).to_pylist()):
+                for name, text in zip(own, part.column(3).to_pylist()):  # a repeated row is looked at once
                     texts.append(None if name in known else text)
                     known.add(name)
                 names += own
-                for owners, offsets, parts in blocks(texts):
-                    keys, at, begin, size = stretches(parts)
-                    kept = bitmap.holds(shared.value, keys)
-                    for key, n, a, b in zip(keys[kept].view(np.int64).tolist(), at[kept].tolist(), begin[kept].tolist(), (begin + size + LENGTH - 1)[kept].tolist()):
-                        places = met.setdefault(parts[n][a:b], [key])
-                        places.append((first + owners[n], offsets[n] + a))
-                        count += 1
+                for key, row, at, text in shared_stretches(part, texts, shared.value):
+                    met.setdefault(text, [key]).append((first + row, at))
+                    count += 1
                 if count >= STRETCHES:
                     yield from ready()
                     met.clear()
                     names, known, count = [], set(), 0
         yield from ready()
 
-    return rows.select("doc_id", *KEY, "text").mapInArrow(run, DEALT)
+    return rows.select(*ROW, "mark", "text").mapInArrow(run, NAMED)
+
+
+def compared(found: DataFrame) -> DataFrame:
+    """Rows of ``named`` that go (``gone``), or whose stretch has to be compared with others of its key."""
+    # Those known to go are spread by themselves, so that no key gets all copies of a passage.
+    spread = found.withColumn("group", F.when(F.col("known"), F.xxhash64(*ROW, "at")).otherwise(F.col("key"))).repartition("group")
+    same, near = Window.partitionBy("group", "hash"), Window.partitionBy("group")
+    gone = F.col("known") | (F.col("doc_id") > F.min("doc_id").over(same))
+    several = F.min("hash").over(near) != F.max("hash").over(near)
+    return spread.select(*ROW, "hash", "at", "size", gone.alias("gone"), several.alias("several")).where("gone or several").drop("several")
+
+
+DEALT = "key bigint, doc_id bigint, _k2 int, at int, part binary"
+
+
+def dealt(rows: DataFrame, shared: Shared, wanted: Shared) -> DataFrame:
+    """Key, row, place and text of the stretches that are compared: those whose hash and row ``wanted`` holds."""
+    arrow = to_arrow_schema(_schema(DEALT))
+
+    def run(batches):
+        release()
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(low, SLICE_ROWS)
+                found = list(shared_stretches(part, part.column(3).to_pylist(), shared.value))
+                if not found:
+                    continue
+                row = np.array([f[1] for f in found])
+                marks = np.array([string_hash(f[3]) for f in found], np.int64) ^ part.column(2).to_numpy()[row]
+                held = np.flatnonzero(bitmap.holds(wanted.value, marks)).tolist()
+                ids, k2 = part.column(0).to_pylist(), part.column(1).to_pylist()
+                yield as_batch({"key": [found[n][0] for n in held], "doc_id": [ids[found[n][1]] for n in held], "_k2": [k2[found[n][1]] for n in held],
+                                "at": [found[n][2] for n in held], "part": [found[n][3] for n in held]}, arrow)
+
+    return rows.select(*ROW, "mark", "text").mapInArrow(run, DEALT)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -297,42 +343,47 @@ class Family:
         self.levels.append(level)
 
 
-def repeated(rows: DataFrame, shared: Shared) -> DataFrame:
-    """Row and spans (from, to, ...) in bytes of what goes; a row may have several."""
-    ordered = dealt(rows, shared).repartition("key").sortWithinPartitions("doc_id")
-    schema = "_k bigint, _k2 int, at array<int>"
-    arrow = to_arrow_schema(_schema(schema))
+SPANS = "doc_id bigint, _k2 int, at array<int>"
+
+
+def repeated(parts: DataFrame) -> DataFrame:
+    """Row and spans (from, to, ...) in bytes of the strings of ``dealt`` that start in a smaller document; a row may have several."""
+    ordered = parts.repartition("key").sortWithinPartitions("doc_id")
+    arrow = to_arrow_schema(_schema(SPANS))
 
     def run(batches):
         release()
         family = Family()
-        waiting: list[tuple] = []  # document, row, places, text
+        waiting: list[tuple] = []  # row, place, text
         size = 0
 
         def ready():
-            parts = [w[4] for w in waiting]
             out: dict[tuple, list] = {}
-            for n, a, b in zip(*(x.tolist() for x in family.add(parts, np.array([w[0] for w in waiting], np.int64)))):
-                out.setdefault(waiting[n][1:3], []).extend((at + a, at + b) for at in waiting[n][3])
-            return as_batch({"_k": [k for k, _ in out], "_k2": [k for _, k in out], "at": [[x for s in merged(v) for x in s] for v in out.values()]}, arrow)
+            for n, a, b in zip(*(x.tolist() for x in family.add([w[3] for w in waiting], np.array([w[0] for w in waiting], np.int64)))):
+                doc_id, k2, at, _ = waiting[n]
+                out.setdefault((doc_id, k2), []).append((at + a, at + b))
+            return as_batch({"doc_id": [i for i, _ in out], "_k2": [k for _, k in out], "at": [[x for s in merged(v) for x in s] for v in out.values()]}, arrow)
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(1, 6)]
-            known = [n for n, text in enumerate(columns[4]) if text is None]
-            if known:
-                yield as_batch({c: [columns[k][n] for n in known] for c, k in (("_k", 1), ("_k2", 2), ("at", 3))}, arrow)
-            for row in zip(*columns):
-                if row[4] is None:
-                    continue
+            for row in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
                 if size >= BATCH and row[0] != waiting[-1][0]:
                     yield ready()
                     waiting, size = [], 0
                 waiting.append(row)
-                size += len(row[4]) - LENGTH + 1
+                size += len(row[3]) - LENGTH + 1
         if waiting:
             yield ready()
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, SPANS)
+
+
+def spans_to_go(rows: DataFrame) -> DataFrame:
+    """As ``SPANS``, for rows with an id."""
+    keys = shared_keys(rows)
+    judged = materialise(compared(named(rows, keys)))
+    wanted = bitmap.shared(F.col("hash").bitwiseXOR(F.xxhash64(*ROW)), judged.where("not gone"))
+    whole = judged.where("gone").select(*ROW, F.array("at", F.col("at") + F.col("size")).alias("at"))
+    return whole.unionByName(materialise(repeated(dealt(rows, keys, wanted))))
 
 
 KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -340,11 +391,11 @@ KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept bi
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Every row as in ``KEPT``: what stays of its text, and how many bytes in how many stretches go."""
-    rows = keyed(take(docs, doc_id="bigint", text="string")).select("doc_id", *KEY, "text")
-    named = rows.where("doc_id is not null")
-    spans = materialise(repeated(named, shared_keys(named)))
-    cuts = spans.groupBy(*KEY).agg(F.flatten(F.collect_list("at")).alias("at"))  # of one text, so no more than it has bytes
-    hit = bitmap.shared(F.xxhash64(*KEY), spans.select(*KEY))
+    rows = take(docs, doc_id="bigint", text="string").select("doc_id", F.hash("text", "doc_id").alias("_k2"), "text")
+    rows = rows.select(*ROW, F.xxhash64(*ROW).alias("mark"), "text")
+    spans = spans_to_go(rows.where("doc_id is not null"))
+    cuts = spans.groupBy(*ROW).agg(F.flatten(F.collect_list("at")).alias("at"))  # of one text, so no more than it has bytes
+    hit = bitmap.shared(F.xxhash64(*ROW), spans.select(*ROW))
     arrow = to_arrow_schema(_schema(KEPT))
 
     def cleaned(doc_id, text, at):
@@ -367,11 +418,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         def some(batches):
             release()
             for batch in batches:
-                yield batch.filter(pa.array(bitmap.holds(hit.value, batch.column(4).to_numpy()) == held))
+                yield batch.filter(pa.array(bitmap.holds(hit.value, batch.column(2).to_numpy()) == held))
 
-        marked = rows.withColumn("h", F.xxhash64(*KEY))
-        return marked.mapInArrow(some, marked.schema)
+        return rows.mapInArrow(some, rows.schema)
 
     # Only texts that lose something are shuffled.
     whole = chosen(False).select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"))
-    return whole.unionByName(chosen(True).join(cuts, KEY, "left").select("doc_id", "text", "at")).mapInArrow(run, KEPT)
+    return whole.unionByName(chosen(True).join(cuts, ROW, "left").select("doc_id", "text", "at")).mapInArrow(run, KEPT)

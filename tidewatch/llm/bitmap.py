@@ -25,13 +25,13 @@ def gathered(hashes: Column, rows: DataFrame) -> DataFrame:
             .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << LOG_ROW) - 1)).alias("bits")))
 
 
-def shared(hashes: Column, rows: DataFrame) -> Shared:
-    """The bitmap of the values, broadcast; a bounded number of bytes passes through the driver."""
+def shared(hashes: Column, rows: DataFrame, onto: Shared | None = None) -> Shared:
+    """The bitmap of the values, and of those of ``onto``, broadcast; a bounded number of bytes passes through the driver."""
     got = gathered(hashes, rows).toArrow()
-    whole = np.zeros((1 << LOG_BITS) // 8, np.uint8)
+    whole = np.zeros((1 << LOG_BITS) // 8, np.uint8) if onto is None else onto.value.copy()
     size = (1 << LOG_ROW) // 8
     for row, bits in zip(got.column("row").to_pylist(), got.column("bits")):
-        whole[row * size:(row + 1) * size] = np.frombuffer(bits.as_buffer(), np.uint8)
+        whole[row * size:(row + 1) * size] |= np.frombuffer(bits.as_buffer(), np.uint8)
     return Shared(rows.sparkSession.sparkContext.broadcast(whole))
 
 

@@ -7,11 +7,12 @@ edges into the end are the corrections that make a node's count the sum of its o
 edges. So the counts of all shorter runs follow from the edges level by level, and each
 position of the corpus is one edge.
 
-Words that stand side by side less than ``least`` times are in no phrase together, so the
-text is also cut between them: counts of such pairs, over the whole corpus, come first, and
-those that reach ``least`` go to the tasks as a bitmap of fixed size. What it lets through by
-chance only adds edges that are counted and dropped. Edges are added up in the task before
-they are shuffled, so a passage repeated everywhere is one row a task.
+A run that occurs ``least`` times is made of runs that do. So words, then pairs of frequent words,
+then triples of frequent pairs are counted over the whole corpus, and an edge ends where the next
+triple is not frequent: its words beyond are in no phrase with the first. The frequent ones go to the
+tasks as a bitmap of fixed size; what it lets through by chance only adds edges that are counted
+and dropped. Runs and edges are added up in the task before they are shuffled, so a passage
+repeated everywhere is one row a task.
 
 A run of words is absorbed by a longer one that holds it as often as it occurs: on that side its
 node has one edge with all its flow. Edges that follow each other through such nodes are
@@ -71,10 +72,21 @@ class Block:
         keys, _ = hashes(self.data, self.starts, self.sizes, np.zeros(len(self.starts), np.int64))
         self.keys = np.maximum(mixed(keys ^ languages[self.languages]), np.uint64(1))  # 0 is the end of a piece
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a word is followed by another of its piece, and the hashes of all neighbours."""
+        self.follows = self.pieces[1:] == self.pieces[:-1]  # whether a word has another of its piece behind it
+
+    def runs(self, size: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of ``size`` words from each word on, and where there is one whose parts are all in ``frequent``."""
+        if size == 1:
+            return self.keys, np.ones(len(self.keys), bool)
+        shorter, held = self.frequent(size - 1, frequent)
         with np.errstate(over="ignore"):
-            return self.pieces[1:] == self.pieces[:-1], mixed(self.keys[:-1] * FACTOR + self.keys[1:])
+            longer = mixed(shorter[:-1] * FACTOR + self.keys[size - 1:]) if len(shorter) else shorter
+        return longer, held[:-1] & held[1:] & (self.follows if size == 2 else True)
+
+    def frequent(self, size: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the runs that are in ``frequent`` themselves."""
+        values, held = self.runs(size, frequent)
+        return values, held & bitmap.holds(frequent, values)
 
     def word(self, at: int) -> str:
         return self.data[self.starts[at]:self.starts[at] + self.sizes[at]].decode()
@@ -112,28 +124,40 @@ def languages(docs: DataFrame) -> DataFrame:
     return take(docs, text="string", lang="string").withColumn("lang", F.coalesce("lang", F.lit(NO_LANGUAGE)))
 
 
-def frequent_pairs(texts: DataFrame, least: int) -> Shared:
-    """A bitmap of the neighbours that occur ``least`` times or more."""
+#: Longest runs that are counted before the edges.
+COUNTED = 3
+
+
+def frequent_runs(texts: DataFrame, least: int) -> Shared:
+    """A bitmap of the runs of up to ``COUNTED`` words that occur ``least`` times or more."""
+    known = None
+    for size in range(1, COUNTED + 1):
+        counts = run_counts(texts, size, known)
+        known = bitmap.shared(F.col("run"), counts.where(F.col("n") >= least), known)
+    return known
+
+
+def run_counts(texts: DataFrame, size: int, known: Shared | None) -> DataFrame:
+    """(run, n) of the runs of ``size`` words whose parts may all be frequent."""
     def run(batches):
         release()
-        held, size = [], 0
+        held, count = [], 0
 
         def added():
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], names=["pair", "n"])
+            runs, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(n)], names=["run", "n"])
 
         for block, _ in blocks(batches):
-            follows, pairs = block.pairs()
-            held.append(pairs[follows])
-            size += len(held[-1])
-            if size >= BUFFER:
+            values, there = block.runs(size, known.value if known else None)
+            held.append(values[there])
+            count += len(held[-1])
+            if count >= BUFFER:
                 yield from in_parts(added())
-                held, size = [], 0
-        if size:
+                held, count = [], 0
+        if count:
             yield from in_parts(added())
 
-    counts = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    return bitmap.shared(F.col("pair"), counts.where(F.col("n") >= least))
+    return texts.mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 EDGES = ", ".join(f"{w} bigint" for w in GRAM) + ", n bigint, lang string, word string"
@@ -152,7 +176,7 @@ def added_edges(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray
     return list(rows.T), n
 
 
-def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
+def edges(texts: DataFrame, known: Shared) -> DataFrame:
     """Rows of three kinds: an edge (words, blanks as 0) and its count; a word (key, language, spelling); a language and its number of words."""
     arrow = to_arrow_schema(_schema(EDGES))
 
@@ -173,34 +197,31 @@ def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
         count = 0
 
         def added():
-            # Words that no pair holds are most of the rows, and need no other columns.
-            single = np.concatenate([h[0] for h in held])
-            alone, n = np.unique(single, return_counts=True)
-            zeros = np.zeros(len(alone), np.int64)
-            yield from rows(len(alone), [alone.view(np.int64), *[zeros] * (ORDER - 1)], n)
-            grams, n = added_edges([np.concatenate([h[1][k] for h in held]) for k in range(ORDER)])
+            grams, n = added_edges([np.concatenate([h[k] for h in held]) for k in range(ORDER)])
             yield from rows(len(n), [g.view(np.int64) for g in grams], n)
             yield from rows(len(words), [np.array(list(words), np.uint64).view(np.int64)], lang=[a for a, _ in words.values()], word=[b for _, b in words.values()])
 
         for block, names in blocks(batches):
             for number, n in enumerate(np.bincount(block.languages, minlength=0).tolist()):
                 sizes[names[number]] = sizes.get(names[number], 0) + n
-            follows, hashed = block.pairs()
-            linked = np.zeros(len(block.keys) + ORDER, bool)
-            linked[:len(hashed)] = follows & bitmap.holds(pairs.value, hashed)
+            there = np.zeros((COUNTED + 1, len(block.keys) + ORDER), bool)
+            for size in range(1, COUNTED + 1):
+                _, frequent = block.frequent(size, known.value)
+                there[size, :len(frequent)] = frequent
             keys = np.append(block.keys, np.zeros(ORDER, np.uint64))
-            at = np.flatnonzero(linked)
-            grams, on = [keys[at], keys[at + 1]], np.ones(len(at), bool)
-            for k in range(1, ORDER - 1):
-                on = on & linked[at + k]
-                grams.append(np.where(on, keys[at + k + 1], np.uint64(0)))
-            joined = linked[:len(block.keys)]
-            held.append([block.keys[~joined], grams])
-            inside = np.unique(np.concatenate([at, at + 1]))
+            at = np.flatnonzero(there[1])
+            grams, on = [keys[at]], np.ones(len(at), bool)
+            for k in range(1, ORDER):
+                # the run that ends with the word k places on
+                on = on & there[min(k + 1, COUNTED), at + max(0, k + 1 - COUNTED)]
+                grams.append(np.where(on, keys[at + k], np.uint64(0)))
+            held.append(grams)
+            pairs = np.flatnonzero(there[2])
+            inside = np.unique(np.concatenate([pairs, pairs + 1]))
             for key, n in zip(*(x.tolist() for x in np.unique(block.keys[inside], return_index=True))):
                 if key not in words:
                     words[key] = names[block.languages[inside[n]]], block.word(inside[n])
-            count += len(block.keys)
+            count += len(at)
             if count >= BUFFER:
                 yield from added()
                 held, count = [], 0
@@ -217,11 +238,9 @@ def counted(graph: DataFrame, least: int) -> DataFrame:
 
     The count of a run is the sum of the edges that leave it, those into the end of a piece among them.
     """
-    runs = graph.where("w1 is not null and word is null")
-    level, found = runs.where("w2 != 0"), None
+    # Edges that begin with the same three words are dealt together, so the longer levels need no other shuffle.
+    level, found = graph.where("w1 is not null and word is null").repartition(*GRAM[:COUNTED]), None
     for size in range(ORDER, 0, -1):
-        if size == 1:  # words that no frequent pair holds here are whole already
-            level = level.unionByName(runs.where("w2 = 0"), allowMissingColumns=True)
         level = level.groupBy(*GRAM[:size]).agg(F.sum("n").alias("n"))
         held = level.where((F.col(GRAM[size - 1]) != 0) & (F.col("n") >= least)).select(F.array(*GRAM[:size]).alias("words"), F.col("n").alias("f"))
         found = held if found is None else found.unionByName(held)
@@ -284,7 +303,7 @@ class Collocations:
 
     def __init__(self, docs: DataFrame, least: int = LEAST):
         texts = languages(docs)
-        graph = materialise(edges(texts, frequent_pairs(texts, least)))
+        graph = materialise(edges(texts, frequent_runs(texts, least)))
         self.counts = materialise(counted(graph, least))
         self.words = graph.where("word is not null").groupBy(F.col("w1").alias("key")).agg(F.min("word").alias("word"), F.min("lang").alias("lang"))
         self.sizes = graph.where("w1 is null").groupBy("lang").agg(F.sum("n").alias("n"))

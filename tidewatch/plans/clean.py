@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import clean as C
 from tidewatch.plans.registry import query
+from tidewatch.operators.nearest import impute_nearest_all
 from tidewatch.sources.tables import dirty_log, query_history, query_log, table
 
 COLUMNS = ["row_id", "ts", "user_name", "kind", "value", "sparse", "seen_at"]
@@ -125,6 +126,21 @@ def imputed_nearest(spark, d):
     return C.impute_nearest(rows, "value", "user_no", "row_id").drop("user_no")
 
 
+NEAR = " + ".join(f"case when t.{c} is not null and x.{c} is not null then (t.{c} - x.{c}) * (t.{c} - x.{c}) else 0 end" for c in "abc")
+BOTH = " + ".join(f"(t.{c} is not null and x.{c} is not null)::int" for c in "abc")
+
+
+@query("cl12_imputed_nearest_all", f"""with r as (select row_id, value as a, cast(substr(user_name, 2) as double) as b, (hour(seen_at) * 60 + minute(seen_at))::double as c from dirty),
+p as (select t.row_id, t.a as ta, t.c as tc, x.a, x.c, x.row_id as other, ({NEAR}) * 3.0::double / ({BOTH}) as d from r t join r x on t.row_id <> x.row_id where (t.a is null or t.c is null) and ({BOTH}) > 0),
+fa as (select row_id, avg(a) as f from (select * from p where ta is null and a is not null qualify row_number() over (partition by row_id order by d, other) <= 5) group by 1),
+fc as (select row_id, avg(c) as f from (select * from p where tc is null and c is not null qualify row_number() over (partition by row_id order by d, other) <= 5) group by 1)
+select r.row_id, round(coalesce(a, fa.f),6) as value, b as user_no, round(coalesce(c, fc.f),6) as seen_minute from r left join fa on fa.row_id = r.row_id left join fc on fc.row_id = r.row_id""")
+def imputed_nearest_all(spark, d):
+    minute = (F.hour("seen_at") * 60 + F.minute("seen_at")).cast("double")
+    rows = dirty_log(spark, d).select("row_id", "value", F.expr("cast(substr(user_name, 2) as double)").alias("user_no"), minute.alias("seen_minute"))
+    return impute_nearest_all(rows, ["value", "user_no", "seen_minute"], "row_id")
+
+
 @query("cl13_imputed_iterative")
 def imputed_iterative(spark, d):
     rows = dirty_log(spark, d).select("row_id", "value", "sparse", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))

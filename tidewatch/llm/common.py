@@ -44,6 +44,10 @@ class Shared:
     def value(self):
         return self.broadcast.value
 
+    def drop(self) -> None:
+        """Free it everywhere, once all that needs it is written."""
+        self.broadcast.destroy()
+
 
 #: What the current operator keeps in this worker between batches and tasks.
 _STATE: dict = {}

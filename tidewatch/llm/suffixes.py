@@ -48,7 +48,7 @@ BLOCK = 1 << 18
 #: Strings of a stretch, at most.
 STRETCH = 256
 #: Keys that a task adds up, and stretches that it compares, before it hands them on.
-KEYS, STRETCHES = 2_000_000, 200_000
+KEYS, STRETCHES = 1_500_000, 120_000
 #: Strings of a batch, about; strings read from a level at a time.
 BATCH, SCAN = 1 << 18, 1 << 16
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -383,7 +383,10 @@ def spans_to_go(rows: DataFrame) -> DataFrame:
     judged = materialise(compared(named(rows, keys)))
     wanted = bitmap.shared(F.col("hash").bitwiseXOR(F.xxhash64(*ROW)), judged.where("not gone"))
     whole = judged.where("gone").select(*ROW, F.array("at", F.col("at") + F.col("size")).alias("at"))
-    return whole.unionByName(materialise(repeated(dealt(rows, keys, wanted))))
+    parts = materialise(repeated(dealt(rows, keys, wanted)))
+    keys.drop()
+    wanted.drop()
+    return whole.unionByName(parts)
 
 
 KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"

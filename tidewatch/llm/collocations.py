@@ -133,7 +133,10 @@ def frequent_runs(texts: DataFrame, least: int) -> Shared:
     known = None
     for size in range(1, COUNTED + 1):
         counts = run_counts(texts, size, known)
-        known = bitmap.shared(F.col("run"), counts.where(F.col("n") >= least), known)
+        longer = bitmap.shared(F.col("run"), counts.where(F.col("n") >= least), known)
+        if known:
+            known.drop()
+        known = longer
     return known
 
 
@@ -303,7 +306,9 @@ class Collocations:
 
     def __init__(self, docs: DataFrame, least: int = LEAST):
         texts = languages(docs)
-        graph = materialise(edges(texts, frequent_runs(texts, least)))
+        known = frequent_runs(texts, least)
+        graph = materialise(edges(texts, known))
+        known.drop()
         self.counts = materialise(counted(graph, least))
         self.words = graph.where("word is not null").groupBy(F.col("w1").alias("key")).agg(F.min("word").alias("word"), F.min("lang").alias("lang"))
         self.sizes = graph.where("w1 is null").groupBy("lang").agg(F.sum("n").alias("n"))

@@ -182,12 +182,12 @@ def frequent_lines(found: DataFrame) -> DataFrame:
     """The lines in more than ``LINE_LIMIT`` distinct documents of a host."""
     held = found.select("copy", F.explode("lines").alias("line")).distinct()
     common = materialise(often(held, "copy"))
-    places = materialise(lines_among(found, common).select("copy", "line").distinct())
+    places = lines_among(found, common).select("copy", "line").distinct()
     return often(places.join(told_apart(found, common, places), "copy").select("line", "document").distinct(), "document")
 
 
 def lines_among(found: DataFrame, some: DataFrame) -> DataFrame:
-    """``KEY``, copy, line, words of the lines of all rows that are among ``some``."""
+    """``KEY``, copy, line, words of the lines of all rows that are among ``some``; written once."""
     bits = bitmap.shared(F.col("line"), some)
 
     def work(lines):
@@ -196,7 +196,9 @@ def lines_among(found: DataFrame, some: DataFrame) -> DataFrame:
         return {c: k.take(row) for c, k in zip(KEY, lines.key)} | {"copy": lines.copy[row], "line": lines.line[at], "words": lines.words[at]}
 
     near = each_batch(found, "_k bigint, _k2 int, copy bigint, line bigint, words int", work)
-    return near.join(some, "line", "left_semi")
+    out = materialise(near.join(some, "line", "left_semi"))
+    bits.drop()
+    return out
 
 
 def told_apart(found: DataFrame, common: DataFrame, places: DataFrame) -> DataFrame:
@@ -227,6 +229,8 @@ def told_apart(found: DataFrame, common: DataFrame, places: DataFrame) -> DataFr
                 "line": [*blank, *lines.line[at[n]].tolist()], "mark": [*blank, *keys[hit].view(np.int64).tolist()]}
 
     near = materialise(each_batch(found, "copy bigint, lines int, line bigint, mark bigint", like_common))
+    bits.drop()
+    marks.drop()
     sizes = near.where("lines is not null").groupBy("copy").agg(F.max("lines").alias("size"))
     others = near.where("line is not null").join(common, "line", "left_anti").distinct()
     edited = others.join(known, "mark").groupBy("copy", "line").agg(F.count("*").alias("n"), F.min("origin").alias("origin")).where(F.col("n") >= EDIT_MARKS)

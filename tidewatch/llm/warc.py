@@ -1,15 +1,17 @@
 """WARC archives without repeated payloads: revisit resolution by payload digest.
 
-Only headers (id, digest, size, address) are shuffled by digest. Among payloads of at
+Only headers (id, digest, size, address) are grouped by digest. Among payloads of at
 least ``LEAST`` bytes that are equal, the row with the largest page_id becomes the
 response and the others revisit it; smaller payloads are always responses. The
 resolved headers go back to their pages by row key, which spreads a payload that many
-pages share, and each page becomes one record with fresh headers.
+pages share (here payloads are shuffled, unless the revisits are few enough to broadcast), and
+each page becomes one record with fresh headers.
 
 Archives are written by Spark's text writer: a record is a row, and the two line ends
 that close a WARC record are the row separator; files are gzip-compressed as a whole
-and hold at most ``FILE_RECORDS`` records. ``read`` parses the files alone; what a revisit
-needs of its payload it takes from the response that it refers to.
+and hold at most ``FILE_RECORDS`` records. ``read`` parses the files alone, one record
+in memory at a time beside the compressed file; what a revisit needs of its payload it takes
+from the response that it refers to.
 
 Defined cases: null html is an empty payload; a null page_id is never a response that
 others refer to, unless all of a group lack one; repeated rows that all hold the largest
@@ -21,15 +23,18 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import _schema, as_batch, take, to_arrow_schema
+from tidewatch.llm.common import SLICE_ROWS, _schema, as_batch, take, to_arrow_schema
 from tidewatch.session import materialise, scratch_path
 
 LEAST = 1000
-FILE_RECORDS = 2000
+FILE_RECORDS = 500
 #: Fixed values of the format.
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,19 +91,17 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") ->
      .text(folder, compression="gzip", lineSep=END + END))
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """The headers (lower-case names) and the payload of every record."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {name.lower(): value for name, _, value in (x.partition(": ") for x in lines)}
-        block, size = stop + 4, int(head["content-length"])
-        body = data.index(b"\r\n\r\n", block) + 4
-        yield head, view[body:block + size]
-        at = block + size + 4
+def parsed(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers (lower-case names) and the payload of every record; a stream is read one record at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {first[:40]!r}")
+        lines = iter(stream.readline, b"\r\n")
+        head = {name.lower(): value for name, _, value in (x.decode().rstrip("\r\n").partition(": ") for x in lines)}
+        block = stream.read(int(head["content-length"]))
+        yield head, block[block.index(b"\r\n\r\n") + 4:]
+        stream.read(len(END + END))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,8 +120,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         names = arrow.names
         for batch in batches:
             for content in batch.column(0):
-                rows = [row(*one) for one in parsed(gzip.decompress(content.as_py()))]
-                yield as_batch(dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}, arrow)
+                with gzip.open(io.BytesIO(content.as_py())) as stream:
+                    found = (row(*one) for one in parsed(stream))
+                    while rows := list(islice(found, SLICE_ROWS)):
+                        yield as_batch(dict(zip(names, zip(*rows))), arrow)
 
     return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, READ)
 

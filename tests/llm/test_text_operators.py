@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.data import documents, same_rows, sentence, texts
-from tidewatch.llm import bpe, huffman, linequality, packing, secrets, simhash, tokens, toxicity, weakquality
+from tidewatch.llm import bpe, huffman, linequality, packing, secrets, simhash, tokens, toxicity, weakquality, wordtable
+from tidewatch.session import scratch_root
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -498,3 +499,29 @@ def test_empty_documents(spark):
     assert packing.packed(none, P.path("byte_bpe_50k.json")).count() == 0
     assert weakquality.train(none) is None and weakquality.filtered(none).count() == 0
     assert toxicity.train(none, spark.createDataFrame([], "doc_id bigint, toxic int"), F.lit(True)) is None
+
+
+# ---- several files, full tables
+
+def test_huffman_files_split_rows_without_id_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(huffman, "FILE_IDS", 500)
+    rows = [(None, sentence(i, 20), None) for i in range(60)] + [(5, sentence(1, 20), None)] * 60 + [(i, sentence(i, 15), None) for i in range(10, 60)]
+    folder = f"{scratch_root(spark)}/huffman-split-{len(rows)}"
+    huffman.write(documents(spark, rows), P.path("word_bpe_49k.json"), 1, folder)
+    sizes = [r.n for r in huffman.read(spark, folder).groupBy("number").agg(F.sum("n_tokens").alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) < 1_500
+    got = huffman.round_trip(documents(spark, rows), P.path("word_bpe_49k.json"), 1).orderBy("start").collect()
+    ends = [r["start"] + r["n_tokens"] for r in got]
+    assert [r["start"] for r in got] == [0, *ends[:-1]] and len(got) == len(rows)
+    assert [r["doc_id"] for r in got] == [None] * 60 + [5] * 60 + list(range(10, 60))
+
+
+def test_more_new_words_than_the_table_holds(monkeypatch):
+    monkeypatch.setattr(wordtable, "WORDS", 100)
+    monkeypatch.setattr(wordtable, "SLOTS", 256)
+    lines = [" ".join(f"word{(i * k) % 997}" for k in range(300)) for i in range(1, 9)] + ["word1 word2", ""]
+    from tokenizers import Tokenizer
+    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        got = tokens.Chunks(P.path(name), keeps).texts(lines)
+        plain = Tokenizer.from_file(P.path(name))
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in lines]

@@ -111,7 +111,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndar
     out[word[starts]] = np.add.reduceat(left, starts)
     over = np.flatnonzero(room < 0)
     out[word[over] + 1] += code[over] << (64 + room[over]).astype(np.uint64)
-    return checks.astype(np.uint32), out.astype(">u8").tobytes()[: int(ends[-1] + 7) >> 3]
+    return checks, out.astype(">u8").tobytes()[: int(ends[-1] + 7) >> 3]
 
 
 def unpack(data: bytes, checks: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def segment(docs: list[tuple[int | None, bytes]], lengths: np.ndarray, codes: np
     checks, data = pack(ids, sizes, lengths, codes)
     parts = [struct.pack("<III", len(docs), len(checks), len(data)),
              np.array([i or 0 for i, _ in docs], "<i8").tobytes(), bytes(i is not None for i, _ in docs),
-             sizes.astype("<u4").tobytes(), checks.astype("<u4").tobytes(), data]
+             sizes.astype("<u4").tobytes(), checks.astype("<u8").tobytes(), data]
     return record(b"".join(parts))
 
 
@@ -169,8 +169,8 @@ def opened(payload: memoryview, table: np.ndarray) -> tuple[list[int | None], np
     names = np.frombuffer(payload, "<i8", docs, at)
     there = np.frombuffer(payload, np.uint8, docs, at + 8 * docs)
     sizes = np.frombuffer(payload, "<u4", docs, at + 9 * docs).astype(np.int64)
-    checks = np.frombuffer(payload, "<u4", blocks, at + 13 * docs)
-    data = bytes(payload[at + 13 * docs + 4 * blocks:])
+    checks = np.frombuffer(payload, "<u8", blocks, at + 13 * docs)
+    data = bytes(payload[at + 13 * docs + 8 * blocks:])
     per = -(-sizes // BLOCK)
     counts = np.full(blocks, BLOCK, np.int64)
     last = np.cumsum(per) - 1
@@ -224,7 +224,9 @@ def write(docs: DataFrame, file: str, end_id: int, folder: str) -> None:
     total = ids.agg(F.sum("n")).first()[0] or 0
     files = max(1, -(-total // FILE_IDS))
     shared = spark.sparkContext.broadcast(lengths)
-    ordered = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "_k")
+    # Rows without an id or with one id are split by their key, repeated rows by their place in the staging files.
+    placed = ids.select("doc_id", "_k", "ids", F.col("_metadata.row_index").alias("_row"))
+    ordered = placed.repartitionByRange(files, "doc_id", "_k", "_row").sortWithinPartitions("doc_id", "_k", "_row")
 
     def run(batches):
         release()

@@ -100,18 +100,24 @@ class WordTable:
 
     def ids(self, data: bytes, starts: np.ndarray, sizes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and where each word's end."""
+        parts = [self._ids(data, *(x[at:at + WORDS] for x in (starts, sizes, kinds))) for at in range(0, max(1, len(starts)), WORDS)]
+        if len(parts) == 1:
+            return parts[0]
+        before = np.cumsum([0] + [len(ids) for ids, _ in parts])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([ends + b for (_, ends), b in zip(parts, before)])
+
+    def _ids(self, data: bytes, starts: np.ndarray, sizes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for at most as many words as the table holds."""
         keys, checks = hashes(data, starts, sizes, kinds)
         found = self.find(keys, checks)
         new = np.flatnonzero(found < 0)
         if len(new):
             new = new[np.unique(keys[new], return_index=True)[1]]
-            if self.words + len(new) > WORDS and self.words:
+            if self.words + len(new) > WORDS:
                 self.clear()
                 new = np.unique(keys, return_index=True)[1]
-            for at in range(0, len(new), WORDS):
-                part = new[at:at + WORDS]
-                words = [(k, data[a:a + n].decode()) for k, a, n in zip(kinds[part].tolist(), starts[part].tolist(), sizes[part].tolist())]
-                self.add(keys[part], checks[part], self.encode(words))
+            words = [(k, data[a:a + n].decode()) for k, a, n in zip(kinds[new].tolist(), starts[new].tolist(), sizes[new].tolist())]
+            self.add(keys[new], checks[new], self.encode(words))
             found = self.find(keys, checks)
         begin = self.starts[found]
         count = self.starts[found + 1] - begin

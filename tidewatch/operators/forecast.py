@@ -89,25 +89,25 @@ def smoothing_forecast(daily: DataFrame, key: str, last: int = 10, decay: float
     return rows.groupBy(key).agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("predicted"))
 
 
-def weighted_ensemble(forecasts: DataFrame, errors: DataFrame) -> DataFrame:
-    """Weights 1/max(error, .1); (date, predicted, lower, upper) from (model, date, predicted, lower, upper)."""
-    rows = forecasts.join(errors.select("model", (1 / F.greatest("error", F.lit(0.1))).alias("w")), "model")
+def weighted_ensemble(forecasts: DataFrame, errors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Weights 1/max(error, .1); (by, date, predicted, lower, upper) from (by, model, date, predicted, lower, upper)."""
+    rows = forecasts.join(errors.select(*by, "model", (1 / F.greatest("error", F.lit(0.1))).alias("w")), [*by, "model"])
     mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c)
-    return rows.groupBy("date").agg(mean("predicted"), mean("lower"), mean("upper"))
+    return rows.groupBy(*by, "date").agg(mean("predicted"), mean("lower"), mean("upper"))
 
 
-def vote(forecasts: DataFrame) -> DataFrame:
+def vote(forecasts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Median vote with the widest band, and the plain mean."""
-    return forecasts.groupBy("date").agg(F.expr("percentile(predicted, 0.5D)").alias("median_vote"), F.min("lower").alias("lower"),
-                                         F.max("upper").alias("upper"), F.avg("predicted").alias("mean_vote"))
+    return forecasts.groupBy(*by, "date").agg(F.expr("percentile(predicted, 0.5D)").alias("median_vote"), F.min("lower").alias("lower"),
+                                              F.max("upper").alias("upper"), F.avg("predicted").alias("mean_vote"))
 
 
-def model_consensus(forecasts: DataFrame) -> DataFrame:
-    """One row: mean variance over dates, share of predictions within 10 % of the date's mean, strength."""
-    mean = forecasts.groupBy("date").agg(F.avg("predicted").alias("m"), F.var_pop("predicted").alias("v"))
-    near = same_keys_join(forecasts, mean, ["date"], "inner")
+def model_consensus(forecasts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per ``by``): mean variance over dates, share of predictions within 10 % of the date's mean, strength."""
+    mean = forecasts.groupBy(*by, "date").agg(F.avg("predicted").alias("m"), F.var_pop("predicted").alias("v"))
+    near = same_keys_join(forecasts, mean, [*by, "date"], "inner")
     close = flag(F.abs(F.col("predicted") - F.col("m")) <= F.abs(F.col("m")) * 0.1)
-    row = near.groupBy("date").agg(F.avg(close).alias("a"), F.first("v").alias("v")).agg(F.avg("v").alias("prediction_variance"), F.avg("a").alias("agreement"))
+    row = near.groupBy(*by, "date").agg(F.avg(close).alias("a"), F.first("v").alias("v")).groupBy(*by).agg(F.avg("v").alias("prediction_variance"), F.avg("a").alias("agreement"))
     return row.withColumn("strength", F.when(F.col("agreement") > 0.8, "strong").when(F.col("agreement") > 0.6, "moderate").otherwise("weak"))
 
 
@@ -118,8 +118,8 @@ def errors(rows: DataFrame, actual: str, predicted: str, by: Sequence[str] = ())
     return rows.groupBy(*by).agg(F.avg(F.abs(off)).alias("mae"), F.avg(off * off).alias("mse"), F.sqrt(F.avg(off * off)).alias("rmse"), (F.avg(share) * 100).alias("mape"))
 
 
-def rank_models(table: DataFrame) -> DataFrame:
-    return table.withColumn("rank", F.row_number().over(Window.orderBy("mape", "model")))  # one row per model
+def rank_models(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return table.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("mape", "model")))  # one row per model
 
 
 def horizon(last: DataFrame, key: str, level: str) -> DataFrame:
@@ -248,8 +248,8 @@ def churn_risk(profiles: DataFrame) -> DataFrame:
     return profiles.select("USER_NAME", F.round(risk, 3).alias("churn_risk"))
 
 
-def fit_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.agg(correlation(a, b).alias("correlation"))
+def fit_correlation(rows: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    return rows.groupBy(*by).agg(correlation(a, b).alias("correlation"))
 
 
 # --- utilisation ----------------------------------------------------------------------------

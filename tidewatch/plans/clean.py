@@ -141,7 +141,17 @@ def imputed_nearest_all(spark, d):
     return impute_nearest_all(rows, ["value", "user_no", "seen_minute"], "row_id")
 
 
-@query("cl13_imputed_iterative")
+def _refit(name, source, y, other):
+    """One regression of ``y`` on ``other`` and the time over the rows that had it; its gaps get the prediction."""
+    return f"""{name} as (select s.* replace (case when g_{y} then my + ((suy*svv - svy*suv)*({other}-mu) + (svy*suu - suy*suv)*("at"-mv))/(suu*svv - suv*suv) else {y} end as {y}) from {source} s,
+ (select avg({y}) as my, avg({other}) as mu, avg("at") as mv, covar_pop({other},{y}) as suy, covar_pop("at",{y}) as svy, var_pop({other}) as suu, var_pop("at") as svv, covar_pop({other},"at") as suv from {source} where not g_{y}))"""
+
+
+CHAINED = """c0 as (select row_id, value is null as g_value, sparse is null as g_sparse, coalesce(value, avg(value) over ()) as value, coalesce(sparse, avg(sparse) over ()) as sparse, epoch_us(ts)::double as "at" from dirty),
+""" + ",\n".join(_refit(f"c{i + 1}", f"c{i}", y, other) for i, (y, other) in enumerate([("value", "sparse"), ("sparse", "value")] * 2))
+
+
+@query("cl13_imputed_iterative", f"with {CHAINED} select row_id, round(value,6) as value, round(sparse,6) as sparse, \"at\" from c4")
 def imputed_iterative(spark, d):
     rows = dirty_log(spark, d).select("row_id", "value", "sparse", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     return C.impute_iterative(rows, ["value", "sparse", "at"], rounds=2)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators import forecast as C
+from tidewatch.operators.backtest import rolling_origin
 from tidewatch.functions.expressions import period
 from tidewatch.operators import usage as U
 from tidewatch.plans.registry import query
@@ -96,6 +97,70 @@ def model_ranking(spark, d):
     return C.rank_models(_errors(spark, d).select("model", "mape"))
 
 
+# --- the same, fed by forecasts that each model made from the days before ---
+
+SERIES = "WAREHOUSE_NAME"
+
+
+def _backtest(spark, d):
+    return rolling_origin(_daily(spark, d), SERIES)
+
+
+def _backtest_errors(spark, d):
+    return C.errors(_backtest(spark, d), "actual", "predicted", [SERIES, "model"])
+
+
+#: The check refits each model from all rows before each day.
+BACKTEST = DAILY + """, o as (select *, datediff('day', date '2024-01-01', date::date)::double as t, isodow(date) as d, row_number() over w as i, lag(value) over w as y1, lag(value, 2) over w as y2 from dl window w as (partition by WAREHOUSE_NAME order by date)),
+p as (select a.WAREHOUSE_NAME, a.i, x.t, x.d, x.value, x.y1, x.y2, x.i as j from o a join o x on x.WAREHOUSE_NAME = a.WAREHOUSE_NAME and x.i < a.i where a.i > 21),
+wd as (select WAREHOUSE_NAME, i, d, avg(t) as mt, avg(value) as my from p group by 1, 2, 3),
+sl as (select WAREHOUSE_NAME, i, coalesce(sum((t-mt)*(value-my))/nullif(sum((t-mt)*(t-mt)),0),0) as b from p join wd using (WAREHOUSE_NAME, i, d) group by 1, 2),
+mn as (select WAREHOUSE_NAME, i, avg(value) as m from p group by 1, 2),
+cr as (select WAREHOUSE_NAME, i, m, sum((y1-m)*(y1-m)) as a, sum((y1-m)*(y2-m)) as b, sum((y2-m)*(y2-m)) as c, sum((value-m)*(y1-m)) as d, sum((value-m)*(y2-m)) as e from p join mn using (WAREHOUSE_NAME, i) where y2 is not null group by 1, 2, 3),
+sm as (select WAREHOUSE_NAME, i, sum(value*pow(0.8,i-j-1))/sum(pow(0.8,i-j-1)) as s from p where i-j <= 10 group by 1, 2),
+f0 as (select o.WAREHOUSE_NAME, o.date, o.value as actual, o.i, coalesce(my + sl.b*(o.t-mt), m) as f1, m + (cr.d*cr.c-cr.e*cr.b)/(cr.a*cr.c-cr.b*cr.b)*(o.y1-m) + (cr.e*cr.a-cr.d*cr.b)/(cr.a*cr.c-cr.b*cr.b)*(o.y2-m) as f2, s as f3
+ from o join sl using (WAREHOUSE_NAME, i) join cr using (WAREHOUSE_NAME, i) join sm using (WAREHOUSE_NAME, i) left join wd on wd.WAREHOUSE_NAME = o.WAREHOUSE_NAME and wd.i = o.i and wd.d = o.d),
+f as (select WAREHOUSE_NAME, date, actual, unnest(['seasonal', 'ar2', 'smoothing']) as model, unnest([greatest(f1,0), greatest(f2,0), greatest(f3,0)]) as predicted from f0),
+bt as (select *, greatest(predicted - 1.96::double*s, 0) as lower, predicted + 1.96::double*s as upper from (select *, sqrt(coalesce(avg((actual-predicted)*(actual-predicted)) over (partition by WAREHOUSE_NAME, model order by date rows between unbounded preceding and 1 preceding), 0)) as s from f)),
+be as (select WAREHOUSE_NAME, model, avg(abs(actual-predicted)) as mae, avg(pow(actual-predicted,2)) as mse, sqrt(avg(pow(actual-predicted,2))) as rmse, avg(case when actual <> 0 then abs((actual-predicted)/actual) else 0 end)*100 as mape from bt group by 1, 2)"""
+
+
+@query("fc01_backtest", f"with {BACKTEST} select WAREHOUSE_NAME, date, round(actual,6) as actual, model, round(predicted,6) as predicted, round(lower,6) as lower, round(upper,6) as upper from bt")
+def backtest(spark, d):
+    return _backtest(spark, d)
+
+
+@query("fc04_backtest_ensemble", f"with {BACKTEST}, w as (select bt.*, 1/greatest(mape,0.1) as w from bt join be using (WAREHOUSE_NAME, model)) select WAREHOUSE_NAME, date, round(sum(predicted*w)/sum(w),6) as predicted, round(sum(lower*w)/sum(w),6) as lower, round(sum(upper*w)/sum(w),6) as upper from w group by 1, 2")
+def backtest_ensemble(spark, d):
+    return C.weighted_ensemble(_backtest(spark, d), _backtest_errors(spark, d).withColumn("error", F.col("mape")), [SERIES])
+
+
+@query("fc05_backtest_votes", f"with {BACKTEST} select WAREHOUSE_NAME, date, round(median(predicted),6) as median_vote, round(min(lower),6) as lower, round(max(upper),6) as upper, round(avg(predicted),6) as mean_vote from bt group by 1, 2")
+def backtest_votes(spark, d):
+    return C.vote(_backtest(spark, d), [SERIES])
+
+
+@query("fc06_backtest_consensus", f"""with {BACKTEST}, m as (select WAREHOUSE_NAME, date, avg(predicted) as m, var_pop(predicted) as v from bt group by 1, 2), a as (select WAREHOUSE_NAME, date, avg(case when abs(predicted-m) <= abs(m)*0.1 then 1.0 else 0 end) as a, max(v) as v from bt join m using (WAREHOUSE_NAME, date) group by 1, 2), r as (select WAREHOUSE_NAME, avg(v) as v, avg(a) as a from a group by 1)
+select WAREHOUSE_NAME, round(v,6) as prediction_variance, round(a,6) as agreement, case when a > 0.8 then 'strong' when a > 0.6 then 'moderate' else 'weak' end as strength from r""")
+def backtest_consensus(spark, d):
+    return C.model_consensus(_backtest(spark, d), [SERIES])
+
+
+@query("fc07_backtest_errors", f"with {BACKTEST} select WAREHOUSE_NAME, model, round(mae,6) as mae, round(mse,6) as mse, round(rmse,6) as rmse, round(mape,6) as mape from be")
+def backtest_errors(spark, d):
+    return _backtest_errors(spark, d)
+
+
+@query("fc08_backtest_ranking", f"with {BACKTEST} select WAREHOUSE_NAME, model, round(mape,6) as mape, row_number() over (partition by WAREHOUSE_NAME order by mape, model) as rank from be")
+def backtest_ranking(spark, d):
+    return C.rank_models(_backtest_errors(spark, d).select(SERIES, "model", "mape"), [SERIES])
+
+
+@query("fc21_backtest_correlation", f"with {BACKTEST} select WAREHOUSE_NAME, model, round(corr(actual,predicted),6) as correlation from bt group by 1, 2")
+def backtest_correlation(spark, d):
+    return C.fit_correlation(_backtest(spark, d), "actual", "predicted", [SERIES, "model"])
+
+
 @query("fc09_horizons", f"with {DAILY}, l as (select WAREHOUSE_NAME, max(date) as l from dl group by 1) select WAREHOUSE_NAME, l + i * interval 7 day as date from l, range(1, 13) t(i)")
 def horizons(spark, d):
     return C.horizon(_daily(spark, d).groupBy("WAREHOUSE_NAME").agg(F.max("date").alias("last_date")), "WAREHOUSE_NAME", "weekly")

@@ -100,6 +100,7 @@ def test_small_buffers_blocks_and_a_full_bitmap(spark, monkeypatch):
     want = plain(corpus(), 3, 2000)
     monkeypatch.setattr(collocations, "BUFFER", 50)
     monkeypatch.setattr(collocations, "BLOCK", 64)
+    monkeypatch.setattr(collocations, "VOCABULARY", 30)
     assert same_rows(Collocations(table(spark, corpus()), 3).best().drop("path").collect(), want)
     monkeypatch.setattr(bitmap, "holds", lambda bits, values: values == values)
     assert same_rows(Collocations(table(spark, corpus()), 3).best().drop("path").collect(), want)

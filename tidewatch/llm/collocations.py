@@ -7,12 +7,11 @@ edges into the end are the corrections that make a node's count the sum of its o
 edges. So the counts of all shorter runs follow from the edges level by level, and each
 position of the corpus is one edge.
 
-A run that occurs ``least`` times is made of runs that do. So words, then pairs of frequent words,
-then triples of frequent pairs are counted over the whole corpus, and an edge ends where the next
-triple is not frequent: its words beyond are in no phrase with the first. The frequent ones go to the
-tasks as a bitmap of fixed size; what it lets through by chance only adds edges that are counted
-and dropped. Runs and edges are added up in the task before they are shuffled, so a passage
-repeated everywhere is one row a task.
+Words that stand side by side less than ``least`` times are in no phrase together, so an edge ends
+between them: all neighbours of the corpus are counted first, and those that reach ``least`` go to
+the tasks as a bitmap of fixed size; what it lets through by chance only adds edges that are
+counted and dropped. Single words are counted with their spelling in a pass of their own. All these
+are added up in the task before they are shuffled, so a passage repeated everywhere is one row a task.
 
 A run of words is absorbed by a longer one that holds it as often as it occurs: on that side its
 node has one edge with all its flow. Edges that follow each other through such nodes are
@@ -50,6 +49,8 @@ PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 BLOCK = 2 << 20
 #: Pairs and edges that a task adds up before it hands them on.
 BUFFER = 2_000_000
+#: Distinct words that a task adds up before it hands them on.
+VOCABULARY = 300_000
 #: Rows of a batch that a task hands on.
 ROWS = 1 << 15
 GRAM = [f"w{k}" for k in range(1, ORDER + 1)]
@@ -72,21 +73,11 @@ class Block:
         keys, _ = hashes(self.data, self.starts, self.sizes, np.zeros(len(self.starts), np.int64))
         self.keys = np.maximum(mixed(keys ^ languages[self.languages]), np.uint64(1))  # 0 is the end of a piece
 
-        self.follows = self.pieces[1:] == self.pieces[:-1]  # whether a word has another of its piece behind it
 
-    def runs(self, size: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of ``size`` words from each word on, and where there is one whose parts are all in ``frequent``."""
-        if size == 1:
-            return self.keys, np.ones(len(self.keys), bool)
-        shorter, held = self.frequent(size - 1, frequent)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a word is followed by another of its piece, and the hashes of all neighbours."""
         with np.errstate(over="ignore"):
-            longer = mixed(shorter[:-1] * FACTOR + self.keys[size - 1:]) if len(shorter) else shorter
-        return longer, held[:-1] & held[1:] & (self.follows if size == 2 else True)
-
-    def frequent(self, size: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for the runs that are in ``frequent`` themselves."""
-        values, held = self.runs(size, frequent)
-        return values, held & bitmap.holds(frequent, values)
+            return self.pieces[1:] == self.pieces[:-1], mixed(self.keys[:-1] * FACTOR + self.keys[1:])
 
     def word(self, at: int) -> str:
         return self.data[self.starts[at]:self.starts[at] + self.sizes[at]].decode()
@@ -124,35 +115,19 @@ def languages(docs: DataFrame) -> DataFrame:
     return take(docs, text="string", lang="string").withColumn("lang", F.coalesce("lang", F.lit(NO_LANGUAGE)))
 
 
-#: Longest runs that are counted before the edges.
-COUNTED = 3
-
-
-def frequent_runs(texts: DataFrame, least: int) -> Shared:
-    """A bitmap of the runs of up to ``COUNTED`` words that occur ``least`` times or more."""
-    known = None
-    for size in range(1, COUNTED + 1):
-        counts = run_counts(texts, size, known)
-        longer = bitmap.shared(F.col("run"), counts.where(F.col("n") >= least), known)
-        if known:
-            known.drop()
-        known = longer
-    return known
-
-
-def run_counts(texts: DataFrame, size: int, known: Shared | None) -> DataFrame:
-    """(run, n) of the runs of ``size`` words whose parts may all be frequent."""
+def frequent_pairs(texts: DataFrame, least: int) -> Shared:
+    """A bitmap of the neighbours that occur ``least`` times or more."""
     def run(batches):
         release()
         held, count = [], 0
 
         def added():
-            runs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(n)], names=["run", "n"])
+            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], names=["pair", "n"])
 
         for block, _ in blocks(batches):
-            values, there = block.runs(size, known.value if known else None)
-            held.append(values[there])
+            follows, pairs = block.pairs()
+            held.append(pairs[follows])
             count += len(held[-1])
             if count >= BUFFER:
                 yield from in_parts(added())
@@ -160,10 +135,54 @@ def run_counts(texts: DataFrame, size: int, known: Shared | None) -> DataFrame:
         if count:
             yield from in_parts(added())
 
-    return texts.mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return bitmap.shared(F.col("pair"), counts.where(F.col("n") >= least))
+
 
+WORDS = "key bigint, n bigint, lang string, word string"
 
-EDGES = ", ".join(f"{w} bigint" for w in GRAM) + ", n bigint, lang string, word string"
+
+def frequent_words(texts: DataFrame, least: int) -> DataFrame:
+    """``WORDS`` that occur ``least`` times or more; a row without a word is the number of all words of its language."""
+    arrow = to_arrow_schema(_schema(WORDS))
+
+    def run(batches):
+        release()
+        counts: dict[int, int] = {}
+        spelled: dict[int, tuple[str, str]] = {}
+        sizes: dict[str, int] = {}
+
+        def added():
+            rows = [(key, n, *spelled[key]) for key, n in counts.items()]
+            for low in range(0, len(rows), ROWS):
+                yield as_batch(dict(zip(arrow.names, zip(*rows[low:low + ROWS]))), arrow)
+
+        for block, names in blocks(batches):
+            for number, n in enumerate(np.bincount(block.languages, minlength=0).tolist()):
+                sizes[names[number]] = sizes.get(names[number], 0) + n
+            keys, first, n = np.unique(block.keys.view(np.int64), return_index=True, return_counts=True)
+            for key, at, m in zip(keys.tolist(), first.tolist(), n.tolist()):
+                if key in counts:
+                    counts[key] += m
+                else:
+                    counts[key] = m
+                    spelled[key] = names[block.languages[at]], block.word(at)
+            if len(counts) >= VOCABULARY:
+                yield from added()
+                counts.clear()
+                spelled.clear()
+        yield from added()
+        made = [(0, n, lang, None) for lang, n in sizes.items()]
+        yield as_batch(dict(zip(arrow.names, zip(*made))) if made else {c: [] for c in arrow.names}, arrow)
+
+    every = texts.mapInArrow(run, WORDS)
+    # The rows of the languages have the key 0, so they are told apart by language; there is one word to another key.
+    found = every.groupBy("key", F.when(F.col("key") == 0, F.col("lang")).alias("of")).agg(
+        F.sum("n").alias("n"), F.min("lang").alias("lang"), F.min("word").alias("word"))
+    return found.where((F.col("n") >= least) | F.col("word").isNull()).drop("of")
+
+
+EDGES = ", ".join(f"{w} bigint" for w in GRAM) + ", n bigint"
 
 
 def added_edges(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -179,74 +198,52 @@ def added_edges(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray
     return list(rows.T), n
 
 
-def edges(texts: DataFrame, known: Shared) -> DataFrame:
-    """Rows of three kinds: an edge (words, blanks as 0) and its count; a word (key, language, spelling); a language and its number of words."""
-    arrow = to_arrow_schema(_schema(EDGES))
-
-    def rows(size, columns, n=None, lang=None, word=None):
-        """In parts, as a reader holds all columns of a batch."""
-        return (made_rows(low, min(size, low + ROWS), columns, n, lang, word) for low in range(0, size, ROWS))
-
-    def made_rows(low, high, columns, n, lang, word):
-        columns, (n, lang, word) = [c[low:high] for c in columns], (x if x is None else x[low:high] for x in (n, lang, word))
-        made = dict(zip(GRAM, columns)) | {"n": n, "lang": lang, "word": word}
-        return as_batch({f.name: [None] * (high - low) if made.get(f.name) is None else made[f.name] for f in arrow}, arrow)
+def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
+    """Edges (words, blanks as 0) and their counts, from every word that a frequent neighbour follows."""
+    names = [*GRAM, "n"]
 
     def run(batches):
         release()
         held: list[list[np.ndarray]] = []
-        words: dict[int, tuple[str, str]] = {}
-        sizes: dict[str, int] = {}
         count = 0
 
         def added():
             grams, n = added_edges([np.concatenate([h[k] for h in held]) for k in range(ORDER)])
-            yield from rows(len(n), [g.view(np.int64) for g in grams], n)
-            yield from rows(len(words), [np.array(list(words), np.uint64).view(np.int64)], lang=[a for a, _ in words.values()], word=[b for _, b in words.values()])
+            return in_parts(pa.RecordBatch.from_arrays([*(pa.array(g.view(np.int64)) for g in grams), pa.array(n)], names=names))
 
-        for block, names in blocks(batches):
-            for number, n in enumerate(np.bincount(block.languages, minlength=0).tolist()):
-                sizes[names[number]] = sizes.get(names[number], 0) + n
-            there = np.zeros((COUNTED + 1, len(block.keys) + ORDER), bool)
-            for size in range(1, COUNTED + 1):
-                _, frequent = block.frequent(size, known.value)
-                there[size, :len(frequent)] = frequent
+        for block, _ in blocks(batches):
+            follows, hashed = block.pairs()
+            linked = np.zeros(len(block.keys) + ORDER, bool)
+            linked[:len(hashed)] = follows & bitmap.holds(pairs.value, hashed)
             keys = np.append(block.keys, np.zeros(ORDER, np.uint64))
-            at = np.flatnonzero(there[1])
-            grams, on = [keys[at]], np.ones(len(at), bool)
-            for k in range(1, ORDER):
-                # the run that ends with the word k places on
-                on = on & there[min(k + 1, COUNTED), at + max(0, k + 1 - COUNTED)]
-                grams.append(np.where(on, keys[at + k], np.uint64(0)))
+            at = np.flatnonzero(linked)
+            grams, on = [keys[at], keys[at + 1]], np.ones(len(at), bool)
+            for k in range(1, ORDER - 1):
+                on = on & linked[at + k]
+                grams.append(np.where(on, keys[at + k + 1], np.uint64(0)))
             held.append(grams)
-            pairs = np.flatnonzero(there[2])
-            inside = np.unique(np.concatenate([pairs, pairs + 1]))
-            for key, n in zip(*(x.tolist() for x in np.unique(block.keys[inside], return_index=True))):
-                if key not in words:
-                    words[key] = names[block.languages[inside[n]]], block.word(inside[n])
             count += len(at)
             if count >= BUFFER:
                 yield from added()
                 held, count = [], 0
-                words.clear()
-        if held:
+        if count:
             yield from added()
-        yield from rows(len(sizes), [], list(sizes.values()), list(sizes))
 
     return texts.mapInArrow(run, EDGES)
 
 
-def counted(graph: DataFrame, least: int) -> DataFrame:
+def counted(graph: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """(words, f) of all runs of up to ``ORDER`` words that occur ``least`` times or more.
 
     The count of a run is the sum of the edges that leave it, those into the end of a piece among them.
     """
     # Edges that begin with the same three words are dealt together, so the longer levels need no other shuffle.
-    level, found = graph.where("w1 is not null and word is null").repartition(*GRAM[:COUNTED]), None
-    for size in range(ORDER, 0, -1):
+    level = graph.repartition(*GRAM[:3])
+    found = words.where("word is not null").select(F.array("key").alias("words"), F.col("n").alias("f"))
+    for size in range(ORDER, 1, -1):
         level = level.groupBy(*GRAM[:size]).agg(F.sum("n").alias("n"))
         held = level.where((F.col(GRAM[size - 1]) != 0) & (F.col("n") >= least)).select(F.array(*GRAM[:size]).alias("words"), F.col("n").alias("f"))
-        found = held if found is None else found.unionByName(held)
+        found = found.unionByName(held)
     return found
 
 
@@ -306,12 +303,12 @@ class Collocations:
 
     def __init__(self, docs: DataFrame, least: int = LEAST):
         texts = languages(docs)
-        known = frequent_runs(texts, least)
-        graph = materialise(edges(texts, known))
-        known.drop()
-        self.counts = materialise(counted(graph, least))
-        self.words = graph.where("word is not null").groupBy(F.col("w1").alias("key")).agg(F.min("word").alias("word"), F.min("lang").alias("lang"))
-        self.sizes = graph.where("w1 is null").groupBy("lang").agg(F.sum("n").alias("n"))
+        words = materialise(frequent_words(texts, least))
+        pairs = frequent_pairs(texts, least)
+        self.counts = materialise(counted(edges(texts, pairs), words, least))
+        pairs.drop()
+        self.words = words.where("word is not null").select("key", "lang", "word")
+        self.sizes = words.where("word is null").select("lang", "n")
 
     def phrases(self) -> DataFrame:
         return scored(self.counts, self.sizes, self.words)

@@ -236,15 +236,24 @@ def counted(graph: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """(words, f) of all runs of up to ``ORDER`` words that occur ``least`` times or more.
 
     The count of a run is the sum of the edges that leave it, those into the end of a piece among them.
+    One plan for all sizes, as a union of levels would read the texts once each.
     """
-    # Edges that begin with the same three words are dealt together, so the longer levels need no other shuffle.
-    level = graph.repartition(*GRAM[:3])
-    found = words.where("word is not null").select(F.array("key").alias("words"), F.col("n").alias("f"))
-    for size in range(ORDER, 1, -1):
-        level = level.groupBy(*GRAM[:size]).agg(F.sum("n").alias("n"))
-        held = level.where((F.col(GRAM[size - 1]) != 0) & (F.col("n") >= least)).select(F.array(*GRAM[:size]).alias("words"), F.col("n").alias("f"))
-        found = found.unionByName(held)
-    return found
+    alone = words.where("word is not null").select(F.array("key").alias("words"), F.col("n").alias("f"))
+    zero = F.lit(0).cast("bigint")
+    start = lambda size, *w: F.struct(*[x.alias(name) for x, name in zip(w, "cde")], (F.lit(size) if isinstance(size, int) else size).alias("size"))
+    c, d, e = (F.col(w) for w in GRAM[2:])
+    # Edges that begin with the same three words are dealt together: the runs of three to five words need no other shuffle.
+    parts = F.array_compact(F.array(F.struct(zero.alias("d"), zero.alias("e"), F.lit(3).alias("size")),
+                                    F.when(d != 0, F.struct(d.alias("d"), zero.alias("e"), F.lit(4).alias("size"))),
+                                    F.when(e != 0, F.struct(d.alias("d"), e.alias("e"), F.lit(5).alias("size")))))
+    level = graph.repartition(*GRAM[:3]).select("w1", "w2", "w3", "n", F.explode(parts).alias("p")).select("w1", "w2", "w3", "n", "p.*")
+    level = level.groupBy("w1", "w2", "w3", "d", "e", "size").agg(F.sum("n").alias("n"))
+    # What all runs of three give their first two words; of the longer ones, those that are frequent go on as they are.
+    parts = F.array_compact(F.array(F.when(F.col("size") == 3, start(2, zero, zero, zero)),
+                                    F.when((c != 0) & (F.col("n") >= least), start(F.col("size"), c, F.col("d"), F.col("e")))))
+    level = level.select("w1", "w2", "n", F.explode(parts).alias("p")).select("w1", "w2", "n", "p.*")
+    level = level.groupBy("w1", "w2", "c", "d", "e", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return alone.unionByName(level.select(F.slice(F.array("w1", "w2", "c", "d", "e"), 1, F.col("size")).alias("words"), "f"))
 
 
 def absorbed(counts: DataFrame) -> DataFrame:

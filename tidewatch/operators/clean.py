@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
 from pyspark.sql.window import Window
 
 from tidewatch.functions.expressions import attach, flag, one_row, stats_of
 from tidewatch.functions.ordered import Slices, same_keys_join
 from tidewatch.functions.quantiles import label, quantile_row
 from tidewatch.functions.spacing import spaced
+from tidewatch.operators.near import near_copies
 from tidewatch.operators.usage import modes
-from tidewatch.session import materialise
 
 NUMERIC = ("double", "float", "long", "integer", "short", "byte", "decimal")
 TIMES = ("timestamp", "timestamp_ntz", "date")
@@ -70,79 +67,12 @@ def duplicate_report(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         "duplicate_percentage", F.when(F.col("total_records") > 0, F.col("duplicate_records") / F.col("total_records") * 100).otherwise(0.0))
 
 
-BANDS, BAND_ROWS, SHINGLE = 8, 3, 3
-
-
-def _shingles(text: str) -> np.ndarray:
-    """Distinct hashed runs of three words; a shorter text is one run."""
-    words = text.lower().split()
-    runs = [" ".join(words[i:i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, 1))]
-    return np.unique(pd.util.hash_array(np.array(runs, dtype=object)))
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def band_hashes(texts: pd.Series) -> pd.Series:
-    """One hash per band of min-hashes."""
-    rng = np.random.default_rng(42)
-    factors = rng.integers(1, 2 ** 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
-    shifts = rng.integers(0, 2 ** 63, BANDS * BAND_ROWS, dtype=np.uint64)
-
-    def one(text: str) -> np.ndarray:
-        s = _shingles(text)
-        mins = np.array([((s * f + a) >> np.uint64(11)).min() for f, a in zip(factors, shifts)])
-        bands = mins.reshape(BANDS, BAND_ROWS)
-        mixed = bands[:, 0] * np.uint64(1000003) ^ bands[:, 1] * np.uint64(999979) ^ bands[:, 2]
-        return (mixed * np.uint64(31) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-
-    return texts.map(one)
-
-
-@F.pandas_udf(DoubleType())
-def shingle_jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-    shingles = lru_cache(2048)(_shingles)  # a leader comes with many rows
-
-    def one(a: str, b: str) -> float:
-        x, y = shingles(a), shingles(b)
-        shared = np.intersect1d(x, y, assume_unique=True).size
-        return shared / (x.size + y.size - shared)
-
-    return pd.Series([one(a, b) for a, b in zip(left, right)])
-
-
-def near_copies(df: DataFrame, row_id: str, text: str, similarity: float = 0.95) -> DataFrame:
-    """(row_id, leader, similarity): rows whose word-shingle Jaccard with an earlier row is high enough.
-
-    Equal texts are first folded into one.  A row is compared on the whole texts
-    with the earlier rows of its bands of min-hashes, smallest ids first, until one
-    is near: each round takes twice as many leaders of a band as the one before and
-    only rows that found none go on.  Rows that are near copies themselves lead too.
-    """
-    texts = materialise(df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("_t")).agg(F.min(row_id).alias("_id")))
-    bands = materialise(texts.select("_id", F.explode(band_hashes("_t")).alias("band")))
-    many = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("_id"))
-    ranked = materialise(bands.join(many, "band").withColumn("rank", rank))
-    most = ranked.agg(F.max("n")).first()[0] or 0
-    found, left, start = None, ranked, 1
-    while found is None or start < most:
-        leaders = ranked.filter((F.col("rank") >= start) & (F.col("rank") < 2 * start)).select("band", F.col("_id").alias("leader"))
-        pairs = left.filter(F.col("rank") > start).join(leaders, "band").filter(F.col("_id") > F.col("leader")).select("_id", "leader").distinct()
-        both = (pairs.join(texts, "_id")
-                .join(texts.select(F.col("_id").alias("leader"), F.col("_t").alias("_other")), "leader"))
-        near = both.select(F.col("_id").alias(row_id), "leader", shingle_jaccard("_t", "_other").alias("similarity"))
-        near = materialise(near.filter(F.col("similarity") >= similarity))
-        found = near if found is None else found.unionByName(near)
-        left = left.join(near.select(F.col(row_id).alias("_id")).distinct(), "_id", "left_anti")
-        start *= 2
-    return found
-
-
-def drop_near(df: DataFrame, row_id: str, text: str | None, similarity: float = 0.95) -> DataFrame:
+def drop_near(df: DataFrame, row_id: str, text: str | None, similarity: float = 0.95, shingle: int = 3) -> DataFrame:
     """Remove exact copies and near copies of an earlier row; exact dedup when there is no text column."""
     if text is None:
         return drop_exact(df)
     first = df.groupBy(text).agg(F.min(row_id).alias(row_id)).select(row_id)
-    near = near_copies(df, row_id, text, similarity).select(row_id).distinct()
+    near = near_copies(df, row_id, text, similarity, shingle).select(row_id).distinct()
     return df.join(first, row_id, "left_semi").join(near, row_id, "left_anti")
 
 

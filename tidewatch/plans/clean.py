@@ -78,7 +78,7 @@ def keep_none(spark, d):
 
 @query("cl06_near_copies")
 def near_copies(spark, d):
-    return C.drop_near(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "lang", "source", "n_chars")
+    return C.drop_near(table(spark, d, "documents"), "doc_id", "text", shingle=5).select("doc_id", "lang", "source", "n_chars")
 
 
 @query("cl07_spaced_rows", """with recursive o as (select QUERY_ID, USER_NAME, START_TIME, row_number() over (partition by USER_NAME order by START_TIME, QUERY_ID) as i from qlog),

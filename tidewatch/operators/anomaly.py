@@ -14,6 +14,7 @@ from tidewatch.functions.expressions import attach, flag
 from tidewatch.functions.globals import TableStats
 from tidewatch.functions.ordered import same_keys_join
 from tidewatch.functions.quantiles import group_quantiles, quantile_row
+from tidewatch.session import materialise
 
 TREES, SAMPLE = 100, 256
 SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
@@ -171,9 +172,11 @@ def forest_scores(df: DataFrame, columns: Sequence[str], forest: DataFrame, samp
 
 def isolation_forest(df: DataFrame, columns: Sequence[str], row_id: str, contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Standardise, grow, score; flag above the (1 - contamination) quantile; severity .8/.7/.6."""
-    scaled = standardise(df, columns)
+    raw = {c: f"_raw_{c}" for c in columns}
+    scaled = standardise(df.withColumns({r: F.col(c) for c, r in raw.items()}), columns)
     scored = forest_scores(scaled, columns, train_forest(scaled, columns, row_id, seed=seed))
-    scored = same_keys_join(df, scored.select(row_id, "anomaly_score"), [row_id], "left")
+    # Written, as the limit and the rows both need the scores.
+    scored = materialise(scored.withColumns({c: F.col(r) for c, r in raw.items()}).select(*df.columns, "anomaly_score"))
     limit = quantile_row(scored, ["anomaly_score"], [1 - contamination])
     s = F.col("anomaly_score")
     return scored.withColumn("_limit", limit.scalar()).withColumns({

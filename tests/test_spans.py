@@ -94,6 +94,36 @@ def test_quantiles_of_many_levels(spark, mode, monkeypatch):
     agree(got, some.select("id", F.expr("percentile(x, 0.5D)").over(w)))
 
 
+@pytest.mark.parametrize("most,batch", [(1 << 20, 1 << 18), (1 << 20, 50), (300, 50), (0, 1)])
+@pytest.mark.parametrize("method,closed", [("linear", False), ("index", True)])
+def test_buckets_and_hot_buckets_agree(rows, mode, monkeypatch, most, batch, method, closed):
+    """Batches that cut between buckets, buckets that go by digits, and both at once."""
+    monkeypatch.setattr(order_spans, "MOST_ROWS", most)
+    monkeypatch.setattr(order_spans, "BATCH_ROWS", batch)
+    got = span_quantiles(rows, ["k"], "x", "ts", SPAN, [0.3, 0.9], method, closed).select("id", "_n", "_q")
+    lists = table(rows.select("id", F.array_sort(F.collect_list("x").over(frame(closed))).alias("v")))
+    found = table(got)
+    assert found.keys() == lists.keys()
+    for k, (v,) in lists.items():
+        n, q = found[k]
+        assert n == len(v) and (q is None) == (not v)
+        for p, x in zip([0.3, 0.9], q or ()):
+            at = min(int(n * p), n - 1) if method == "index" else p * (n - 1)
+            low, high = v[math.floor(at)], v[math.ceil(at)]
+            assert x == pytest.approx(low + (high - low) * (at - math.floor(at)))
+
+
+def test_buckets_are_not_sorted_level_by_level(rows, mode, monkeypatch):
+    """A large input without a hot bucket needs neither range cuts nor a key in one task."""
+    def no(*_, **__):
+        raise AssertionError("range cuts")
+
+    monkeypatch.setattr(order_spans, "Slices", no)
+    plan = span_quantiles(rows, ["k"], "x", "ts", SPAN, [0.5])._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" not in plan
+    assert "RepartitionByExpression [k" in plan
+
+
 def test_without_keys_and_empty(spark, rows, mode):
     got = span_quantiles(rows, [], "x", "ts", SPAN, [0.5]).select("id", F.col("_q")[0])
     w = Window.orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-SPAN * 1_000_000 + 1, 0)

@@ -1,20 +1,23 @@
 """Exact quantiles of a time span before each row.
 
-Large inputs walk down the digits of the values' ranks within their key. On each level the
-values of one prefix enter at their time and leave a span later; running counts by digit over
-range cuts are the counts of the window at any time, so a row finds the digit of the value it
-looks for and the rank within it, and goes on with that prefix. A hot key, a dense hour, or a
+Time is cut into buckets as long as the span, and every value also goes to the next bucket, so that
+a bucket of a key holds all windows that end in it. Buckets are sorted by key and time, and a
+task takes some whole ones at a time: a window is a stretch of that sort, and the value of a rank
+within a stretch is found for all rows at once, bit by bit of the values' ranks (a wavelet matrix).
+That costs the logarithm of a bucket's rows for each row, however many rows a window holds.
+
+Buckets with more than ``MOST_ROWS`` rows walk down the digits of the values' ranks over range cuts
+instead. On each level the values of one prefix enter at their time and leave a span later; running
+counts by digit are the counts of the window at any time, so a row finds the digit of the
+value it looks for and the rank within it, and goes on with that prefix. A hot key, a dense hour, or a
 quantile that always falls on the same values is many ranges: no task holds a window. Rows and
-values are sorted once a level, and there are log16 of the distinct values of a key levels.
-
-Small inputs keep the window of a key as a sorted list.
+values are sorted once a level, and there are log16 of the distinct values of a bucket levels.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,14 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from tidewatch.functions.ordered import Slices, same_keys_join
 from tidewatch.functions.quantiles import positions
 from tidewatch.functions.spans import micros, span_folds
-from tidewatch.session import is_small, materialise
+from tidewatch.session import materialise
 
 #: Digits of a level by their binary logarithm.
 BITS = 4
+#: Values of a bucket and the one before that a task may hold.
+MOST_ROWS = 1 << 20
+#: Rows worked on at a time, unless one bucket has more.
+BATCH_ROWS = 1 << 18
 
 
 def span_quantiles(df: DataFrame, keys: Sequence[str], column: str, ts: str, seconds: int, probs: Sequence[float], method: str = "linear",
@@ -40,7 +47,7 @@ def span_quantiles(df: DataFrame, keys: Sequence[str], column: str, ts: str, sec
     keys = list(keys)
     rows = df.withColumn("_us", micros(ts))
     values = rows.select(*keys, "_us", F.col(column).cast("double").alias("_x")).where("_us is not null")
-    found = (_sorted_lists if is_small(df) else _by_digits)(values, keys, seconds * 1_000_000, list(probs), method, closed)
+    found = _found(values, keys, seconds * 1_000_000, list(probs), method, closed)
     out = same_keys_join(rows, found.select(*keys, "_us", "_n", "_at"), [*keys, "_us"], "left")
     # _at holds the lower and the upper value of each quantile, one after the other.
     parts = []
@@ -54,61 +61,127 @@ def _ranks(n: Column, probs: Sequence[float], method: str) -> Column:
     return F.array(*[at.cast("bigint") for p in probs for at in positions(method, n, p)[:2]])
 
 
-def _windows(times: np.ndarray, x: np.ndarray, span: int, probs: Sequence[float], method: str, closed: bool) -> tuple[list, list, list]:
-    """Times, counts and picked values of one key, by a sorted list of the window."""
-    order = np.argsort(times, kind="stable")
-    times, x = times[order].tolist(), x[order].tolist()
-    held: list[float] = []
-    first, at, n = 0, 0, len(times)
-    out: tuple[list, list, list] = ([], [], [])
-    while at < n:
-        now = times[at]
-        while at < n and times[at] == now:
-            if x[at] == x[at]:
-                bisect.insort(held, x[at])
-            at += 1
-        start = now - span
-        while times[first] < start or (times[first] == start and not closed):
-            if x[first] == x[first]:
-                del held[bisect.bisect_left(held, x[first])]
-            first += 1
-        size = len(held)
-        picks = [held[k] for p in probs for k in _places(method, size, p)] if size else None
-        for column, value in zip(out, (now, size, picks)):
-            column.append(value)
-    return out
-
-
-def _places(method: str, n: int, p: float) -> tuple[int, int]:
+def _places(method: str, n: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
     """0-based low and high ranks, as ``positions`` has them."""
     if method == "index":
-        at = min(math.floor(n * p), n - 1)
+        at = np.minimum(np.floor(n * p), n - 1)
     elif method == "linear":
         at = (n - 1) * p
     else:
-        at = min(max((n + 1) * p - 1, 0.0), n - 1)
-    return math.floor(at), math.ceil(at)
+        at = np.minimum(np.maximum((n + 1) * p - 1, 0.0), n - 1)
+    return np.floor(at).astype(np.int64), np.ceil(at).astype(np.int64)
+
+
+def _found(values: DataFrame, keys: list[str], span: int, probs: Sequence[float], method: str, closed: bool) -> DataFrame:
+    buckets = [*keys, "_bucket"]
+    home = F.floor(F.col("_us") / span)
+    both = F.explode(F.array("_home", F.col("_home") + 1)).alias("_bucket")
+    plain = values.withColumns({"_home": home, "_x": F.when(~F.isnan("_x"), F.col("_x"))})
+    copies = plain.select(*keys, "_us", "_x", both)
+    counted = plain.groupBy(*keys, "_home").agg(F.count("*").alias("_c")).select(*keys, "_c", both)
+    large = materialise(counted.groupBy(*buckets).agg(F.sum("_c").alias("_c")).where(F.col("_c") > MOST_ROWS).select(*buckets))
+    if large.isEmpty():
+        return _by_buckets(copies, buckets, span, probs, method, closed)
+    large = F.broadcast(large)  # each stands for so many rows, so there are few
+    some = _by_buckets(same_keys_join(copies, large, buckets, "left_anti"), buckets, span, probs, method, closed)
+    rest = _by_digits(same_keys_join(copies, large, buckets, "left_semi"), buckets, span, probs, method, closed)
+    return some.unionByName(rest.where(home == F.col("_bucket")))
+
+
+def _by_buckets(copies: DataFrame, buckets: list[str], span: int, probs: Sequence[float], method: str, closed: bool) -> DataFrame:
+    """Counts and picked values of every time of a bucket, whole buckets in a task."""
+    fields = [copies.schema[k] for k in buckets]
+    schema = StructType([*fields, StructField("_us", LongType()), StructField("_n", LongType()), StructField("_at", ArrayType(DoubleType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, limit = [], 0, BATCH_ROWS
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= limit:
+                table = pa.Table.from_batches(held)
+                first = np.nonzero(_begins(table, buckets))[0][-1]  # the last bucket may go on
+                if first:
+                    yield from _picked(table.slice(0, first), buckets, span, probs, method, closed)
+                held = table.slice(first).to_batches()
+                size -= int(first)
+                limit = max(BATCH_ROWS, 2 * size)
+        if size:
+            yield from _picked(pa.Table.from_batches(held), buckets, span, probs, method, closed)
+
+    return copies.repartition(*buckets).sortWithinPartitions(*buckets, "_us").mapInArrow(run, schema)
+
+
+def _begins(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Whether the names' values change before each row."""
+    out = np.zeros(table.num_rows, bool)
+    out[:1] = True
+    for name in names:
+        codes = table.column(name).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+        out[1:] |= codes[1:] != codes[:-1]
+    return out
 
-def _sorted_lists(values: DataFrame, keys: list[str], span: int, probs: Sequence[float], method: str, closed: bool) -> DataFrame:
-    fields = [values.schema[k] for k in keys]
-    schema = StructType([*fields, StructField("_us", LongType()), StructField("_n", LongType()), StructField("_at", ArrayType(DoubleType()))])
 
-    def work(table: pa.Table) -> pa.Table:
-        x = table.column("_x").to_numpy().astype(float)  # null as nan
-        times, counts, picks = _windows(table.column("_us").to_numpy(), x, span, probs, method, closed)
-        same = pa.array(np.zeros(len(times), np.int64))
-        columns = [table.column(k).take(same) for k in keys]
-        return pa.table([*columns, pa.array(times, pa.int64()), pa.array(counts, pa.int64()), pa.array(picks, pa.list_(pa.float64()))],
-                        names=[*keys, "_us", "_n", "_at"])
+def _picked(table: pa.Table, buckets: Sequence[str], span: int, probs: Sequence[float], method: str, closed: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of whole buckets, sorted by bucket and time, to one row for each time that belongs to its bucket."""
+    group = np.cumsum(_begins(table, buckets)) - 1
+    since = table.column("_us").to_numpy() - table.column("_bucket").to_numpy() * span  # below 0 in the bucket before
+    x = table.column("_x").to_numpy().astype(float)  # null as nan
+    times = np.unique(since)
+    width = len(times) + 1
+    place = group * width + np.searchsorted(times, since)
+    asked = np.nonzero((since >= 0) & np.append(place[1:] != place[:-1], True))[0]
+    known = x == x
+    at, x, owner = place[known], x[known], group[known]
+    end = np.searchsorted(at, place[asked], side="right")
+    begin = np.searchsorted(at, group[asked] * width + np.searchsorted(times, since[asked] - span, side="left" if closed else "right"))
+    order = np.lexsort((x, owner))
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.arange(len(x)) - np.searchsorted(owner, owner)
+    sorted_x, base = x[order], np.searchsorted(owner, group[asked])
+    levels = _levels(rank)
+    n = end - begin
+    some = n > 0
+    picks = np.full((len(asked), 2 * len(probs)), np.nan)
+    for i, p in enumerate(probs):
+        low, high = _places(method, n[some], p)
+        picks[some, 2 * i] = sorted_x[base[some] + _selected(levels, begin[some], end[some], low)]
+        picks[some, 2 * i + 1] = picks[some, 2 * i]
+        between = high > low
+        to = np.nonzero(some)[0][between]
+        picks[to, 2 * i + 1] = sorted_x[base[to] + _selected(levels, begin[to], end[to], high[between])]
+    keys = table.select(list(buckets)).take(pa.array(asked)).combine_chunks()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(asked) + 1, dtype=np.int32) * (2 * len(probs)), pa.int32()), pa.array(picks.ravel()))
+    us = table.column("_us").to_numpy()[asked]
+    yield from pa.table([*keys.columns, pa.array(us), pa.array(n), lists], names=[*buckets, "_us", "_n", "_at"]).to_batches()
+
+
+def _levels(rank: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Zeros before each place on every bit of the ranks, from the highest bit, the ranks parted by the bits before."""
+    out = []
+    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
+        zero = (rank >> bit & 1) == 0
+        out.append((bit, np.concatenate([[0], np.cumsum(zero)])))
+        rank = np.concatenate([rank[zero], rank[~zero]])
+    return out
+
 
-    plain = values.withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
-    return plain.withColumn("_g", F.lit(0)).groupBy("_g", *keys).applyInArrow(work, schema)
+def _selected(levels: list[tuple[int, np.ndarray]], begin: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The rank that is the ``k``-th smallest, from 0, of each stretch."""
+    found = np.zeros(len(k), np.int64)
+    for bit, zeros in levels:
+        a, b = zeros[begin], zeros[end]
+        left = k < b - a
+        found |= np.where(left, 0, 1 << bit)
+        k = np.where(left, k, k - (b - a))
+        begin, end = np.where(left, a, zeros[-1] + begin - a), np.where(left, b, zeros[-1] + end - b)
+    return found
 
 
 def _by_digits(values: DataFrame, keys: list[str], span: int, probs: Sequence[float], method: str, closed: bool) -> DataFrame:
     base = 1 << BITS
-    plain = values.withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
+    plain = values
     counted = plain.where("_x is not null").groupBy(*keys, "_x").agg(F.lit(1).alias("_one"))
     slices = Slices(counted.drop("_one"), keys, ["_x"])
     placed = materialise(slices.done(slices.numbered(slices.df, "_d")).withColumn("_d", F.col("_d") - 1))

@@ -21,9 +21,10 @@ from pyspark.sql.window import Window, WindowSpec
 from tidewatch.session import input_bytes, is_small, materialise
 
 SLICE = "_slice"
-ROWS_PER_FRAME_BLOCK = 1_000_000
-#: Input bytes of a range, at most, where the size of the input is known.
-BYTES_PER_SLICE = 256 * 1024 * 1024
+ROWS_PER_FRAME_BLOCK = 100_000
+#: Input bytes of a range, at most, where the size of the input is known. Rows of columnar files take many times as much
+#: in memory, with what windows add to them, and a task sorts them twice for a fold from either side.
+BYTES_PER_SLICE = 8 * 1024 * 1024
 #: Spark reports the largest long for relations whose size it does not know.
 UNKNOWN_BYTES = 2 ** 60
 
@@ -49,10 +50,10 @@ class Slices:
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], slices: int | None = None):
         self.keys, self.order = list(keys), list(order)
         self.cut = not is_small(df)
+        self.count = (slices or slice_count(df)) if self.cut else 1
         if self.cut:
-            count = slices or slice_count(df)
             self.df = materialise(
-                df.repartitionByRange(count, *self.keys, *self.order)
+                df.repartitionByRange(self.count, *self.keys, *self.order)
                 .withColumn(SLICE, F.spark_partition_id())
             )
         else:
@@ -62,6 +63,11 @@ class Slices:
     def window(self) -> WindowSpec:
         return Window.partitionBy(SLICE, *self.keys).orderBy(*self.order)
 
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        """``df`` by range and key to as many tasks as there are ranges, where it is the table itself: a fixed number, because
+        tasks that are merged by their compressed size hold many ranges."""
+        return df.repartition(self.count, SLICE, *self.keys) if self.cut and df is self.df else df
+
     def _crossing(self, df: DataFrame) -> DataFrame:
         """Rows of ``df`` whose key is first or last in some range: no other key can cross a cut."""
         if not self.keys:
@@ -81,6 +87,7 @@ class Slices:
         """Running sum, min or max (``{name: (value, kind)}``) from the key's first row to each row, or from its last row ``back``
         to it; exact over all ranges, null before the first value."""
         inputs = {f"_in_{name}": value for name, (value, _) in folds.items()}
+        dealt = self._dealt(df).withColumns(inputs)
         df = df.withColumns(inputs)
         order = [F.desc(c) for c in self.order] if back else self.order
         frame = Window.partitionBy(SLICE, *self.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -92,7 +99,7 @@ class Slices:
         before = Window.partitionBy(*self.keys).orderBy(F.desc(SLICE) if back else SLICE).rowsBetween(Window.unboundedPreceding, -1)
         carry = totals.withColumns({f"_off_{n}": FOLDS[kind](f"_in_{n}").over(before) for n, (_, kind) in folds.items()})
         offsets = [f"_off_{n}" for n in folds]
-        df = self._with_carry(df, carry, offsets)
+        df = self._with_carry(dealt, carry, offsets)
         return df.withColumns({n: joined(kind, out[n], F.col(f"_off_{n}")) for n, (_, kind) in folds.items()}).drop(*inputs, *offsets)
 
     def running(self, df: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
@@ -187,6 +194,8 @@ class RowFrames:
                 F.when(place >= size - before, home + 1),
                 F.when((place < after) & (home > 0), home - 1)))
             df = (df.withColumn("_home", home).withColumn("_block", F.explode(targets)))
+            if slices.cut:
+                df = df.repartition(slices.count, *self.keys, "_block")
         else:
             df = df.withColumns({"_home": F.lit(0), "_block": F.lit(0)})
         self.df = df
@@ -226,6 +235,11 @@ class TimeFrames:
         return df.filter(F.col("_home") == F.col("_bucket")).drop("_home", "_bucket", "_us")
 
 
+def per_key(df: DataFrame) -> DataFrame:
+    """Values per key of a large table, written: their size is known then, so that few are broadcast and no key's rows go to one task."""
+    return df if is_small(df) else materialise(df)
+
+
 def same_keys_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` where null equals null; keeps the left key columns."""
     if not keys:

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.ordered import FOLDS, Slices, same_keys_join
+from tidewatch.functions.ordered import FOLDS, Slices, per_key, same_keys_join
 
 
 def micros(ts: str) -> Column:
@@ -53,7 +53,7 @@ def span_totals(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts:
     """
     keys = list(keys)
     centre = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_mid_{c}") for c in columns])
-    rows = same_keys_join(df, centre, keys, "left") if keys else df.crossJoin(F.broadcast(centre))  # one row
+    rows = same_keys_join(df, per_key(centre), keys, "left") if keys else df.crossJoin(F.broadcast(centre))  # one row
     folds = {}
     for c in columns:
         off = F.col(c).cast("double") - F.col(f"_mid_{c}")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions.expressions import attach, flag, one_row, period, seconds_between
 from tidewatch.functions.order_spans import span_quantiles
-from tidewatch.functions.ordered import SLICE, RowFrames, Slices, same_keys_join
+from tidewatch.functions.ordered import SLICE, RowFrames, Slices, per_key, same_keys_join
 from tidewatch.functions.quantiles import group_quantiles
 from tidewatch.functions.spans import span_count, span_folds, span_max, span_mean, span_min, span_slope, span_std, span_totals
 from tidewatch.operators.forecast import smoothing_forecast
@@ -203,7 +203,7 @@ def usage_patterns(points: DataFrame) -> DataFrame:
     minutes = (F.unix_micros(F.col(TS).cast("timestamp")) / 60e6)
     rows = rows.withColumns({"_time": F.when(F.col("value").isNotNull(), minutes), "_x": F.col("value").cast("double")})
     mid = rows.groupBy(KEY).agg(F.avg("_time").alias("_tm"), F.avg("_x").alias("_xm"))
-    rows = same_keys_join(rows, mid, [KEY], "left").withColumn("_xy", (F.col("_time") - F.col("_tm")) * (F.col("_x") - F.col("_xm"))).drop("_tm", "_xm")
+    rows = same_keys_join(rows, per_key(mid), [KEY], "left").withColumn("_xy", (F.col("_time") - F.col("_tm")) * (F.col("_x") - F.col("_xm"))).drop("_tm", "_xm")
     rows = span_totals(rows, [KEY], ["_time", "_x", "_xy"], TS, HOUR, closed=True)
     rows = rows.withColumns({"_n": span_count("_x"), "_mean": span_mean("_x"), "_sd": span_std("_x", sample=False), "_slope": span_slope("_time", "_x")}) \
         .drop("_time", "_x", "_xy", "_span__time", "_span__x", "_span__xy")

@@ -4,11 +4,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tidewatch.functions.ordered import RowFrames, Slices, TimeFrames
+from tidewatch.functions.ordered import RowFrames, Slices, TimeFrames, per_key
 from tidewatch.functions.quantiles import group_quantiles
 from tidewatch.functions.ranks import gini, with_ranks, with_running_share
 from tidewatch.functions.spacing import spaced
 from tidewatch.functions.spans import span_count, span_mean, span_std, span_totals
+from tidewatch.operators import clean, quality
 from tidewatch.session import SMALL_BYTES_KEY
 
 
@@ -150,3 +151,25 @@ def test_empty_and_single(spark, mode):
     one = spark.sql("select 1L as id, 'a' as k, timestamp_ntz'2024-01-01' as ts, 2.0D as x")
     assert group_quantiles(one, ["k"], ["x"], [0.5]).first()["x_p50"] == 2.0
     assert spaced(one, ["k"], "ts", "id", 60).count() == 1
+
+
+def test_memory_of_a_fold_does_not_grow_with_merged_tasks(spark):
+    """Windows of a fold keep the number of ranges they were dealt to, and key values are joined by their written size."""
+    spark.conf.set(SMALL_BYTES_KEY, "0")
+    rows = spark.range(300).select("id", (F.col("id") % 3).alias("k"))
+    cut = Slices(rows, ["k"], ["id"], slices=6)
+    plan = cut.running(cut.df, {"n": F.lit(1).cast("bigint")})
+    assert cut.count == 6 and "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.agg(F.sum("n")).first()[0] == 3 * 50 * 101
+    assert "Relation" in per_key(rows.groupBy("k").count())._jdf.queryExecution().analyzed().toString()
+    spark.conf.set(SMALL_BYTES_KEY, str(2 ** 26))
+
+
+def test_stage_scores_run_their_parts_once(spark):
+    """Overall scores, and the mean over stages, read the scored parts instead of the table."""
+    log = spark.createDataFrame([("a", 1.0, "2024-01-05"), ("b", 2.0, "x"), ("c", 3.0, None)], "QUERY_ID string, CREDITS_USED double, WHEN_AT string")
+    plan = quality.pipeline_scores({"raw": log})._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and "try_to_timestamp" not in plan
+    got = [r.t for r in spark.createDataFrame([("2024-01-05",), ("U-1",), ("2024-01-05 01:02:03",), ("2024-1-5",), (None,), ("12345",)], "v string")
+           .select(clean.parse_time(F.col("v")).cast("string").alias("t")).collect()]
+    assert got == ["2024-01-05 00:00:00", None, "2024-01-05 01:02:03", None, None, None]

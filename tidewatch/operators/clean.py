@@ -359,7 +359,8 @@ NUMBER_NAMES = ("CREDITS_USED", "BYTES_SCANNED", "ROWS_PRODUCED", "EXECUTION_TIM
 
 
 def parse_time(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS]).cast("timestamp_ntz")
+    """By the first of ``TIME_FORMATS`` that fits. All have two hyphens; a text without them is not tried, as each format that fails costs an exception."""
+    return F.when(c.like("%-%-%"), F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS])).cast("timestamp_ntz")
 
 
 def parse_boolean(c: Column) -> Column:

@@ -14,6 +14,7 @@ from tidewatch.functions.ordered import Slices, same_keys_join
 from tidewatch.functions.quantiles import quantile_row
 from tidewatch.operators.clean import numeric_columns, parse_number, parse_time, text_columns, time_columns
 from tidewatch.operators.usage import distincts
+from tidewatch.session import materialise
 
 # Thresholds of the validation pipeline.
 THRESHOLDS = {"completeness": 0.95, "consistency": 0.98, "accuracy": 0.99, "timeliness": 0.95, "validity": 0.97, "overall": 0.9}
@@ -265,6 +266,7 @@ def stage_scores(df: DataFrame, stage: str, schema: Mapping[str, ColumnRule] | N
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = materialise(out)  # a few rows; the overall score, and what stages add to it, would run every part again
     overall = out.agg(F.lit("overall").alias("dimension"), F.avg("score").alias("score"))
     return out.unionByName(overall).withColumn("stage", F.lit(stage))
 

@@ -78,6 +78,16 @@ def test_far_blocks_are_not_met(spark, monkeypatch):
         assert chosen.any() and not chosen[~near & ~straddles].any()
 
 
+def test_rows_equal_in_the_shared_columns(spark):
+    """Of rows that an incomplete row cannot tell apart only the k smallest ids are met, however many there are."""
+    rows = [(i, 1.0, 2.0, None if i % 20 == 0 else float(i), "x", i) for i in range(600)] + [(600 + i, 7.0, 2.0, 1.0, "x", i) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    bounds = nearest.Bounds(nearest.packed(df, COLUMNS, "id"), 3)
+    assert bounds.n[bounds.mask == 7].sum() <= 10
+    got = {r.id: r.c for r in impute_nearest_all(df, COLUMNS, "id").collect()}
+    assert {got[i] for i in range(0, 600, 20)} == {3.0}  # of the rows 1 to 5
+
+
 def test_none_and_no_values(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert impute_nearest_all(none, COLUMNS, "id").count() == 0

@@ -257,3 +257,24 @@ def test_pair_correlations_match_pandas(spark):
     want = df.toPandas().corr().to_numpy()
     assert got[0, 1] == pytest.approx(1.0) and got[0, 2] == pytest.approx(want[0, 2]) and got[1, 2] == pytest.approx(want[1, 2]) and math.isnan(got[0, 3])
     assert drop_correlated(df).columns == ["a", "c", "flat"]
+
+
+def test_cost_by_dimension_reads_once(spark, tmp_path):
+    """Large inputs are read once, equal in result to small ones; the cost's median follows from that of the credits."""
+    rows = [(f"w{i % 3}" if i % 11 else None, None if i % 7 == 0 else i * i % 101 / 7, float(i), float(i % 5), None if i % 3 == 1 else i % 13) for i in range(200)]
+    names = "WAREHOUSE_NAME string, CREDITS_USED double, EXECUTION_TIME_MS double, BYTES_SCANNED double, ROWS_PRODUCED long"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/facts")
+    facts = spark.read.parquet(f"{tmp_path}/facts")
+    small = cost.cost_by_dimension(facts, "WAREHOUSE_NAME")
+    spark.conf.set(SMALL_BYTES_KEY, "0")
+    try:
+        large = cost.cost_by_dimension(facts, "WAREHOUSE_NAME")
+        assert not set(large.inputFiles()) & set(facts.inputFiles())
+        got = {r["WAREHOUSE_NAME"]: r for r in large.collect()}
+    finally:
+        spark.conf.set(SMALL_BYTES_KEY, str(2 ** 26))
+    assert large.columns == small.columns
+    want = {r["WAREHOUSE_NAME"]: r for r in small.collect()}
+    assert got.keys() == want.keys() == {"w0", "w1", "w2"}
+    for k, row in want.items():
+        assert list(got[k])[1:] == pytest.approx(list(row)[1:])

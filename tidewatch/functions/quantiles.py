@@ -12,6 +12,8 @@ the built-in aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.ordered import Slices, same_keys_join
@@ -45,9 +47,20 @@ def group_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: l
     if method == "linear" and is_small(df):
         aggs = [F.expr(f"percentile(`{c}`, {p}D)").alias(name) for c, p, name in names]
         return df.groupBy(*keys).agg(*aggs)
+    return counted_quantiles(df, keys, columns, probs, method)
+
+
+def counted_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: list[float], method: str = "linear",
+                      scaled: Mapping[str, tuple[str, float]] | None = None) -> DataFrame:
+    """``group_quantiles`` of large inputs; ``scaled`` names further columns as one of ``columns`` times a factor above 0, whose
+    order is the same, so that their values are not counted again."""
+    scaled = scaled or {}
+    if any(factor <= 0 for _, factor in scaled.values()):
+        raise ValueError("a factor of 0 or less does not keep the order")
+    names = [(c, p, f"{c}_{label(p)}") for c in [*columns, *scaled] for p in probs]
     long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_metric"), F.col(c).cast("double").alias("_value"))
-        for c in columns])).alias("_m")).select(*keys, "_m.*")
+        F.struct(F.lit(i).alias("_metric"), F.col(c).cast("double").alias("_value"))
+        for i, c in enumerate(columns)])).alias("_m")).select(*keys, "_m.*")
     group = [*keys, "_metric"]
     # nulls count nothing, but keep a group without values as a row
     counted = long.groupBy(*group, "_value").agg(F.count("_value").alias("_n"))
@@ -65,14 +78,14 @@ def group_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: l
     placed = placed.select(*group, "_total", *picks)
     per_metric = placed.groupBy(*group, "_total").agg(
         *[F.max(f"_{side}{i}").alias(f"_{side}{i}") for i in range(len(probs)) for side in ("lo", "hi")])
-    values = []
-    for i, p in enumerate(probs):
-        share = positions(method, total, p)[2]
-        values.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share).alias(f"_q{i}"))
-    per_metric = per_metric.select(*group, *values)
-    return per_metric.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_metric") == c, F.col(f"_q{probs.index(p)}"))).alias(name)
-        for c, p, name in names])
+
+    def value(c: str, p: float) -> Column:
+        source, factor = scaled.get(c, (c, 1.0))
+        i = probs.index(p)
+        low, high = F.col(f"_lo{i}") * factor, F.col(f"_hi{i}") * factor
+        return F.max(F.when(F.col("_metric") == columns.index(source), low + (high - low) * positions(method, total, p)[2]))
+
+    return per_metric.groupBy(*keys).agg(*[value(c, p).alias(name) for c, p, name in names])
 
 
 def quantile_row(df: DataFrame, columns: list[str], probs: list[float], method: str = "linear") -> DataFrame:

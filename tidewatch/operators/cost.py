@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions.expressions import attach, flag, one_row, period, seconds_between
 from tidewatch.functions.ordered import Slices, same_keys_join
-from tidewatch.functions.quantiles import group_quantiles, label, quantile_row
+from tidewatch.functions.quantiles import counted_quantiles, group_quantiles, label, quantile_row
 from tidewatch.functions.ranks import gini, with_ranks, with_running_share
 from tidewatch.operators.temporal import PERIOD, UNITS
+from tidewatch.session import is_small, materialise
 
 # Price, currency, budgets, query cost classes, percentiles, window sizes.
 CREDIT_PRICE = 2.0
@@ -118,16 +119,19 @@ def cost_summary(df: DataFrame) -> DataFrame:
 
 
 def cost_by_dimension(df: DataFrame, dim: str) -> DataFrame:
-    """Statistics of credits, cost and the other metrics per value of one dimension."""
-    df = with_cost(df).dropna(subset=[dim])
+    """Statistics of credits, cost and the other metrics per value of one dimension; large inputs are read once."""
     others = ["EXECUTION_TIME_MS", "BYTES_SCANNED", "ROWS_PRODUCED"]
+    small = is_small(df)
+    df = df.dropna(subset=[dim])
+    df = with_cost(df if small else materialise(df.select(dim, CREDITS, *others)))
     six = (("sum", F.sum), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
     agg = df.groupBy(dim).agg(
         *[f(c).alias(f"{c}_{n}") for c in (CREDITS, COST) for n, f in six],
         F.count(CREDITS).alias(f"{CREDITS}_count"),
         *[f(c).alias(f"{c}_{n}") for c in others for n, f in (("sum", F.sum), ("mean", F.avg))])
-    medians = group_quantiles(df, [dim], [CREDITS, COST, *others], [0.5])
-    medians = medians.withColumnsRenamed({f"{c}_p50": f"{c}_median" for c in (CREDITS, COST, *others)})
+    medians = group_quantiles(df, [dim], [CREDITS, COST, *others], [0.5]) if small else \
+        counted_quantiles(df, [dim], [CREDITS, *others], [0.5], scaled={COST: (CREDITS, CREDIT_PRICE)})
+    medians = medians.select(dim, *[F.col(f"{c}_p50").alias(f"{c}_median") for c in (CREDITS, COST, *others)])
     return same_keys_join(agg, medians, [dim], "left")
 
 

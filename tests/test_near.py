@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tidewatch.operators import near
 from tidewatch.operators.clean import drop_near
 from tidewatch.operators.near import Classes, near_copies, row_bands, shingles
 
@@ -81,3 +82,41 @@ def test_shingles_and_empty_tables(spark):
     assert (shingles("A b\tc") == shingles("a B c")).all() and shingles("a b")[0] != shingles("a b c")[0]
     none = spark.createDataFrame([], "id bigint, text string")
     assert near_copies(none, "id", "text").count() == 0 and drop_near(none, "id", "text").count() == 0
+
+
+def test_texts_are_compared_once_for_all_rounds(spark, monkeypatch):
+    """A band of 20 rows takes five rounds; only the texts of likely pairs are compared, and those once."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(300)}" for _ in range(600)]
+    rows = [" ".join(base[:at] + [f"x{at}"] + base[at + 1:]) for at in range(5, 595, 30)]
+    rows += [" ".join(f"v{rng.randrange(300)}" for _ in range(100)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(rows, 1)), "id bigint, text string")
+    sizes, plain = [], near.similar
+
+    def counted(pairs, texts, t, width):
+        sizes.append(texts.count())
+        return plain(pairs, texts, t, width)
+
+    monkeypatch.setattr(near, "similar", counted)
+    got = {r.id for r in near_copies(frame, "id", "text", 0.95).collect()}
+    assert got == set(range(2, 21)) and len(sizes) == 1 and sizes[0] <= 20
+
+
+def test_rows_go_on_after_likely_leaders_that_are_not_near(spark, monkeypatch):
+    monkeypatch.setattr(near, "likely", lambda pairs, rows, t: pairs)
+    rows = texts(2)[:40]
+    first = {}
+    for i, x in rows:
+        if x is not None:
+            first.setdefault(x, i)
+    want = {i for x, i in first.items() for y, j in first.items() if j < i and jaccard(x, y) >= 0.8}
+    got = near_copies(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", 0.8).collect()
+    by = dict(rows)
+    assert {r.id for r in got} == want and all(jaccard(by[r.id], by[r.leader]) >= 0.8 for r in got)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "g h"), (2, "a b c d e f"), (2, "A B c d e f"), (None, "a b c d e F"), (3, "g H"), (3, "g H"), (4, None), (None, None)]
+    frame = spark.createDataFrame(rows, "id bigint, text string")
+    assert {(r.id, r.leader) for r in near_copies(frame, "id", "text").collect()} == {(2, 1), (3, 1)}
+    assert sorted(r.id for r in drop_near(frame, "id", "text").collect()) == [1, 1, 4]

@@ -13,7 +13,7 @@ from tidewatch.functions.expressions import attach, flag, one_row, stats_of
 from tidewatch.functions.ordered import Slices, same_keys_join
 from tidewatch.functions.quantiles import label, quantile_row
 from tidewatch.functions.spacing import spaced
-from tidewatch.operators.near import near_copies
+from tidewatch.operators.near import digest, near_copies
 from tidewatch.operators.usage import modes
 
 NUMERIC = ("double", "float", "long", "integer", "short", "byte", "decimal")
@@ -71,7 +71,7 @@ def drop_near(df: DataFrame, row_id: str, text: str | None, similarity: float =
     """Remove exact copies and near copies of an earlier row; exact dedup when there is no text column."""
     if text is None:
         return drop_exact(df)
-    first = df.groupBy(text).agg(F.min(row_id).alias(row_id)).select(row_id)
+    first = df.groupBy(digest(text)).agg(F.min(row_id).alias(row_id)).select(row_id)
     near = near_copies(df, row_id, text, similarity, shingle).select(row_id).distinct()
     return df.join(first, row_id, "left_semi").join(near, row_id, "left_anti")
 

@@ -9,8 +9,10 @@ by classes of sizes that grow by 1 / t; a row has bands for its class and for th
 A pair must also have similar sizes and, of four times as many bands, at most d that differ;
 a byte for each of these bands decides that before any text is read. What is left is compared on
 the whole texts. A row meets the earlier rows of its bands, smallest ids first, until one is
-near: each round takes twice as many of a band as the one before, and only rows that found none
-go on. Ids and bands are shuffled each round, texts of the last pairs alone.
+likely near: each round takes twice as many of a band as the one before, and only rows that found none
+go on. After all rounds the likely pairs are compared on their texts, a row's smallest leaders first; the few
+rows whose likely leaders were not near take up their rounds again. So the rounds shuffle ids and
+bands alone, and texts are shuffled once for all rounds, those of the likely pairs only. Equal texts meet by a digest.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.session import materialise
@@ -95,26 +97,34 @@ def row_bands(h: np.ndarray, classes: Classes) -> tuple[list[int], int, bytes, b
     return np.concatenate(keys).view(np.int64).tolist(), own, *fine
 
 
+def digest(text: str) -> Column:
+    """SHA-256 of a text: stands for the text where equal texts meet."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def described(texts: DataFrame, t: float, width: int) -> DataFrame:
-    """_id, size, class, fine (of the own class), fine_next and bands of each text (_id, _t) with a word."""
+    """_id, digest, size, class, fine (of the own class), fine_next and bands of each text (_id, digest, _t) with a word."""
     classes = Classes(t)
-    schema = "_id bigint, size int, class int, fine binary, fine_next binary, bands array<bigint>"
+    schema = f"_id {texts.schema['_id'].dataType.simpleString()}, digest binary, size int, class int, fine binary, fine_next binary, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                rows = []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                kept, rows = [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
                     h = shingles(text, width)
                     if len(h):
                         keys, own, fine, more = row_bands(h, classes)
-                        rows.append((i, len(h), own, fine, more, keys))
-                columns = list(zip(*rows)) or [[]] * 6
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_id", "size", "class", "fine", "fine_next", "bands"])
+                        kept.append(i)
+                        rows.append((len(h), own, fine, more, keys))
+                columns = list(zip(*rows)) or [[]] * 5
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                ids = part.select([0, 1]).take(pa.array(kept, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*ids.columns, *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                                                 names=["_id", "digest", "size", "class", "fine", "fine_next", "bands"])
 
-    return texts.select("_id", "_t").mapInArrow(run, schema)
+    return texts.select("_id", "digest", "_t").mapInArrow(run, schema)
 
 
 def likely(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
@@ -154,26 +164,61 @@ def similar(pairs: DataFrame, texts: DataFrame, t: float, width: int) -> DataFra
     return both.select("_id", "leader", "_t", "_other").mapInArrow(run, "_id bigint, leader bigint, similarity double")
 
 
+def likely_leaders(left: DataFrame, ranked: DataFrame, rows: DataFrame, t: float) -> DataFrame | None:
+    """(_id, leader, start): the likely pairs of the first round, from a row's ``_from`` on, in which it has any."""
+    found, start = None, left.agg(F.min("_from")).first()[0]
+    while start is not None:
+        asking = left.where((F.col("rank") > start) & (F.col("_from") <= start))
+        leaders = ranked.where((F.col("rank") >= start) & (F.col("rank") < 2 * start)).select("band", F.col("_id").alias("leader"))
+        pairs = materialise(asking.join(leaders, "band").where(F.col("_id") > F.col("leader")).select("_id", "leader").distinct())
+        near = materialise(likely(pairs, rows, t).withColumn("start", F.lit(start).cast("bigint")))
+        found = near if found is None else found.unionByName(near)
+        start *= 2
+        left = materialise(left.where(F.col("rank") > start).join(near.select("_id").distinct(), "_id", "left_anti"))
+        if left.isEmpty():
+            break
+    return found
+
+
+def nearest_leaders(asked: DataFrame, texts: DataFrame, t: float, width: int) -> DataFrame:
+    """The pairs that are near, of each row's smallest leaders, twice as many each time, until one of a row's is near."""
+    numbered = F.row_number().over(Window.partitionBy("_id").orderBy("leader"))
+    rest, found, at = materialise(asked.select("_id", "leader").withColumn("_n", numbered)), None, 1
+    while found is None or not rest.isEmpty():
+        near = materialise(similar(rest.where(F.col("_n") < 2 * at).select("_id", "leader"), texts, t, width))
+        found = near if found is None else found.unionByName(near)
+        rest = materialise(rest.where(F.col("_n") >= 2 * at).join(near.select("_id").distinct(), "_id", "left_anti"))
+        at *= 2
+    return found
+
+
 def near_copies(df: DataFrame, row_id: str, text: str, similarity: float = 0.95, width: int = SHINGLE) -> DataFrame:
     """(row_id, leader, similarity): each row whose text is near that of an earlier row, with one such row.
 
     Rows of equal text count as their smallest id; nulls and texts without words are near nothing. Every row that has an earlier
     near row is found; leaders may be near copies themselves.
     """
-    texts = materialise(df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("_t")).agg(F.min(row_id).cast("bigint").alias("_id")).select("_id", "_t"))
-    rows = materialise(described(texts, similarity, width))
+    texts = df.filter(F.col(text).isNotNull()).select(F.col(row_id).alias("_id"), F.col(text).alias("_t"), digest(text).alias("digest"))
+    same = [F.first(c).alias(c) for c in ("size", "class", "fine", "fine_next", "bands")]  # alike in rows of equal text
+    rows = materialise(described(texts, similarity, width).groupBy("digest").agg(F.min("_id").cast("bigint").alias("_id"), *same))
+    texts = texts.withColumn("_id", F.col("_id").cast("bigint"))
     band = Window.partitionBy("band")
     bands = rows.select("_id", F.explode("bands").alias("band"))
     ranked = bands.withColumns({"n": F.count("*").over(band), "rank": F.row_number().over(band.orderBy("_id"))})
-    ranked = materialise(ranked.where("n > 1"))
-    most = ranked.agg(F.max("n")).first()[0] or 0
-    found, left, start = None, ranked, 1
-    while found is None or start < most:
-        leaders = ranked.where((F.col("rank") >= start) & (F.col("rank") < 2 * start)).select("band", F.col("_id").alias("leader"))
-        pairs = left.where(F.col("rank") > start).join(leaders, "band").where(F.col("_id") > F.col("leader")).select("_id", "leader").distinct()
-        near = materialise(similar(likely(pairs, rows, similarity), texts, similarity, width))
+    ranked = materialise(ranked.where("n > 1").drop("n"))
+    rows = materialise(rows.drop("bands").join(ranked.select("_id").distinct(), "_id", "left_semi"))
+    found, left = None, ranked.withColumn("_from", F.lit(1).cast("bigint"))
+    while True:
+        asked = likely_leaders(left, ranked, rows, similarity)
+        if asked is None:
+            break
+        ids = asked.select("_id").unionByName(asked.select(F.col("leader").alias("_id")))
+        asked_texts = texts.join(rows.select("_id", "digest").join(ids, "_id", "left_semi"), ["_id", "digest"], "left_semi")
+        near = nearest_leaders(asked, materialise(asked_texts.dropDuplicates(["_id", "digest"]).select("_id", "_t")), similarity, width)
         found = near if found is None else found.unionByName(near)
-        left = left.join(near.select("_id").distinct(), "_id", "left_anti")
-        start *= 2
+        missed = asked.join(near, "_id", "left_anti").groupBy("_id").agg((F.max("start") * 2).alias("_from"))
+        left = materialise(ranked.join(missed, "_id").where(F.col("rank") > F.col("_from")))
+    if found is None:
+        return rows.select(F.col("_id").alias(row_id), F.col("_id").alias("leader"), F.lit(0.0).alias("similarity")).limit(0)
     first = Window.partitionBy("_id").orderBy("leader")
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("_id").alias(row_id), "leader", "similarity")

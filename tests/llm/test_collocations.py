@@ -106,6 +106,28 @@ def test_small_buffers_blocks_and_a_full_bitmap(spark, monkeypatch):
     assert same_rows(Collocations(table(spark, corpus()), 3).best().drop("path").collect(), want)
 
 
+def test_edges_only_where_three_words_stand_together_often(spark, monkeypatch):
+    rows = [(f"a{i} mid b{j}", "en") for i in range(20) for j in range(20)] + [("all the same", "en")] * 20  # neighbours 20 times, three words once
+    made, real = [], collocations.edges
+    monkeypatch.setattr(collocations, "edges", lambda *of: made.extend(real(*of).collect()) or real(*of))
+    found = Collocations(table(spark, rows), 20).best().drop("path").collect()
+    assert same_rows(found, plain(rows, 20, 2000)) and len(found) == 41
+    assert sum(r.n for r in made) == 20 and len({r[:5] for r in made}) == 1
+
+
+def test_rows_are_added_up_whatever_their_hashes(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(0, 4, 500).astype(np.uint64) << np.uint64(62) | np.uint64(1) for _ in range(3)]
+    rows, n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+    want = {(*map(int, r), int(m)) for r, m in zip(rows, n)}
+    for mix in (collocations.mixed, lambda v: v * np.uint64(0)):
+        monkeypatch.setattr(collocations, "mixed", mix)
+        got, n = collocations.added_rows(columns)
+        assert len(n) == len(want) and {tuple(map(int, r)) for r in zip(*got, n)} == want
+
+
 def test_scores_past_64_bits(spark):
     rows = [(10**11 + 7, 10**13 + 9, 3 * 10**11 + 1, 2 * 10**11 + 11), (10**12, 10**15, 10**12, 10**12 + 3), (100, 100, 100, 100)]
     got = spark.createDataFrame(rows, "a bigint, n bigint, l bigint, r bigint").select(

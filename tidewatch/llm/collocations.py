@@ -4,14 +4,16 @@ Texts are cut at punctuation and line ends into pieces and those into words; eve
 per language. Nodes are runs of ``ORDER - 1`` words, edges are runs of ``ORDER`` words with
 their number of occurrences. Where a piece ends, the run is filled up with blanks: these
 edges into the end are the corrections that make a node's count the sum of its outgoing
-edges. So the counts of all shorter runs follow from the edges level by level, and each
-position of the corpus is one edge.
+edges. So the counts of runs of three words or more follow from the edges.
 
-Words that stand side by side less than ``least`` times are in no phrase together, so an edge ends
-between them: all neighbours of the corpus are counted first, and those that reach ``least`` go to
-the tasks as a bitmap of fixed size; what it lets through by chance only adds edges that are
-counted and dropped. Single words are counted with their spelling in a pass of their own. All these
-are added up in the task before they are shuffled, so a passage repeated everywhere is one row a task.
+Words that stand together less than ``least`` times are in no phrase together, so an edge ends
+between them. All neighbours of the corpus are counted first, with the kind of the word that comes
+next: a part of its key. This is one row for each place of the corpus, less those that repeat within a task, so
+it grows as the corpus does. What reaches ``least`` gives the counts of two words, and three words whose
+kind reaches it go to the tasks as a bitmap of fixed size: only they make edges. A kind, or the bitmap, that
+lets others through by chance only adds edges that are counted and dropped. Single words are
+counted with their spelling in a pass of their own. All these are added up in the task before
+they are shuffled, so a passage repeated everywhere is one row a task.
 
 A run of words is absorbed by a longer one that holds it as often as it occurs: on that side its
 node has one edge with all its flow. Edges that follow each other through such nodes are
@@ -55,6 +57,8 @@ VOCABULARY = 300_000
 ROWS = 1 << 15
 GRAM = [f"w{k}" for k in range(1, ORDER + 1)]
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of words that follow two others: a part of their keys, the end of a piece, and any of these.
+END, ANY = 1 << 16, -1
 
 
 class Block:
@@ -74,10 +78,22 @@ class Block:
         self.keys = np.maximum(mixed(keys ^ languages[self.languages]), np.uint64(1))  # 0 is the end of a piece
 
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a word is followed by another of its piece, and the hashes of all neighbours."""
-        with np.errstate(over="ignore"):
-            return self.pieces[1:] == self.pieces[:-1], mixed(self.keys[:-1] * FACTOR + self.keys[1:])
+    def follows(self) -> np.ndarray:
+        """Whether a word is followed by another of its piece."""
+        return self.pieces[1:] == self.pieces[:-1]
+
+    def kinds(self) -> np.ndarray:
+        """The kind of the word after the next, for every word but the last."""
+        out = np.full(max(len(self.keys) - 1, 0), END, np.int64)
+        held = np.flatnonzero(self.pieces[2:] == self.pieces[:-2])
+        out[held] = (self.keys[held + 2] & np.uint64(END - 1)).astype(np.int64)
+        return out
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a word is followed by two others of its piece, and the hashes of all three neighbours."""
+        first, second, third = self.keys[:-2], self.keys[1:-1], self.keys[2:]
+        turned = second << np.uint64(29) | second >> np.uint64(35)
+        return self.pieces[2:] == self.pieces[:-2], first ^ turned ^ (third & np.uint64(END - 1)) << np.uint64(48)
 
     def word(self, at: int) -> str:
         return self.data[self.starts[at]:self.starts[at] + self.sizes[at]].decode()
@@ -115,28 +131,65 @@ def languages(docs: DataFrame) -> DataFrame:
     return take(docs, text="string", lang="string").withColumn("lang", F.coalesce("lang", F.lit(NO_LANGUAGE)))
 
 
-def frequent_pairs(texts: DataFrame, least: int) -> Shared:
-    """A bitmap of the neighbours that occur ``least`` times or more."""
+def added_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of ``columns`` and how often each occurs; equal first words side by side, which shuffles in less room."""
+    with np.errstate(over="ignore"):
+        total = columns[0]
+        for c in columns[1:]:
+            total = mixed(total * FACTOR + c)
+    total = columns[0] >> np.uint64(48) << np.uint64(48) | total >> np.uint64(16)
+    order = np.argsort(total)
+    total, rows = total[order], [c[order] for c in columns]
+    same = total[1:] == total[:-1]
+    if any((c[1:] != c[:-1])[same].any() for c in rows):  # two rows with one hash
+        whole, n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+        return list(whole.T), n
+    begins = np.flatnonzero(np.concatenate(([True], ~same)))
+    return [c[begins] for c in rows], np.diff(begins, append=len(total))
+
+
+NEXT = "w1 bigint, w2 bigint, next int, n bigint"
+
+
+def frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
+    """``NEXT`` of the neighbours that occur ``least`` times or more, and of the kinds of words that follow them as often.
+
+    A row with the kind ``ANY`` is the count of the two words. The kind of a third word is a part of its key, so the
+    count of a kind is at least that of each of its words.
+    """
+    names = ["w1", "w2", "next", "n"]
+
     def run(batches):
         release()
-        held, count = [], 0
+        held: list[list[np.ndarray]] = []
+        count = 0
 
         def added():
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], names=["pair", "n"])
+            (first, second, kinds), n = added_rows([np.concatenate([h[k] for h in held]) for k in range(3)])
+            return in_parts(pa.RecordBatch.from_arrays([
+                pa.array(np.ascontiguousarray(first).view(np.int64)), pa.array(np.ascontiguousarray(second).view(np.int64)),
+                pa.array(kinds.astype(np.int32)), pa.array(n)], names=names))
 
         for block, _ in blocks(batches):
-            follows, pairs = block.pairs()
-            held.append(pairs[follows])
-            count += len(held[-1])
+            at = np.flatnonzero(block.follows())
+            held.append([block.keys[at], block.keys[at + 1], block.kinds()[at].astype(np.uint64)])
+            count += len(at)
             if count >= BUFFER:
-                yield from in_parts(added())
+                yield from added()
                 held, count = [], 0
         if count:
-            yield from in_parts(added())
+            yield from added()
 
-    counts = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    return bitmap.shared(F.col("pair"), counts.where(F.col("n") >= least))
+    # Dealt by the two words, so that their own count needs no other shuffle.
+    counts = texts.mapInArrow(run, NEXT).repartition("w1", "w2").groupBy("w1", "w2", "next").agg(F.sum("n").alias("n"))
+    kinds = F.when((F.col("next") != END) & (F.col("n") >= least), F.array(F.lit(ANY), "next")).otherwise(F.array(F.lit(ANY)))
+    return counts.select("w1", "w2", F.explode(kinds).alias("next"), "n").groupBy("w1", "w2", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def triple_hash() -> Column:
+    """What ``Block.triples`` makes of the keys of two words and the kind of a third."""
+    turned = F.shiftleft("w2", 29).bitwiseOR(F.shiftrightunsigned("w2", 35))
+    return F.col("w1").bitwiseXOR(turned).bitwiseXOR(F.shiftleft(F.col("next").cast("bigint"), 48))
 
 
 WORDS = "key bigint, n bigint, lang string, word string"
@@ -185,21 +238,8 @@ def frequent_words(texts: DataFrame, least: int) -> DataFrame:
 EDGES = ", ".join(f"{w} bigint" for w in GRAM) + ", n bigint"
 
 
-def added_edges(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of ``columns`` and how often each occurs."""
-    with np.errstate(over="ignore"):
-        total = columns[0]
-        for c in columns[1:]:
-            total = mixed(total * FACTOR + c)
-    _, first, place, n = np.unique(total, return_index=True, return_inverse=True, return_counts=True)
-    if all((c == c[first][place]).all() for c in columns):
-        return [c[first] for c in columns], n
-    rows, n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)  # two rows with one hash
-    return list(rows.T), n
-
-
-def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
-    """Edges (words, blanks as 0) and their counts, from every word that a frequent neighbour follows."""
+def edges(texts: DataFrame, triples: Shared) -> DataFrame:
+    """Edges (words, blanks as 0) and their counts, from every word that begins three neighbours of ``triples``."""
     names = [*GRAM, "n"]
 
     def run(batches):
@@ -208,19 +248,19 @@ def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
         count = 0
 
         def added():
-            grams, n = added_edges([np.concatenate([h[k] for h in held]) for k in range(ORDER)])
-            return in_parts(pa.RecordBatch.from_arrays([*(pa.array(g.view(np.int64)) for g in grams), pa.array(n)], names=names))
+            grams, n = added_rows([np.concatenate([h[k] for h in held]) for k in range(ORDER)])
+            return in_parts(pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(g).view(np.int64)) for g in grams), pa.array(n)], names=names))
 
         for block, _ in blocks(batches):
-            follows, hashed = block.pairs()
+            follow, hashed = block.triples()
             linked = np.zeros(len(block.keys) + ORDER, bool)
-            linked[:len(hashed)] = follows & bitmap.holds(pairs.value, hashed)
-            keys = np.append(block.keys, np.zeros(ORDER, np.uint64))
+            linked[:len(hashed)] = follow & bitmap.holds(triples.value, hashed)
             at = np.flatnonzero(linked)
-            grams, on = [keys[at], keys[at + 1]], np.ones(len(at), bool)
-            for k in range(1, ORDER - 1):
+            keys = np.append(block.keys, np.zeros(ORDER, np.uint64))
+            grams, on = [keys[at], keys[at + 1], keys[at + 2]], np.ones(len(at), bool)
+            for k in range(1, ORDER - 2):
                 on = on & linked[at + k]
-                grams.append(np.where(on, keys[at + k + 1], np.uint64(0)))
+                grams.append(np.where(on, keys[at + k + 2], np.uint64(0)))
             held.append(grams)
             count += len(at)
             if count >= BUFFER:
@@ -232,28 +272,24 @@ def edges(texts: DataFrame, pairs: Shared) -> DataFrame:
     return texts.mapInArrow(run, EDGES)
 
 
-def counted(graph: DataFrame, words: DataFrame, least: int) -> DataFrame:
+def counted(graph: DataFrame, pairs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """(words, f) of all runs of up to ``ORDER`` words that occur ``least`` times or more.
 
-    The count of a run is the sum of the edges that leave it, those into the end of a piece among them.
+    The count of a run of three words or more is the sum of the edges that begin with it, those that end early among them.
     One plan for all sizes, as a union of levels would read the texts once each.
     """
     alone = words.where("word is not null").select(F.array("key").alias("words"), F.col("n").alias("f"))
+    two = pairs.where(F.col("next") == ANY).select(F.array("w1", "w2").alias("words"), F.col("n").alias("f"))
     zero = F.lit(0).cast("bigint")
-    start = lambda size, *w: F.struct(*[x.alias(name) for x, name in zip(w, "cde")], (F.lit(size) if isinstance(size, int) else size).alias("size"))
-    c, d, e = (F.col(w) for w in GRAM[2:])
+    d, e = (F.col(w) for w in GRAM[3:])
     # Edges that begin with the same three words are dealt together: the runs of three to five words need no other shuffle.
     parts = F.array_compact(F.array(F.struct(zero.alias("d"), zero.alias("e"), F.lit(3).alias("size")),
                                     F.when(d != 0, F.struct(d.alias("d"), zero.alias("e"), F.lit(4).alias("size"))),
                                     F.when(e != 0, F.struct(d.alias("d"), e.alias("e"), F.lit(5).alias("size")))))
-    level = graph.repartition(*GRAM[:3]).select("w1", "w2", "w3", "n", F.explode(parts).alias("p")).select("w1", "w2", "w3", "n", "p.*")
-    level = level.groupBy("w1", "w2", "w3", "d", "e", "size").agg(F.sum("n").alias("n"))
-    # What all runs of three give their first two words; of the longer ones, those that are frequent go on as they are.
-    parts = F.array_compact(F.array(F.when(F.col("size") == 3, start(2, zero, zero, zero)),
-                                    F.when((c != 0) & (F.col("n") >= least), start(F.col("size"), c, F.col("d"), F.col("e")))))
-    level = level.select("w1", "w2", "n", F.explode(parts).alias("p")).select("w1", "w2", "n", "p.*")
-    level = level.groupBy("w1", "w2", "c", "d", "e", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return alone.unionByName(level.select(F.slice(F.array("w1", "w2", "c", "d", "e"), 1, F.col("size")).alias("words"), "f"))
+    whole = graph.repartition(*GRAM[:3]).groupBy(*GRAM).agg(F.sum("n").alias("n"))
+    level = whole.select(*GRAM[:3], "n", F.explode(parts).alias("p")).select(*GRAM[:3], "n", "p.*")
+    level = level.groupBy(*GRAM[:3], "d", "e", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return alone.unionByName(two).unionByName(level.select(F.slice(F.array(*GRAM[:3], "d", "e"), 1, F.col("size")).alias("words"), "f"))
 
 
 def absorbed(counts: DataFrame) -> DataFrame:
@@ -313,9 +349,10 @@ class Collocations:
     def __init__(self, docs: DataFrame, least: int = LEAST):
         texts = languages(docs)
         words = materialise(frequent_words(texts, least))
-        pairs = frequent_pairs(texts, least)
-        self.counts = materialise(counted(edges(texts, pairs), words, least))
-        pairs.drop()
+        pairs = materialise(frequent_pairs(texts, least))
+        triples = bitmap.shared(triple_hash(), pairs.where(F.col("next") != ANY))
+        self.counts = materialise(counted(edges(texts, triples), pairs, words, least))
+        triples.drop()
         self.words = words.where("word is not null").select("key", "lang", "word")
         self.sizes = words.where("word is null").select("lang", "n")
 

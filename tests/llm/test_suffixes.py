@@ -103,3 +103,59 @@ def test_query_columns(spark, tmp_path):
     got = op12(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert same_rows(got.collect(), plain(rows()))
+
+
+def test_whole_pieces_of_copies_go_before_the_strings(spark, monkeypatch):
+    made = [(i, " ".join([sentence(k % 7 + 900, 300), f"edit {i} of {k}", sentence(k % 7 + 950, 300)])) for k, i in enumerate(range(300, 0, -3))]
+    seen = {}
+
+    def counted(parts, real=suffixes.shared_keys):
+        seen["left"] = sum(len(r.part) for r in parts.collect())
+        return real(parts)
+
+    monkeypatch.setattr(suffixes, "shared_keys", counted)
+    assert same_rows(checked(spark, made), plain(made))
+    assert seen["left"] < 0.4 * sum(len(t) for _, t in made)
+
+
+def test_shares_follow_the_strings(spark, monkeypatch):
+    seen = {}
+
+    def dealt_to(parts, shares, real=suffixes.repeated):
+        found = real(parts, shares)
+        seen["tasks"] = found.rdd.getNumPartitions()
+        return found
+
+    monkeypatch.setattr(suffixes, "repeated", dealt_to)
+    monkeypatch.setattr(suffixes, "SHARE", 100)
+    assert same_rows(checked(spark, rows()), plain(rows()))
+    assert seen["tasks"] > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("log_piece, least", [(0, 1), (2, 3), (4, 64)])
+def test_pieces_cover_all_strings_and_follow_the_bytes(spark, monkeypatch, log_piece, least):
+    monkeypatch.setattr(suffixes, "LOG_PIECE", log_piece)
+    monkeypatch.setattr(suffixes, "LEAST_PIECE", least)
+    parts = [t.encode() for _, t in rows() if t and len(t.encode()) >= 50]
+    owner, first, last = suffixes.pieces(parts)
+    assert [(n, p) for n, a, b in zip(owner, first, last) for p in range(a, b)] == [(n, p) for n, t in enumerate(parts) for p in range(len(t) - 49)]
+    assert all(b - a >= min(least, len(parts[n]) - 49) or b == len(parts[n]) - 49 for n, a, b in zip(owner, first, last))
+    alone = [x for t in parts for x in zip(*suffixes.pieces([t])[1:])]
+    assert alone == list(zip(first, last))
+    assert same_rows(checked(spark, rows()), plain(rows()))
+
+
+def test_bitmaps_follow_what_they_hold(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    values = rng.integers(-1 << 63, (1 << 63) - 1, 40_000)
+    others = rng.integers(-1 << 63, (1 << 63) - 1, 40_000)
+    rows = spark.createDataFrame([(int(v),) for v in np.concatenate([values, values[:9_000], values[:5_000]])], "v bigint").repartition(3)
+    bits = bitmap.sized_of(rows["v"], rows).value
+    assert bitmap.holds(bits, values).all() and bitmap.holds(bits, others).mean() < 0.1 and len(bits) < 1 << 18
+    packs = rows.mapInArrow(lambda batches: bitmap.packed((b.column(0).to_numpy() for b in batches), 700), bitmap.PACKS)
+    twice = bitmap.sized(packs, several=True).value
+    assert bitmap.holds(twice, values[:9_000]).all() and bitmap.holds(twice, values[9_000:]).mean() < 0.1
+    monkeypatch.setattr(bitmap, "LOG_MOST", 15)
+    full = bitmap.sized_of(rows["v"], rows).value
+    assert len(full) == 1 << 12 and bitmap.holds(full, values).all()
+    assert not bitmap.holds(bitmap.sized_of(rows["v"], rows.where("false")).value, others).any()

@@ -1,12 +1,17 @@
 """Removal of long repeated strings, by a logarithmic family of suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a
-smaller id. Strings are compared where they can be equal only: each has a key, the smallest
+smaller id. First texts are cut into pieces of some hundred strings, at places that eight bytes
+tell, and dealt as hashes of the pieces: those that stand in a smaller document as a whole go. A
+string of such a piece starts in a smaller document, and the smallest document that has it keeps
+it, so only the pieces that are left are looked at again.
+
+Their strings are compared where they can be equal only: each has a key, the smallest
 hash of its ``SAMPLE``-byte parts, and neighbouring strings with one key are one stretch of
-text. A first pass counts the documents of each key. Stretches whose key a second document
-has are dealt by key, as hashes: those that stand in a smaller document as a whole go. What is
+text. What is left of the texts is written with the keys, which are then counted. Stretches whose key
+stands elsewhere too are dealt by key, as hashes: those that stand in a smaller document as a whole go. What is
 left, each distinct stretch once, is dealt with its text if another stretch has its key. So
-unique text is never shuffled, and a copied one as hashes only. A stretch that
+unique text is never shuffled, and a copied one as hashes only. A piece or stretch that
 the same task has met in a smaller document is removed there and then, so a passage repeated
 everywhere is sent once a task.
 
@@ -17,9 +22,9 @@ levels; what stands there has started in a smaller document. Its new strings the
 and levels of equal size are merged, so there are few, and each string is moved a logarithmic
 number of times. A level holds texts and positions, not the strings themselves.
 
-Which keys two documents have, and which stretches need their texts, goes to the tasks as bitmaps of
-fixed size; what they let through by chance is sent for nothing. Rows are known by their id and 32
-hashed bits of the text; stretches are equal if key and hash are, 128 bits.
+Which pieces stay, which keys stand twice, and which stretches need their texts, goes to the tasks as bitmaps
+that grow with what they hold, to 64 MB; what they let through by chance is sent for nothing. Rows are known by
+their id and 32 hashed bits of the text; pieces are equal if 128 bits of hash are, stretches if 40 bits of key and 64 of hash are.
 
 Defined cases: null and empty texts have no bytes; of documents with one id neither is smaller; a
 null doc_id is smaller than none and greater than none, so such a row stays whole; repeated rows
@@ -35,22 +40,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.llm import bitmap
 from tidewatch.llm.common import SLICE_ROWS, Shared, _schema, as_batch, in_parts, mixed, release, signed, take, to_arrow_schema
-from tidewatch.session import materialise
+from tidewatch.session import drop_path, materialise, scratch_path
 
 LENGTH = 50
 SAMPLE = 20
 #: Bytes of text hashed at a time, small enough for a processor's cache; a longer text is cut with an overlap.
-BLOCK = 1 << 18
-#: Strings of a stretch, at most.
-STRETCH = 256
-#: Keys that a task adds up, and stretches that it compares, before it hands them on.
-KEYS, STRETCHES = 1_500_000, 120_000
-#: Strings of a batch, about; strings read from a level at a time.
-BATCH, SCAN = 1 << 18, 1 << 16
+BLOCK = 1 << 16
+#: Strings of a stretch, at most; bytes of a key.
+STRETCH, KEY_BYTES = 256, 5
+#: A piece ends before one of so many strings (binary logarithm), and has so many at least.
+LOG_PIECE, LEAST_PIECE = 8, 64
+#: Keys that a task adds up, and pieces or stretches that it compares, before it hands them on.
+KEYS, STRETCHES = 1_500_000, 250_000
+#: Strings of a batch, and of a share, about; strings read from a level at a time.
+BATCH, SHARE, SCAN = 1 << 18, 1 << 20, 1 << 16
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -116,114 +123,180 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list
         yield tuple(zip(*held))
 
 
-def shared_keys(rows: DataFrame) -> Shared:
-    """A bitmap of the keys that two rows or more have."""
-    def run(batches):
-        release()
-        held, size = [], 0
-
-        def added():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                for owners, _, parts in blocks(batch.slice(at, SLICE_ROWS).column(0).to_pylist()):
-                    keys, part, _, _ = stretches(parts)
-                    row = np.array(owners)[part]
-                    order = np.lexsort((row, keys))
-                    keys, row = keys[order], row[order]
-                    once = np.ones(len(keys), bool)
-                    once[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-                    held.append(keys[once])
-                    size += len(held[-1])
-                if size >= KEYS:
-                    yield from in_parts(added())
-                    held, size = [], 0
-        if size:
-            yield from in_parts(added())
-
-    counts = rows.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return bitmap.shared(F.col("key"), counts.where("n > 1"))
+def pieces(parts: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+    """Number of the part, first and last string (excluded) of each piece; they cover all strings, cut by the bytes at the cut alone."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    eight = np.ndarray((int(sizes.sum()),), "<u8", np.frombuffer(b"".join(parts) + bytes(8), np.uint8), 0, (1,))
+    with np.errstate(over="ignore"):
+        places = np.flatnonzero(eight * FACTORS[0] >> np.uint64(64 - LOG_PIECE) == 0)
+    low, high = np.searchsorted(places, begins).tolist(), np.searchsorted(places, begins + sizes - LENGTH + 1).tolist()
+    places, owner, first, last = places.tolist(), [], [], []
+    for n, (begin, size) in enumerate(zip(begins.tolist(), sizes.tolist())):
+        done = 0
+        for place in places[low[n]:high[n]]:
+            if place - begin - done >= LEAST_PIECE:
+                owner.append(n)
+                first.append(done)
+                last.append(done := place - begin)
+        owner.append(n)
+        first.append(done)
+        last.append(size - LENGTH + 1)
+    return owner, first, last
 
 
 #: Identifies a row.
 ROW = ["doc_id", "_k2"]
 
 
-def shared_stretches(part: pa.RecordBatch, texts: list[str | None], keys: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    """Key, row, place and bytes of the stretches of some rows that ``keys``, a bitmap, holds."""
-    for owners, offsets, parts in blocks(texts):
-        key, at, begin, size = stretches(parts)
-        kept = bitmap.holds(keys, key)
-        ends = (begin + size + LENGTH - 1)[kept].tolist()
-        for k, n, a, b in zip(key[kept].view(np.int64).tolist(), at[kept].tolist(), begin[kept].tolist(), ends):
-            yield k, owners[n], offsets[n] + a, parts[n][a:b]
-
-
 def string_hash(text: bytes) -> int:
     return signed(xxhash.xxh3_64_intdigest(text))
 
 
+def found_pieces(part: pa.RecordBatch) -> Iterator[tuple]:
+    """Of the texts of some rows, about a block at a time: rows, offsets and bytes of parts; part, first and last string of pieces; their hashes."""
+    for owners, offsets, parts in blocks(part.column(3).to_pylist()):
+        owner, first, last = pieces(parts)
+        texts = [parts[n][a:b + LENGTH - 1] for n, a, b in zip(owner, first, last)]
+        hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in texts]), np.int64).reshape(-1, 2)
+        yield np.array(owners), np.array(offsets), parts, np.array(owner), np.array(first), np.array(last), hashes
+
+
 NAMED = "key bigint, hash bigint, doc_id bigint, _k2 int, at int, size int, known boolean"
 
 
-def named(rows: DataFrame, shared: Shared) -> DataFrame:
-    """Key, hash, row, place and size of stretches that may stand elsewhere; some are known to go."""
+def named(rows: DataFrame, found) -> DataFrame:
+    """Key, hash, row, place and size of the strings that ``found`` gives of a batch of ``rows``; some are known to go."""
     arrow = to_arrow_schema(_schema(NAMED))
 
+    def ready(held):
+        columns = [np.concatenate(c) for c in zip(*held)]
+        order = np.lexsort([columns[k] for k in (4, 3, 2, 1, 0)])
+        columns = [c[order] for c in columns]
+        change = [np.append(True, c[1:] != c[:-1]) for c in columns[:5]]
+        once = np.logical_or.reduce(change)  # a repeated row is looked at once
+        first = np.flatnonzero(change[0] | change[1])
+        least = np.repeat(columns[2][first], np.diff(np.append(first, len(order))))
+        made = [c[once] for c in (*columns, columns[2] > least)]
+        yield from in_parts(as_batch(dict(zip(arrow.names, made)), arrow))
+
     def run(batches):
         release()
-        met: dict[bytes, list] = {}   # stretch to key and (row, place) of the rows that hold it
-        names: list[tuple] = []
-        known: set[tuple] = set()
-        count = 0
-
-        def ready():
-            out = []
-            for text, (key, *places) in met.items():
-                least, hashed = min(names[row][0] for row, _ in places), string_hash(text)
-                for row, at in places:
-                    doc_id, k2 = names[row]
-                    out.append((key, hashed, doc_id, k2, at, len(text), doc_id > least))
-            for low in range(0, len(out), 1 << 15):
-                yield as_batch(dict(zip(arrow.names, zip(*out[low:low + (1 << 15)]))), arrow)
-
+        held, size = [], 0
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(low, SLICE_ROWS)
-                own = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
-                texts, first = [], len(names)
-                for name, text in zip(own, part.column(3).to_pylist()):  # a repeated row is looked at once
-                    texts.append(None if name in known else text)
-                    known.add(name)
-                names += own
-                for key, row, at, text in shared_stretches(part, texts, shared.value):
-                    met.setdefault(text, [key]).append((first + row, at))
-                    count += 1
-                if count >= STRETCHES:
-                    yield from ready()
-                    met.clear()
-                    names, known, count = [], set(), 0
-        yield from ready()
-
-    return rows.select(*ROW, "mark", "text").mapInArrow(run, NAMED)
+                ids, k2 = part.column(0).to_numpy(), part.column(1).to_numpy()
+                for key, hashed, row, at, length in found(part):
+                    held.append((key, hashed, ids[row], k2[row], at, length))
+                    size += len(row)
+                if size >= STRETCHES:
+                    yield from ready(held)
+                    held, size = [], 0
+        if size:
+            yield from ready(held)
+
+    return rows.mapInArrow(run, NAMED)
+
+
+def named_pieces(part: pa.RecordBatch) -> Iterator[tuple]:
+    for owners, offsets, _, owner, first, last, hashes in found_pieces(part):
+        yield hashes[:, 0], hashes[:, 1], owners[owner], offsets[owner] + first, last - first + LENGTH - 1
 
 
 def compared(found: DataFrame) -> DataFrame:
-    """Rows of ``named`` that go (``gone``), or whose stretch has to be compared with others of its key."""
+    """Rows of ``named``: whether they go (``gone``), and whether others of their key are not the same (``several``)."""
     # Those known to go are spread by themselves, so that no key gets all copies of a passage.
     spread = found.withColumn("group", F.when(F.col("known"), F.xxhash64(*ROW, "at")).otherwise(F.col("key"))).repartition("group")
     same, near = Window.partitionBy("group", "hash"), Window.partitionBy("group")
     gone = F.col("known") | (F.col("doc_id") > F.min("doc_id").over(same))
     several = F.min("hash").over(near) != F.max("hash").over(near)
-    return spread.select(*ROW, "hash", "at", "size", gone.alias("gone"), several.alias("several")).where("gone or several").drop("several")
+    return spread.select(*ROW, "hash", "at", "size", gone.alias("gone"), several.alias("several"))
+
+
+def mark() -> Column:
+    """Of a row of ``compared``, for a bitmap: known by its hash and its row."""
+    return F.col("hash").bitwiseXOR(F.xxhash64(*ROW))
+
+
+def as_bytes(keys: np.ndarray) -> bytes:
+    """The first ``KEY_BYTES`` bytes of each key."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES:].tobytes()
+
+
+def as_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, 8 - KEY_BYTES:] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.int64).ravel()
+
+
+PARTS = "doc_id bigint, _k2 int, mark bigint, at int, part binary, keys binary, sizes binary"
+
+
+def parted(rows: DataFrame, kept: Shared) -> DataFrame:
+    """The texts without the pieces that ``kept``, a bitmap, does not hold: rows, places and bytes of what is left, and its stretches' keys and sizes."""
+    arrow = to_arrow_schema(_schema(PARTS))
+
+    def run(batches):
+        release()
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(low, SLICE_ROWS)
+                ids, k2, marks = (part.column(k).to_numpy() for k in range(3))
+                for owners, offsets, parts, owner, first, last, hashes in found_pieces(part):
+                    held = np.flatnonzero(bitmap.holds(kept.value, hashes[:, 1] ^ marks[owners[owner]]))
+                    if not len(held):
+                        continue
+                    begin = np.append(True, (owner[held[1:]] != owner[held[:-1]]) | (held[1:] != held[:-1] + 1))
+                    own, first, last = owner[held[begin]], first[held[begin]], last[held[np.append(begin[1:], True)]]
+                    texts = [parts[n][a:b + LENGTH - 1] for n, a, b in zip(own.tolist(), first.tolist(), last.tolist())]
+                    keys, of, _, size = stretches(texts)
+                    ends = np.searchsorted(of, np.arange(len(texts)), side="right").tolist()
+                    keys, size, spans = as_bytes(keys), (size - 1).astype(np.uint8).tobytes(), list(zip([0, *ends], ends))
+                    row = owners[own]
+                    yield as_batch({"doc_id": ids[row], "_k2": k2[row], "mark": marks[row], "at": (offsets[own] + first).astype(np.int32), "part": texts,
+                                    "keys": [keys[KEY_BYTES * a:KEY_BYTES * b] for a, b in spans], "sizes": [size[a:b] for a, b in spans]}, arrow)
+
+    return rows.select(*ROW, "mark", "text").mapInArrow(run, PARTS)
+
+
+def shared_keys(parts: DataFrame) -> Shared:
+    """A bitmap of the keys that two parts or more have."""
+    def run(batches):
+        release()
+        return bitmap.packed((np.unique(as_keys(keys)) for batch in batches for keys in batch.column(0).to_pylist()), KEYS)
+
+    return bitmap.sized(parts.select("keys").mapInArrow(run, bitmap.PACKS), several=True)
+
+
+def shared_stretches(part: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Key, row, place, bytes and hash of the stretches of ``PARTS`` that ``keys``, a bitmap, holds."""
+    texts, sizes = part.column(4).to_pylist(), part.column(6).to_pylist()
+    key = as_keys(b"".join(part.column(5).to_pylist()))
+    size = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64) + 1
+    counts = np.array([len(s) for s in sizes], np.int64)
+    row = np.repeat(np.arange(len(texts)), counts)
+    begin = np.cumsum(size) - size
+    begin -= np.repeat(begin[np.cumsum(counts) - counts], counts)
+    held = np.flatnonzero(bitmap.holds(keys, key))
+    key, row, begin, end = key[held], row[held], begin[held], (begin + size + LENGTH - 1)[held]
+    found = [texts[n][a:b] for n, a, b in zip(row.tolist(), begin.tolist(), end.tolist())]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).view(np.int64)
+    return key, row, part.column(3).to_numpy()[row] + begin, found, hashes
+
+
+def named_stretches(parts: DataFrame, shared: Shared) -> DataFrame:
+    def found(part):
+        key, row, at, texts, hashes = shared_stretches(part, shared.value)
+        yield key, hashes, row, at, np.array([len(t) for t in texts], np.int64)
+
+    return named(parts, found)
 
 
 DEALT = "key bigint, doc_id bigint, _k2 int, at int, part binary"
 
 
-def dealt(rows: DataFrame, shared: Shared, wanted: Shared) -> DataFrame:
+def dealt(parts: DataFrame, shared: Shared, wanted: Shared) -> DataFrame:
     """Key, row, place and text of the stretches that are compared: those whose hash and row ``wanted`` holds."""
     arrow = to_arrow_schema(_schema(DEALT))
 
@@ -232,17 +305,13 @@ def dealt(rows: DataFrame, shared: Shared, wanted: Shared) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(low, SLICE_ROWS)
-                found = list(shared_stretches(part, part.column(3).to_pylist(), shared.value))
-                if not found:
-                    continue
-                row = np.array([f[1] for f in found])
-                marks = np.array([string_hash(f[3]) for f in found], np.int64) ^ part.column(2).to_numpy()[row]
-                held = np.flatnonzero(bitmap.holds(wanted.value, marks)).tolist()
-                ids, k2 = part.column(0).to_pylist(), part.column(1).to_pylist()
-                yield as_batch({"key": [found[n][0] for n in held], "doc_id": [ids[found[n][1]] for n in held], "_k2": [k2[found[n][1]] for n in held],
-                                "at": [found[n][2] for n in held], "part": [found[n][3] for n in held]}, arrow)
+                key, row, at, texts, hashes = shared_stretches(part, shared.value)
+                held = np.flatnonzero(bitmap.holds(wanted.value, hashes ^ part.column(2).to_numpy()[row]))
+                row = row[held]
+                yield as_batch({"key": key[held], "doc_id": part.column(0).to_numpy()[row], "_k2": part.column(1).to_numpy()[row],
+                                "at": at[held].astype(np.int32), "part": [texts[n] for n in held.tolist()]}, arrow)
 
-    return rows.select(*ROW, "mark", "text").mapInArrow(run, DEALT)
+    return parts.mapInArrow(run, DEALT)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -346,9 +415,9 @@ class Family:
 SPANS = "doc_id bigint, _k2 int, at array<int>"
 
 
-def repeated(parts: DataFrame) -> DataFrame:
+def repeated(parts: DataFrame, shares: int) -> DataFrame:
     """Row and spans (from, to, ...) in bytes of the strings of ``dealt`` that start in a smaller document; a row may have several."""
-    ordered = parts.repartition("key").sortWithinPartitions("doc_id")
+    ordered = parts.repartition(shares, "key").sortWithinPartitions("doc_id")
     arrow = to_arrow_schema(_schema(SPANS))
 
     def run(batches):
@@ -379,14 +448,25 @@ def repeated(parts: DataFrame) -> DataFrame:
 
 def spans_to_go(rows: DataFrame) -> DataFrame:
     """As ``SPANS``, for rows with an id."""
-    keys = shared_keys(rows)
-    judged = materialise(compared(named(rows, keys)))
-    wanted = bitmap.shared(F.col("hash").bitwiseXOR(F.xxhash64(*ROW)), judged.where("not gone"))
-    whole = judged.where("gone").select(*ROW, F.array("at", F.col("at") + F.col("size")).alias("at"))
-    parts = materialise(repeated(dealt(rows, keys, wanted)))
+    def whole(judged):
+        return judged.where("gone").select(*ROW, F.array("at", F.col("at") + F.col("size")).alias("at"))
+
+    judged = materialise(compared(named(rows.select(*ROW, "mark", "text"), named_pieces)).drop("several"))
+    kept = bitmap.sized_of(mark(), judged.where("not gone"))
+    path = scratch_path(rows.sparkSession)
+    parts = materialise(parted(rows, kept), path, compression="zstd")
+    kept.drop()
+    keys = shared_keys(parts)
+    again = materialise(compared(named_stretches(parts, keys)).where("gone or several").drop("several"))
+    wanted = bitmap.sized_of(mark(), again.where("not gone"))
+    strings = again.where("not gone").agg(F.sum(F.col("size") - (LENGTH - 1))).first()[0] or 0
+    # A batch is scanned against all of its share, so shares do not grow with the input.
+    shares = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-strings // SHARE))
+    found = materialise(repeated(dealt(parts, keys, wanted), shares))
     keys.drop()
     wanted.drop()
-    return whole.unionByName(parts)
+    drop_path(rows.sparkSession, path)
+    return whole(judged).unionByName(whole(again)).unionByName(found)
 
 
 KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -398,7 +478,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.select(*ROW, F.xxhash64(*ROW).alias("mark"), "text")
     spans = spans_to_go(rows.where("doc_id is not null"))
     cuts = spans.groupBy(*ROW).agg(F.flatten(F.collect_list("at")).alias("at"))  # of one text, so no more than it has bytes
-    hit = bitmap.shared(F.xxhash64(*ROW), spans.select(*ROW))
+    hit = bitmap.sized_of(F.xxhash64(*ROW), spans)
     arrow = to_arrow_schema(_schema(KEPT))
 
     def cleaned(doc_id, text, at):

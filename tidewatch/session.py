@@ -68,15 +68,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once under the scratch folder and return the written table.
+def materialise(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` once under the scratch folder (to ``path`` of it, with the writer's options) and return the written table.
 
     Cuts the lineage, freezes values that a second evaluation could change
     (range cuts, sketches), and survives the loss of executors.
     """
     spark = df.sparkSession
-    path = scratch_path(spark)
-    df.write.parquet(path)
+    path = path or scratch_path(spark)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ is binary.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.llm import bitmap
-from tidewatch.llm.common import SLICE_ROWS, Shared, _schema, as_batch, in_parts, mixed, release, signed, take, to_arrow_schema
+from tidewatch.llm.common import SLICE_ROWS, Shared, _schema, as_batch, in_parts, mixed, release, take, to_arrow_schema
 from tidewatch.session import drop_path, materialise, scratch_path
 
 LENGTH = 50
@@ -149,10 +149,6 @@ def pieces(parts: list[bytes]) -> tuple[list[int], list[int], list[int]]:
 ROW = ["doc_id", "_k2"]
 
 
-def string_hash(text: bytes) -> int:
-    return signed(xxhash.xxh3_64_intdigest(text))
-
-
 def found_pieces(part: pa.RecordBatch) -> Iterator[tuple]:
     """Of the texts of some rows, about a block at a time: rows, offsets and bytes of parts; part, first and last string of pieces; their hashes."""
     for owners, offsets, parts in blocks(part.column(3).to_pylist()):
@@ -165,7 +161,7 @@ def found_pieces(part: pa.RecordBatch) -> Iterator[tuple]:
 NAMED = "key bigint, hash bigint, doc_id bigint, _k2 int, at int, size int, known boolean"
 
 
-def named(rows: DataFrame, found) -> DataFrame:
+def named(rows: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
     """Key, hash, row, place and size of the strings that ``found`` gives of a batch of ``rows``; some are known to go."""
     arrow = to_arrow_schema(_schema(NAMED))
 
